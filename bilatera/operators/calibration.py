@@ -269,9 +269,7 @@ def shifted_reference(
     Size is points x shifts. The value at a fractional index is interpolated between its two neighbours.
     """
     step = (q_max - q_min) / (points - 1)
-    moved = curve.sparkSession.createDataFrame([(float(s),) for s in shifts], "shift double").join(
-        curve.select("i"), F.lit(True)
-    )
+    moved = curve.select("i", F.explode(F.array(*[F.lit(float(s)) for s in shifts])).alias("shift"))
     at = F.col("i") - F.col("shift") / step
     moved = moved.withColumns({"lo": F.floor(at).cast("int"), "t": at - F.floor(at)})
     a = curve.select(F.col("i").alias("lo"), F.col("ref").alias("ra"))
