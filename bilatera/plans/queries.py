@@ -74,7 +74,7 @@ def _(spark, sf):
 @query("a5_csv_export")
 def _(spark, sf):
     out = metrics.pool_cases(V.oof(spark, sf)).select(
-        "target_case_id", "patientId", "label", r6("p_cancer"), r6("threshold_target")
+        "target_case_id", "patientId", "label", r6("p_cancer", digits=9), r6("threshold_target")
     )
     path = storage.write_csv(out, storage.new_path(spark, "csv"))
     return spark.read.schema(out.schema).option("header", True).csv(path)
@@ -618,14 +618,14 @@ def _(spark, sf):
 @query("e10_oof_pooling")
 def _(spark, sf):
     return metrics.pool_cases(V.oof(spark, sf)).select(
-        "target_case_id", "patientId", "label", r6("p_cancer"), r6("threshold_target")
+        "target_case_id", "patientId", "label", r6("p_cancer", digits=9), r6("threshold_target")
     )
 
 
 @query("e11_decision_stability")
 def _(spark, sf):
     return tiers.stability(V.oof(spark, sf), F.lit(0.25)).select(
-        "target_case_id", r6("p_cancer"), r6("decision_stability"), r6("margin")
+        "target_case_id", r6("p_cancer", digits=9), r6("decision_stability"), r6("margin")
     )
 
 
@@ -889,7 +889,8 @@ def _(spark, sf):
 @query("m13_predictions")
 def _(spark, sf):
     return metrics.prediction_frame(V.oof(spark, sf).drop("y_pred_target")).select(
-        "target_case_id", "patientId", "label", "label_name", "split_id", r6("p_cancer"), r6("threshold_target"), "y_pred_target"
+        "target_case_id", "patientId", "label", "label_name", "split_id", r6("p_cancer", digits=9), r6("threshold_target"),
+        "y_pred_target",
     )
 
 

@@ -305,7 +305,7 @@ def oof(name: str, select: str, *ctes: str) -> None:
     ORACLES[name] = "with " + ",".join((OOF, *ctes)) + "\n" + select
 
 
-POOL = f"""select target_case_id, min("patientId") "patientId", min(label) as label, {r6("avg(p_cancer)", "p_cancer")},
+POOL = f"""select target_case_id, min("patientId") "patientId", min(label) as label, {r6("avg(p_cancer)", "p_cancer", 9)},
  {r6("avg(threshold_target)", "threshold_target")} from oof group by 1"""
 oof("a5_csv_export", POOL)
 oof("e10_oof_pooling", POOL)
@@ -567,7 +567,7 @@ LOGIT = lambda p: f"ln(least(greatest({p},1e-6),1e0-1e-6)/(1e0-least(greatest({p
 STAB = f"""st as (
  select *, {LOGIT('p_cancer')}-{LOGIT('25e-2')} margin from (
   select target_case_id, median(p_cancer) p_cancer, greatest(avg(y_pred_target),1-avg(y_pred_target)) decision_stability from o2 group by 1))"""
-oof("e11_decision_stability", f"select target_case_id, {r6('p_cancer')}, {r6('decision_stability')}, {r6('margin')} from st", STAB)
+oof("e11_decision_stability", f"select target_case_id, {r6('p_cancer', digits=9)}, {r6('decision_stability')}, {r6('margin')} from st", STAB)
 base("e12_availability_warnings", """select count(*) filter (symmetry_available=0) unpaired_cases, count(*) filter (target_measurements<2) low_target_cases,
  count(*) filter (contralateral_measurements<2) low_contralateral_cases from full_f""", PAIRS, FULL)
 sets("e13_selection_lists", """select distinct case when ok then 'accepted' else 'rejected' end||'_session_uids' as list, session_uid as value from sc
@@ -662,7 +662,7 @@ oof("m7_confusion", "select k split_id, tp, tn, fp, fn, " + ", ".join(r6(c) for
 oof("m8_losses", f"select k split_id, {r6('brier_score')}, {r6('log_loss')} from cf", SV_OOF, CURVE)
 base("m11_folds", 'select "repeat", pid "patientId", label, fold from fold', FOLD)
 oof("m13_predictions", f"""select target_case_id, "patientId", label, case label when 1 then 'CANCER' else 'BENIGN' end label_name, split_id,
- {r6("p_cancer")}, {r6("threshold_target")}, y_pred_target from o2""")
+ {r6("p_cancer", digits=9)}, {r6("threshold_target")}, y_pred_target from o2""")
 BM = ("roc_auc", "pr_auc", "sensitivity", "specificity", "balanced_accuracy", "ppv", "npv", "brier_score", "log_loss")
 BOOT_RATES = """
 rt2 as (select k, roc_auc, pr_auc, brier_score, log_loss, tp::double/nullif(tp+fn,0) sensitivity, tn::double/nullif(tn+fp,0) specificity,
@@ -803,3 +803,21 @@ base("j3_backfill_summary", f"""select count(*) filter (sample_thickness_mm is n
  count(*) filter (sample_thickness_mm is null and {FIX} is not null) backfilled_rows,
  count(*) filter (coalesce(sample_thickness_mm, {FIX}) is null) missing_after from m""")
 
+
+# --- U -----------------------------------------------------------------------------------------
+
+base("u1_step_chain", f"""select g.measurement_id, g."patientId", product_status_group, px patient_product_diagnosis, c specimen_measurement_count,
+ {r6("g.v", "radial_profile_value_at_q")}, {r6("s", "profile_sum")} from g
+ join (select measurement_id, sum(y) s from gpts group by 1) using (measurement_id)
+ join (select measurement_id, count(*) over (partition by "specimenId") c from cohort) using (measurement_id)
+ join (select "patientId", max(product_status_group) px from labelled group by 1) d on d."patientId"=g."patientId\"""",
+     """labelled as (select * from lab where "position" in ('P1','P2','P3') and sample_thickness_mm is not null
+  and calibrant_thickness_mm is not null and poni_q_max_nm_inv>=23 and specimen_status<>'NA'
+  and case when linked_agbh_session_uid is null then started_on not in (date '2025-02-14', date '2025-03-04')
+   else linked_agbh_session_uid not in ('cal_1','cal_5','cal_9') end),""")
+base("u2_prediction_route", f"""select measurement_id, "patientId", case when specimen_status in ('CANCER','ATYPICAL','PRE_CANCEROUS') then 'CANCER'
+ when specimen_status in ('BENIGN','NORMAL') then specimen_status end product_status_group, c specimen_measurement_count,
+ {r6("v", "radial_profile_value_at_q")} from (select *, count(*) over (partition by "specimenId") c from qc)
+ join (select r.measurement_id, arg_min(y/b, abs(q-14)) v from rawpts r join band using (measurement_id) group by 1) using (measurement_id) where v>8e-1""")
+base("u3_profile_hook", f"select measurement_id, {r6('max(y)-min(y)', 'spread')} from rawpts group by 1")
+base("u3_case_hook", f"""select pid "patientId", case sn when 'LEFT' then 'Left' else 'Right' end side, {r6("max(y)-min(y)", "spread")} from rawpts group by pid, sn""")
