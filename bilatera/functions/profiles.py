@@ -135,35 +135,28 @@ def _hat_matrix(window: int, order: int) -> np.ndarray:
     return basis @ np.linalg.pinv(basis)
 
 
-def _literal_matrix(m: np.ndarray) -> Column:
-    rows = ("array(" + ",".join(f"{float(v)!r}D" for v in row) + ")" for row in m)
-    return F.expr("array(" + ",".join(rows) + ")")
+def _weights(window: int) -> str:
+    m = _hat_matrix(window, min(3, window - 2))
+    return "array(" + ",".join("array(" + ",".join(f"{float(v)!r}D" for v in row) + ")" for row in m) + ")"
 
 
-def smooth(y: Column | str) -> Column:
-    """Local cubic smoothing over up to 11 points.
+def smooth(y: str) -> Column:
+    """Local cubic smoothing of the array column ``y`` over up to 11 points.
 
     Point i uses row ``i - s`` of the projection of the window starting at
     ``s = clip(i - half, 0, n - window)``: the centre row inside the profile, the polynomial of the
     end window at both ends. Profiles shorter than 7 points are returned unchanged.
     """
 
-    def smoothed(v: Column) -> Column:
-        n = F.size(v)
+    def apply(w: int) -> str:
+        start = f"least(greatest(i - {w // 2}, 0), size(v) - {w})"
+        terms = f"zip_with(get({_weights(w)}, i - {start}), slice(v, {start} + 1, {w}), (a, b) -> a * b)"
+        return f"transform(v, (x, i) -> aggregate({terms}, 0D, (s, t) -> s + t))"
 
-        def apply(window: int) -> Column:
-            weights = _literal_matrix(_hat_matrix(window, min(3, window - 2)))
-            half = window // 2
-
-            def point(_: Column, i: Column) -> Column:
-                start = F.least(F.greatest(i - half, F.lit(0)), n - window)
-                return dot(F.get(weights, i - start), F.slice(v, start + 1, window))
-
-            return F.transform(v, point)
-
-        return F.when(n < 7, v).when(n < 9, apply(7)).when(n < 11, apply(9)).otherwise(apply(11))
-
-    return let(col(y), smoothed)
+    return F.expr(
+        f"transform(array({y}), v -> case when size(v) < 7 then v when size(v) < 9 then {apply(7)} "
+        f"when size(v) < 11 then {apply(9)} else {apply(11)} end)[0]"
+    )
 
 
 def interpolate(grid: Column, q: Column, y: Column) -> Column:
@@ -207,23 +200,20 @@ def resample(lo: float, hi: float, points: int):
     return place
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine over points finite in both; null below 3 points or for a vanishing norm."""
-    pairs = F.filter(
-        F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))),
-        lambda p: finite(p["a"]) & finite(p["b"]),
-    )
-    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"), F.lit(0).alias("n"))
-
-    def add(s: Column, p: Column) -> Column:
-        return F.struct(
-            (s["ab"] + p["a"] * p["b"]).alias("ab"), (s["aa"] + p["a"] * p["a"]).alias("aa"),
-            (s["bb"] + p["b"] * p["b"]).alias("bb"), (s["n"] + 1).alias("n"),
-        )
+def is_finite(x: str) -> str:
+    """SQL text of the finite test."""
+    return f"({x} is not null and not isnan({x}) and abs({x}) <> double('infinity'))"
 
-    def finish(s: Column) -> Column:
-        norm = F.sqrt(s["aa"]) * F.sqrt(s["bb"])
-        cos = F.least(F.greatest(s["ab"] / norm, F.lit(-1.0)), F.lit(1.0))
-        return F.when((s["n"] >= 3) & (norm > 1e-12), F.lit(1.0) - cos)
 
-    return F.aggregate(pairs, zero, add, finish)
+def cosine_distance(a: str, b: str) -> Column:
+    """1 - cosine over points finite in both array columns; null below 3 points or for a vanishing norm."""
+    pairs = (
+        f"filter(zip_with({a}, {b}, (x, y) -> named_struct('a', x, 'b', y)), "
+        f"p -> {is_finite('p.a')} and {is_finite('p.b')})"
+    )
+    cos = "least(greatest(s.ab / (sqrt(s.aa) * sqrt(s.bb)), -1D), 1D)"
+    return F.expr(
+        f"aggregate({pairs}, named_struct('ab', 0D, 'aa', 0D, 'bb', 0D, 'n', 0), "
+        "(s, p) -> named_struct('ab', s.ab + p.a * p.b, 'aa', s.aa + p.a * p.a, 'bb', s.bb + p.b * p.b, 'n', s.n + 1), "
+        f"s -> case when s.n >= 3 and sqrt(s.aa) * sqrt(s.bb) > 1e-12 then 1D - {cos} end)"
+    )

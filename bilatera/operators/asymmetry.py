@@ -19,7 +19,7 @@ from .. import schemas as S
 from . import signal
 
 BLOCK = 8
-NAN = float("nan")
+y_name = "radial_profile_data"
 
 
 @dataclass(frozen=True)
@@ -71,173 +71,129 @@ def side_profiles(df: DataFrame, contract: Contract = CURRENT, *, shared_axis: b
     q1, y1 = _slice(q, y, contract.roi, contract)
     qf, yf = _slice(q, y, contract.full, contract)
     rows = rows.withColumns({"_q1": q1, "_y1": y1, "_qf": qf, "_yf": yf})
-    usable = lambda k, v: F.when(F.size(k) >= 5, F.col(v))
+    rows = rows.selectExpr(
+        "*", *[f"case when size(_q{k}) >= 5 then _{v}{k} end as {n}{k}" for k in "1f" for v, n in (("q", "q"), ("y", "u"))]
+    )
+    s1, sf = P.smooth("u1"), P.smooth("uf")
+    if contract.legacy:
+        s1, sf = (signal.near_minimum_normalise(F.col(a), v) for a, v in (("q1", s1), ("qf", sf)))
+    whole = f"not exists({y_name}, v -> not {P.is_finite('v')}) and size({y_name}) >= 3"
+    norm = f"sqrt(aggregate({y_name}, 0D, (s, v) -> s + v * v))"
     rows = rows.withColumns(
         {
-            "q1": usable("_q1", "_q1"), "s1": P.smooth(usable("_q1", "_y1")),
-            "qf": usable("_qf", "_qf"), "sf": P.smooth(usable("_qf", "_yf")),
+            "s1": s1, "sf": sf, "_peak": P.peak_value(q, y, 13.0, 14.8),
+            "_norm": F.expr(f"case when {whole} and {norm} > 1e-6 then {norm} end"),
         }
     )
-    if contract.legacy:
-        rows = rows.withColumns(
-            {
-                "s1": signal.near_minimum_normalise(F.col("q1"), F.col("s1")),
-                "sf": signal.near_minimum_normalise(F.col("qf"), F.col("sf")),
-            }
-        )
     rows = _common_axes(rows, per_patient=not shared_axis)
-    norm = F.sqrt(P.dot(y, y))
-    whole = ~F.exists(y, lambda v: ~X.finite(v)) & (F.size(y) >= 3)
+    placed = {"a1": F.col("s1"), "af": F.col("sf")}
+    if not shared_axis:
+        placed = {"a1": _on_axis("qc1", "q1", "s1"), "af": _on_axis("qcf", "qf", "sf")}
     rows = rows.withColumns(
-        {
-            "a1": _on_axis("qc1", "q1", "s1"),
-            "af": _on_axis("qcf", "qf", "sf"),
-            "_norm": F.when(whole & (norm > 1e-6), norm),
-            "_peak": P.peak_value(q, y, 13.0, 14.8),
-        }
+        {**placed, "unit": F.when(F.col("_norm").isNotNull(), P.divide_by(y, F.col("_norm")))}
     )
-    rows = rows.withColumn("unit", F.when(F.col("_norm").isNotNull(), P.divide_by(y, F.col("_norm"))))
     return _aggregate_blocks(rows)
 
 
 def _aggregate_blocks(rows: DataFrame) -> DataFrame:
-    arrays = {"qc1": "q1", "qcf": "qf", "a1": "a1", "af": "af", "raw": "radial_profile_data", "unit": "unit"}
-    longest = F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in arrays.values()])
-    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(longest / BLOCK).cast("int") - 1, F.lit(0)))
-    cut = lambda c, b: F.slice(F.col(c), b * BLOCK + 1, BLOCK)
-    sources = {"qc1": "qc1", "qcf": "qcf", "a1": "a1", "af": "af", "raw": "radial_profile_data", "unit": "unit"}
-    pieces = rows.select(
-        "patientId", "side_norm", "_peak", (F.col("_norm").isNotNull()).alias("_unit_ok"),
-        F.explode(
-            F.transform(blocks, lambda b: F.struct(b.alias("b"), *[cut(c, b).alias(n) for n, c in sources.items()]))
-        ).alias("z"),
+    """Sum up arrays point by point: blocks of points are exploded, aggregated and put together again."""
+    sources = {"qc1": "qc1", "qcf": "qcf", "a1": "a1", "af": "af", "raw": y_name, "unit": "unit"}
+    longest = "greatest(" + ",".join(f"coalesce(size({c}), 0)" for c in sources.values()) + ")"
+    cuts = ",".join(f"'{n}',slice({c}, b * {BLOCK} + 1, {BLOCK})" for n, c in sources.items())
+    pieces = rows.selectExpr(
+        "patientId", "side_norm", "_peak", "_norm is not null as _unit_ok",
+        f"explode(transform(sequence(0, greatest(cast(ceil({longest} / {BLOCK}) as int) - 1, 0)), "
+        f"b -> named_struct('b', b, {cuts}))) as z",
     )
-    at = lambda n, k: F.get(F.col(f"z.{n}"), F.lit(k))
     span = range(BLOCK)
+    each = lambda text, name: F.expr("array(" + ",".join(text.format(k=k) for k in span) + ")").alias(name)
     parts = pieces.groupBy("patientId", "side_norm", F.col("z.b").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("_unit_ok").alias("n_unit"),
+        F.count(F.lit(1)).alias("n"), F.count_if("_unit_ok").alias("n_unit"),
         F.avg(X.finite_or_null("_peak")).alias("peak"),
-        F.count("_peak").alias("n_peak"),
-        F.count(at("a1", 0)).alias("n1"),
-        F.array(*[F.max(at("qc1", k)) for k in span]).alias("q1"),
-        F.array(*[F.max(at("qcf", k)) for k in span]).alias("qf"),
-        F.array(*[F.avg(at("a1", k)) for k in span]).alias("mu"),
-        F.array(*[F.coalesce(F.stddev_samp(at("a1", k)), F.avg(at("a1", k)) * 0.0) for k in span]).alias("sd"),
-        F.array(*[F.avg(at("af", k)) for k in span]).alias("muf"),
-        F.array(*[F.avg(at("raw", k)) for k in span]).alias("raw"),
-        F.array(*[F.sum(at("unit", k)) for k in span]).alias("unit"),
+        each("max(get(z.qc1, {k}))", "q1"), each("max(get(z.qcf, {k}))", "qf"), each("avg(get(z.a1, {k}))", "mu"),
+        # A single replicate has no spread: 0 where the mean exists.
+        each("coalesce(stddev_samp(get(z.a1, {k})), avg(get(z.a1, {k})) * 0D)", "sd"),
+        each("avg(get(z.af, {k}))", "muf"), each("avg(get(z.raw, {k}))", "raw"), each("sum(get(z.unit, {k}))", "unit"),
     )
-    # A single replicate has no spread: its sample deviation is null and becomes 0 above.
     names = ("q1", "qf", "mu", "sd", "muf", "raw", "unit")
-    listed = F.array_sort(F.collect_list(F.struct("b", *names)))
     out = parts.groupBy("patientId", "side_norm").agg(
-        F.max("n").alias("n"), F.max("n_unit").alias("n_unit"),
-        F.max(F.when(F.col("b") == 0, F.col("peak"))).alias("peak"), listed.alias("_l"),
+        F.max("n").alias("n"), F.max("n_unit").alias("n_unit"), F.max("peak").alias("peak"),
+        F.array_sort(F.collect_list(F.struct("b", *names))).alias("_l"),
     )
-    joined = lambda n: F.filter(
-        F.flatten(F.transform("_l", lambda s: s[n])), lambda v: v.isNotNull()
+    return out.selectExpr(
+        "patientId", "side_norm", "n", "n_unit", "peak",
+        *[f"filter(flatten(transform(_l, s -> s.{n})), v -> v is not null) as {n}" for n in names],
     )
-    return out.select("patientId", "side_norm", "n", "n_unit", "peak", *[joined(n).alias(n) for n in names])
 
 
-def within_cosine(unit_sum: Column, n: Column) -> Column:
+def within_cosine(unit_sum: str, n: str) -> Column:
     """Mean pairwise cosine distance inside a side without forming pairs.
 
     For unit vectors u the sum over i<j of u_i.u_j equals (|sum u|^2 - n) / 2.
     """
-    pairs = n * (n - 1) / 2.0
-    return F.when(n >= 2, F.lit(1.0) - (P.square_sum(unit_sum) - n) / 2.0 / pairs)
+    square = f"aggregate({unit_sum}, 0D, (s, v) -> s + v * v)"
+    return F.expr(f"case when {n} >= 2 then 1D - ({square} - {n}) / ({n} * ({n} - 1D)) end")
 
 
-def _points(z: Column) -> Column:
+def _points() -> Column:
     """struct(q, d, v, st, sc) per grid point: mean difference, summed variance, both spreads."""
+    return F.expr(
+        "transform(array(named_struct('q', q1_t, 'mt', mu_t, 'mc', mu_c, 'st', sd_t, 'sc', sd_c)), z -> "
+        "transform(z.q, (x, i) -> named_struct('q', x, 'd', get(z.mt, i) - get(z.mc, i), "
+        "'v', get(z.st, i) * get(z.st, i) + get(z.sc, i) * get(z.sc, i), 'st', get(z.st, i), 'sc', get(z.sc, i))))[0]"
+    )
 
-    def point(x: Column, i: Column) -> Column:
-        st, sc = F.get(z["st"], i), F.get(z["sc"], i)
-        return F.struct(
-            x.alias("q"), (F.get(z["mt"], i) - F.get(z["mc"], i)).alias("d"),
-            (st * st + sc * sc).alias("v"), st.alias("st"), sc.alias("sc"),
-        )
-
-    return F.transform(z["q"], point)
-
-
-def _rms(values: Column) -> Column:
-    """Root mean square; null below five points."""
-    return P.let(values, lambda v: F.when(F.size(v) >= 5, F.sqrt(P.square_sum(v) / F.size(v))))
-
-
-def _mask_features(points: Column, mask: tuple[float, float], k: str) -> Column:
-    """struct of the five features of one mask."""
-    inside = F.filter(points, lambda s: P.in_window(s["q"], *mask))
-    finite_field = lambda p, c: F.transform(F.filter(p, lambda s: X.finite(s[c])), lambda s: s[c])
-
-    def weighted(g: Column) -> Column:
-        floor = P.quantile(F.transform(g, lambda s: s["v"]), 0.05) + 1e-12
-        zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-
-        def summed(f: Column) -> Column:
-            def add(acc: Column, s: Column) -> Column:
-                w = F.lit(1.0) / F.greatest(s["v"], f)
-                return F.struct((acc["num"] + w * s["d"] * s["d"]).alias("num"), (acc["den"] + w).alias("den"))
-
-            return F.aggregate(g, zero, add, lambda acc: F.sqrt(acc["num"] / acc["den"]))
-
-        return F.when(F.size(g) >= 5, P.let(floor, summed))
 
-    def distance(g: Column) -> Column:
-        terms = F.transform(g, lambda s: s["d"] * s["d"] / (s["v"] + 1e-12))
-        return F.when(F.size(g) >= 5, F.sqrt(P.total(terms)))
+def _mask_features(points: str, mask: tuple[float, float], k: str) -> Column:
+    """struct of the five features of one mask; each needs five finite points."""
 
-    def features(p: Column) -> Column:
-        good = F.filter(p, lambda s: X.finite(s["d"]) & X.finite(s["v"]))
-        return F.struct(
-            _rms(finite_field(p, "d")).alias(f"sk_meanrms{k}"),
-            P.let(good, weighted).alias(f"sk_weightedrms{k}"),
-            _rms(finite_field(p, "st")).alias(f"sk_sigma_target{k}"),
-            _rms(finite_field(p, "sc")).alias(f"sk_sigma_contralateral{k}"),
-            P.let(good, distance).alias(f"sk_mahalanobis{k}"),
-        )
+    def rms(field: str) -> str:
+        good = f"filter(p, s -> {P.is_finite('s.' + field)})"
+        total = f"aggregate(g, 0D, (t, s) -> t + s.{field} * s.{field})"
+        return f"transform(array({good}), g -> case when size(g) >= 5 then sqrt({total} / size(g)) end)[0]"
 
-    return P.let(inside, features)
+    good = f"filter(p, s -> {P.is_finite('s.d')} and {P.is_finite('s.v')})"
+    # 5th percentile of the variances, linear between neighbours.
+    floor = (
+        "transform(array(array_sort(transform(g, s -> s.v))), o -> transform(array((size(o) - 1) * 0.05D), "
+        "h -> get(o, int(floor(h))) + (get(o, int(ceil(h))) - get(o, int(floor(h)))) * (h - floor(h)))[0])[0] + 1e-12D"
+    )
+    weighted = (
+        "aggregate(g, named_struct('n', 0D, 'd', 0D), (t, s) -> named_struct("
+        "'n', t.n + s.d * s.d / greatest(s.v, f), 'd', t.d + 1D / greatest(s.v, f)), t -> sqrt(t.n / t.d))"
+    )
+    wrms = f"transform(array({good}), g -> case when size(g) >= 5 then transform(array({floor}), f -> {weighted})[0] end)[0]"
+    distance = (
+        f"transform(array({good}), g -> case when size(g) >= 5 then "
+        "sqrt(aggregate(g, 0D, (t, s) -> t + s.d * s.d / (s.v + 1e-12D))) end)[0]"
+    )
+    fields = {
+        "meanrms": rms("d"), "weightedrms": wrms, "sigma_target": rms("st"), "sigma_contralateral": rms("sc"),
+        "mahalanobis": distance,
+    }
+    made = ",".join(f"'sk_{n}{k}',{t}" for n, t in fields.items())
+    inside = f"filter({points}, s -> s.q >= {mask[0]!r}D and s.q <= {mask[1]!r}D)"
+    return F.expr(f"transform(array({inside}), p -> named_struct({made}))[0]")
 
 
-def wasserstein(q: Column, a: Column, b: Column) -> Column:
+def wasserstein(q: str, a: str, b: str) -> Column:
     """Area between the two cumulative curves; null below 5 points or when a side has no mass."""
-    zipped = F.arrays_zip(q.alias("q"), a.alias("a"), b.alias("b"))
-    good = F.filter(zipped, lambda s: X.finite(s["q"]) & X.finite(s["a"]) & X.finite(s["b"]))
-    clipped = F.transform(
-        good,
-        lambda s: F.struct(
-            s["q"].alias("q"), F.greatest(s["a"], F.lit(0.0)).alias("a"), F.greatest(s["b"], F.lit(0.0)).alias("b")
-        ),
+    good = (
+        f"filter(transform({q}, (x, i) -> named_struct('q', x, 'a', get({a}, i), 'b', get({b}, i))), "
+        f"s -> {P.is_finite('s.q')} and {P.is_finite('s.a')} and {P.is_finite('s.b')})"
+    )
+    points = f"array_sort(transform({good}, s -> named_struct('q', s.q, 'a', greatest(s.a, 0D), 'b', greatest(s.b, 0D))))"
+    mass = (
+        "aggregate(p, named_struct('a', 0D, 'b', 0D), (t, s) -> named_struct('a', t.a + s.a, 'b', t.b + s.b))"
+    )
+    area = (
+        "aggregate(p, named_struct('area', 0D, 'gap', 0D, 'q', get(p, 0).q), (t, s) -> named_struct("
+        "'area', t.area + abs(t.gap) * (s.q - t.q), 'gap', t.gap + s.a / m.a - s.b / m.b, 'q', s.q), t -> t.area)"
+    )
+    return F.expr(
+        f"transform(array({points}), p -> transform(array({mass}), m -> "
+        f"case when size(p) >= 5 and m.a > 1e-12 and m.b > 1e-12 then {area} end)[0])[0]"
     )
-
-    def area(pts: Column) -> Column:
-        mass = F.struct(
-            P.total(F.transform(pts, lambda s: s["a"])).alias("a"),
-            P.total(F.transform(pts, lambda s: s["b"])).alias("b"),
-            F.get(pts, F.lit(0))["q"].alias("q0"),
-            F.size(pts).alias("n"),
-        )
-
-        def integrate(m: Column) -> Column:
-            start = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("gap"), m["q0"].alias("q"))
-
-            def step(acc: Column, s: Column) -> Column:
-                return F.struct(
-                    (acc["area"] + F.abs(acc["gap"]) * (s["q"] - acc["q"])).alias("area"),
-                    (acc["gap"] + s["a"] / m["a"] - s["b"] / m["b"]).alias("gap"),
-                    s["q"].alias("q"),
-                )
-
-            value = F.aggregate(pts, start, step, lambda acc: acc["area"])
-            return F.when((m["n"] >= 5) & (m["a"] > 1e-12) & (m["b"] > 1e-12), value)
-
-        return P.let(mass, integrate)
-
-    return P.let(F.array_sort(clipped), area)
 
 
 def pair_features(
@@ -256,57 +212,50 @@ def pair_features(
         .join(pick("target_side_norm", "t"), ["patientId", "target_side_norm"], "left")
         .join(pick("contralateral_side_norm", "c"), ["patientId", "contralateral_side_norm"], "left")
     )
-    both = (F.size("mu_t") > 0) & (F.size("mu_c") > 0) & (F.size("muf_t") > 0) & (F.size("muf_c") > 0)
+    made = "coalesce(size(mu_t) > 0 and size(mu_c) > 0 and size(muf_t) > 0 and size(muf_c) > 0, false)"
     z = z.withColumns(
         {
-            "target_measurements": F.coalesce("n_t", F.lit(0)),
-            "contralateral_measurements": F.coalesce("n_c", F.lit(0)),
-            "_both": F.coalesce(both, F.lit(False)),
-            "_wt": within_cosine(F.col("unit_t"), F.col("n_unit_t")),
-            "_wc": within_cosine(F.col("unit_c"), F.col("n_unit_c")),
-            "_between": P.cosine_distance(F.col("raw_t"), F.col("raw_c")),
+            "target_measurements": F.expr("coalesce(n_t, 0L)"),
+            "contralateral_measurements": F.expr("coalesce(n_c, 0L)"),
+            "_both": F.expr(made),
+            "_wt": within_cosine("unit_t", "n_unit_t"),
+            "_wc": within_cosine("unit_c", "n_unit_c"),
+            "_between": P.cosine_distance("raw_t", "raw_c"),
+            "_points": _points(),
+            "_d14": F.abs(P.peak_value("q1_t", "mu_t", 13.5, 14.5) - P.peak_value("q1_t", "mu_c", 13.5, 14.5)),
+            "_w1": wasserstein("q1_t", "mu_t", "mu_c"),
+            "_wf": wasserstein("qf_t", "muf_t", "muf_c"),
+            "_cf": P.cosine_distance("muf_t", "muf_c"),
         }
     )
-    arrays = F.struct(
-        F.col("q1_t").alias("q"), F.col("mu_t").alias("mt"), F.col("mu_c").alias("mc"),
-        F.col("sd_t").alias("st"), F.col("sd_c").alias("sc"),
-    )
     masks = {"1": contract.mask1, "2": contract.mask2}
-    z = z.withColumn("_points", P.let(arrays, _points))
-    z = z.withColumns({f"_m{k}": _mask_features(F.col("_points"), m, k) for k, m in masks.items()})
-    raw: dict[str, Column] = {}
-    for k in masks:
-        for name in ("meanrms", "weightedrms", "sigma_target", "sigma_contralateral", "mahalanobis"):
-            raw[f"sk_{name}{k}"] = F.col(f"_m{k}.sk_{name}{k}")
-    q1, qf = F.col("q1_t"), F.col("qf_t")
-    peak = lambda m: P.peak_value(q1, F.col(m), 13.5, 14.5)
-    raw["sk_peak14_intensity_abs_delta"] = F.abs(peak("mu_t") - peak("mu_c"))
-    raw["sk_mean_peak_value_abs_delta"] = F.abs(F.col("peak_t") - F.col("peak_c"))
-    raw["sk_wasserstein_distance_mu_tc"] = wasserstein(q1, F.col("mu_t"), F.col("mu_c"))
-    raw["sk_cosine_distance_full_q2"] = P.cosine_distance(F.col("muf_t"), F.col("muf_c"))
-    raw["sk_wasserstein_distance_full_q2"] = wasserstein(qf, F.col("muf_t"), F.col("muf_c"))
-    z = z.withColumns({f"_raw_{n}": F.when(F.col("_both"), raw[n]) for n in S.PAIR_FEATURES})
-
-    few = (F.col("target_measurements") < 2) | (F.col("contralateral_measurements") < 2)
-    broken = F.lit(False)
-    for c in S.CORE4:
-        broken = broken | ~X.finite(f"_raw_{c}")
-    reason = F.when(F.col("contralateral_measurements") == 0, "contralateral_breast_unavailable")
+    z = z.withColumns({f"_m{k}": _mask_features("_points", m, k) for k, m in masks.items()})
+    raw = {
+        f"sk_{name}{k}": f"_m{k}.sk_{name}{k}" for k in masks
+        for name in ("meanrms", "weightedrms", "sigma_target", "sigma_contralateral", "mahalanobis")
+    }
+    raw["sk_peak14_intensity_abs_delta"] = "_d14"
+    raw["sk_mean_peak_value_abs_delta"] = "abs(peak_t - peak_c)"
+    raw["sk_wasserstein_distance_mu_tc"] = "_w1"
+    raw["sk_cosine_distance_full_q2"] = "_cf"
+    raw["sk_wasserstein_distance_full_q2"] = "_wf"
+    z = z.selectExpr("*", *[f"case when _both then {raw[n]} end as _raw_{n}" for n in S.PAIR_FEATURES])
+
+    broken = " or ".join(f"not {P.is_finite('_raw_' + c)}" for c in S.CORE4)
+    reason = "case when contralateral_measurements = 0 then 'contralateral_breast_unavailable'"
     if not contract.legacy:
-        reason = reason.when(few, "fewer_than_2_valid_measurements_per_breast")
-        reason = reason.when(broken, "sk_core4_not_computable")
-    z = z.withColumn("symmetry_reason", reason.otherwise(""))
-    open_ = F.col("symmetry_reason") == ""
-    paired = open_ | (F.col("symmetry_reason") == "sk_core4_not_computable")
-    within = F.coalesce((F.col("_wt") + F.col("_wc")) / 2.0, F.col("_wt"), F.col("_wc"), F.lit(0.0))
-    zero = lambda ok, v: F.when(ok, X.finite_or_zero(v)).otherwise(F.lit(0.0))
-    return z.select(
-        "target_case_id",
-        open_.cast("int").alias("symmetry_available"),
+        reason += " when target_measurements < 2 or contralateral_measurements < 2"
+        reason += f" then 'fewer_than_2_valid_measurements_per_breast' when {broken} then 'sk_core4_not_computable'"
+    z = z.withColumn("symmetry_reason", F.expr(reason + " else '' end"))
+    paired = "symmetry_reason in ('', 'sk_core4_not_computable')"
+    within = "coalesce((_wt + _wc) / 2D, _wt, _wc, 0D)"
+    value = lambda ok, v, name: f"case when {ok} and {P.is_finite(v)} then {v} else 0D end as {name}"
+    return z.selectExpr(
+        "target_case_id", "cast(symmetry_reason = '' as int) as symmetry_available",
         "symmetry_reason", "target_measurements", "contralateral_measurements",
-        X.finite_or_zero("_wt").alias("target_within_cosine_distance_mean"),
-        X.finite_or_zero("_wc").alias("contralateral_within_cosine_distance_mean"),
-        zero(paired, F.col("_between")).alias("between_breasts_cosine_distance_mean"),
-        zero(paired, F.col("_between") - within).alias("symmetry_cosine_score"),
-        *[zero(open_, F.col(f"_raw_{n}")).alias(n) for n in S.PAIR_FEATURES],
+        value("true", "_wt", "target_within_cosine_distance_mean"),
+        value("true", "_wc", "contralateral_within_cosine_distance_mean"),
+        value(paired, "_between", "between_breasts_cosine_distance_mean"),
+        value(paired, f"(_between - {within})", "symmetry_cosine_score"),
+        *[value("symmetry_reason = ''", f"_raw_{n}", n) for n in S.PAIR_FEATURES],
     )

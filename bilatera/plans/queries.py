@@ -719,7 +719,7 @@ def _(spark, sf):
     s = _sides(spark, sf)
     return s.select(
         "patientId", "side_norm", (F.col("n_unit") * (F.col("n_unit") - 1) / 2).cast("bigint").alias("pairs"),
-        r6(asymmetry.within_cosine(F.col("unit"), F.col("n_unit")), "mean_distance"),
+        r6(asymmetry.within_cosine("unit", "n_unit"), "mean_distance"),
     )
 
 

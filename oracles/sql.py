@@ -806,15 +806,17 @@ base("j3_backfill_summary", f"""select count(*) filter (sample_thickness_mm is n
 
 # --- U -----------------------------------------------------------------------------------------
 
-base("u1_step_chain", f"""select g.measurement_id, g."patientId", product_status_group, px patient_product_diagnosis, c specimen_measurement_count,
- {r6("g.v", "radial_profile_value_at_q")}, {r6("s", "profile_sum")} from g
- join (select measurement_id, sum(y) s from gpts group by 1) using (measurement_id)
- join (select measurement_id, count(*) over (partition by "specimenId") c from cohort) using (measurement_id)
- join (select "patientId", max(product_status_group) px from labelled group by 1) d on d."patientId"=g."patientId\"""",
+base("u1_step_chain", f"""select c.measurement_id, c."patientId", product_status_group, px patient_product_diagnosis, n specimen_measurement_count,
+ {r6("v", "radial_profile_value_at_q")}, {r6("s", "profile_sum")}
+ from (select *, count(*) over (partition by "specimenId") n from lc) c
+ join (select r.measurement_id, arg_min(y/b, abs(q-14)) v, sum(y/b) s from rawpts r join band using (measurement_id) group by 1) using (measurement_id)
+ join (select "patientId", max(product_status_group) px from labelled group by 1) d on d."patientId"=c."patientId" where v>8e-1""",
      """labelled as (select * from lab where "position" in ('P1','P2','P3') and sample_thickness_mm is not null
   and calibrant_thickness_mm is not null and poni_q_max_nm_inv>=23 and specimen_status<>'NA'
   and case when linked_agbh_session_uid is null then started_on not in (date '2025-02-14', date '2025-03-04')
-   else linked_agbh_session_uid not in ('cal_1','cal_5','cal_9') end),""")
+   else linked_agbh_session_uid not in ('cal_1','cal_5','cal_9') end),
+lq as (select * from labelled where sample_thickness_mm>0 and calibrant_thickness_mm between 2 and 40),
+lc as (select * from lq where "patientId" in (select "patientId" from lq where biopsy) and product_status_group is not null),""")
 base("u2_prediction_route", f"""select measurement_id, "patientId", case when specimen_status in ('CANCER','ATYPICAL','PRE_CANCEROUS') then 'CANCER'
  when specimen_status in ('BENIGN','NORMAL') then specimen_status end product_status_group, c specimen_measurement_count,
  {r6("v", "radial_profile_value_at_q")} from (select *, count(*) over (partition by "specimenId") c from qc)
