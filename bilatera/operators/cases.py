@@ -12,33 +12,26 @@ from .. import schemas as S
 from .filters import stage1_rows
 
 
-def side_table(df: DataFrame) -> DataFrame:
-    """One row per (patient, normalised side) with its row count and biopsied label range."""
-    hit = F.col("product_status_group").isin(*S.GROUP_KEEP) & X.as_flag("biopsy")
-    label = F.when(hit, X.binary_label("product_status_group"))
-    return (
-        df.select("patientId", X.side_norm("side").alias("side_norm"), label.alias("_label"))
-        .where("side_norm is not null")
-        .groupBy("patientId", "side_norm")
-        .agg(
-            F.count(F.lit(1)).alias("side_rows"),
-            F.min("_label").alias("label_min"),
-            F.max("_label").alias("label_max"),
-        )
-    )
+def paired_sides(df: DataFrame) -> DataFrame:
+    """One row per (patient, normalised side): rows, biopsied label range, and the opposite side if any.
 
-
-def pair_sides(sides: DataFrame) -> DataFrame:
-    """Each side with its opposite side if the patient has one; unpaired sides stay.
-
-    A patient has at most two rows here, so the self join is one-to-one.
+    Both sides of a patient come out of one partial aggregate, so pairing needs no self join and a
+    patient with very many rows is reduced in every task before the shuffle.
     """
-    other = sides.select(
-        "patientId", X.other_side("side_norm").alias("side_norm"),
-        F.col("side_norm").alias("contralateral_side_norm"),
-        F.col("side_rows").alias("contralateral_rows"),
-    )
-    return sides.join(other, ["patientId", "side_norm"], "left")
+    hit = F.col("product_status_group").isin(*S.GROUP_KEEP) & X.as_flag("biopsy")
+    label = F.when(hit, X.binary_label("product_status_group"))
+    rows = df.select("patientId", X.side_norm("side").alias("_s"), label.alias("_l")).where("_s is not null")
+    aggs = []
+    for s in ("LEFT", "RIGHT"):
+        mine = F.col("_s") == s
+        aggs += [
+            F.count_if(mine).alias(f"n_{s}"), F.min(F.when(mine, F.col("_l"))).alias(f"lo_{s}"),
+            F.max(F.when(mine, F.col("_l"))).alias(f"hi_{s}"),
+        ]
+    one = "named_struct('side_norm','{a}','side_rows',n_{a},'label_min',lo_{a},'label_max',hi_{a},"
+    one += "'contralateral_side_norm',if(n_{b}>0,'{b}',null),'contralateral_rows',if(n_{b}>0,n_{b},null))"
+    both = ",".join(one.format(a=a, b=b) for a, b in (("LEFT", "RIGHT"), ("RIGHT", "LEFT")))
+    return rows.groupBy("patientId").agg(*aggs).selectExpr("patientId", f"inline(array({both}))").where("side_rows > 0")
 
 
 def case_id(patient: Column, side: Column) -> Column:
@@ -52,7 +45,7 @@ def target_cases(df: DataFrame) -> DataFrame:
         F.raise_error(message).cast("int")
     )
     return (
-        pair_sides(side_table(df))
+        paired_sides(df)
         .where("label_max is not null")
         .select(
             case_id(F.col("patientId"), F.col("side_norm")).alias("target_case_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.storage import cut_lineage
 from . import metrics, ordered
 
 
@@ -90,7 +91,9 @@ def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 4
     draws are joined. Only the rank metrics need the scores of each replicate, and these are grouped per
     distinct score.
     """
-    weights = bootstrap_weights(cases, replicates=replicates, seed=seed)
+    weights = cut_lineage(bootstrap_weights(cases, replicates=replicates, seed=seed))
+    # One bucket per million cases keeps the sorts of a replicate bounded at any cohort size.
+    buckets = 1 + cases.count() // 1_000_000
     eps = 2.220446049250313e-16
     q = X.clip("p_cancer", eps, 1.0 - eps)
     pos, pred = F.col("label") == 1, F.col("p_cancer") >= F.col("threshold_target")
@@ -110,7 +113,7 @@ def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 4
     n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     cells = metrics.rates(cells).withColumns({"brier_score": F.col("square") / n, "log_loss": F.col("loss") / n})
     curve = metrics.score_curve(
-        bootstrap_cases(cases, weights), ["b"], y="label", p="p_cancer", weight="w"
+        bootstrap_cases(cases, weights), ["b"], y="label", p="p_cancer", weight="w", buckets=buckets
     )
     ranks = metrics.rank_metrics(curve, ["b"])
     two = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)

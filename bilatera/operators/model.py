@@ -469,7 +469,7 @@ def train(rows: DataFrame, *, evaluate: bool = False, grid_points: int, fold_cou
     """Features, optional patient-safe evaluation, final fit, threshold and tier policy."""
     from . import tiers
 
-    signal.require_profiles(rows)
+    rows = signal.require_profiles(cut_lineage(rows))
     admitted = filters.require_two_classes(filters.stage1_rows(rows))
     base = cut_lineage(case_features(rows, shared_axis=shared_axis))
     split_metrics = predictions = None
@@ -481,7 +481,7 @@ def train(rows: DataFrame, *, evaluate: bool = False, grid_points: int, fold_cou
         )
     first = fit_profile_model(admitted, c=profile_c)
     scores = cases_op.case_scores(base, first.score(admitted))
-    features = cases_op.reliability(base.join(scores, "target_case_id"))
+    features = cut_lineage(cases_op.reliability(base.join(scores, "target_case_id")))
     final = GatedLogistic(final_c).fit(features)
     scored = cut_lineage(final.transform(features))
     points = metrics.roc_points(metrics.score_curve(scored, y="label", p="p_cancer"), p="p_cancer")

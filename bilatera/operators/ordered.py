@@ -34,7 +34,7 @@ def running_totals(
     names = list(sums)
     grouped = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if buckets == 1:
-        grouped = grouped.withColumn("_bucket", F.lit(0))
+        return _keyed_totals(grouped, value, names, by, descending)
     else:
         steps = [i / buckets for i in range(1, buckets)]
         cuts = grouped.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
@@ -66,6 +66,18 @@ def running_totals(
     )
 
 
+def _keyed_totals(grouped: DataFrame, value: str, names: list[str], by: list[str], descending: bool) -> DataFrame:
+    """The same columns from plain keyed windows, for keys known to hold few distinct values."""
+    order = Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value))
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*by)
+    return grouped.select(
+        *by, value, *names,
+        *[F.sum(n).over(upto).alias(f"{n}_cum") for n in names],
+        *[F.sum(n).over(whole).alias(f"{n}_all") for n in names],
+        *[F.lead(n).over(order).alias(f"{n}_next") for n in names],
+    )
+
+
 def quantiles(
     df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), *, buckets: int = BUCKETS
 ) -> DataFrame:

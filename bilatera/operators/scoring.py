@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from .. import schemas as S
+from ..sources.storage import cut_lineage
 from . import asymmetry, cases, filters, metrics, tiers
 from .model import GatedLogisticModel, ProfileModel
 
@@ -79,7 +80,8 @@ def feature_rows(
         named = rows.withColumn("target_side_norm", X.side_norm("side")).where("target_side_norm is not null")
         out = out.join(filters.consensus(named, ["patientId", "target_side_norm"], columns),
                        ["patientId", "target_side_norm"], "left")
-    return cases.reliability(out)
+    # Features feed the target report, the opposite side and the percentiles: computed once.
+    return cut_lineage(cases.reliability(out))
 
 
 def neutral_gate(df: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def score_sides(
         }
     )
     if reference is not None:
-        out = metrics.score_percentiles(out, reference, p="p_cancer", y="label")
+        out = cut_lineage(metrics.score_percentiles(out, reference, p="p_cancer", y="label"))
     return out
 
 

@@ -22,7 +22,7 @@ def fitted(spark: SparkSession, sf: str) -> model.Fitted:
     """Train-all fit of the view cohort, fitted once per application and scale."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITS:
-        _FITS[key] = model.train(V.gated(spark, sf), grid_points=V.VIEW_GRID)
+        _FITS[key] = model.train(V.gated(spark, sf), grid_points=V.VIEW_GRID, shared_axis=True)
     return _FITS[key]
 
 
@@ -51,8 +51,8 @@ def scored_sides(spark: SparkSession, sf: str):
     fit = fitted(spark, sf)
     rows = storage.cut_lineage(prediction_rows(spark, sf))
     asked = scoring.request_sides(V.requests(spark, sf), rows)
-    sides = scoring.both_sides(asked)
-    features = scoring.feature_rows(rows, sides, fit.profile)
+    sides = storage.cut_lineage(scoring.both_sides(asked))
+    features = scoring.feature_rows(rows, sides, fit.profile, shared_axis=True)
     out = scoring.score_sides(features, fit.final, policy=fit.policy, reference=fit.scored.select("label", F.col("p_cancer")))
     return fit, rows, asked, sides, out
 
@@ -85,7 +85,7 @@ def _(spark, sf):
 
 def _evaluation(spark, sf):
     g = storage.cut_lineage(V.gated(spark, sf))
-    base = storage.cut_lineage(model.case_features(g))
+    base = storage.cut_lineage(model.case_features(g, shared_axis=True))
     assigned = folds.assign_folds(base, folds=5, repeats=20, seed=42)
     return model.cross_validate(filters.stage1_rows(g), base, assigned, grid_points=V.VIEW_GRID)
 
@@ -106,7 +106,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = storage.cut_lineage(prediction_rows(spark, sf))
     sides = scoring.both_sides(scoring.request_sides(V.requests(spark, sf), rows)).where("role = 'target'")
-    return scoring.feature_rows(rows, sides, fitted(spark, sf).profile)
+    return scoring.feature_rows(rows, sides, fitted(spark, sf).profile, shared_axis=True)
 
 
 @query("m19_two_sided_scores")
@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("m26_train_all")
 def _(spark, sf):
-    fit = model.train(V.gated(spark, sf), evaluate=True, grid_points=V.VIEW_GRID)
+    fit = model.train(V.gated(spark, sf), evaluate=True, grid_points=V.VIEW_GRID, shared_axis=True)
     summary = metrics.summarise_splits(fit.split_metrics)
     held = metrics.held_out_extract(summary)
     p = fit.policy

@@ -462,7 +462,7 @@ def _(spark, sf):
 
 
 def _sides(spark, sf, contract=asymmetry.CURRENT):
-    return asymmetry.side_profiles(V.gated(spark, sf), contract)
+    return asymmetry.side_profiles(V.gated(spark, sf), contract, shared_axis=True)
 
 
 @query("c19_side_profiles")
@@ -481,8 +481,10 @@ def _(spark, sf):
 
 
 def _pairs(spark, sf, contract=asymmetry.CURRENT):
+    """All profiles of the view share one q axis, as after fixed-range integration."""
     g = V.gated(spark, sf)
-    return asymmetry.pair_features(cases.target_cases(g), asymmetry.side_profiles(g, contract), contract)
+    sides = asymmetry.side_profiles(g, contract, shared_axis=True)
+    return asymmetry.pair_features(cases.target_cases(g), sides, contract)
 
 
 def _pair_query(name: str, *columns: str):
@@ -560,10 +562,11 @@ def _(spark, sf):
 
 
 def _features(spark, sf):
-    g = V.gated(spark, sf)
+    g = storage.cut_lineage(V.gated(spark, sf))
     t = cases.target_cases(g)
-    pairs = asymmetry.pair_features(t, asymmetry.side_profiles(g))
+    pairs = asymmetry.pair_features(t, asymmetry.side_profiles(g, shared_axis=True))
     scores = cases.case_scores(t, _row_scores(spark, sf, filters.stage1_rows(g)))
+    # Used by several queries more than once; one small row per case.
     return cases.feature_table(t, cases.patient_rollup(g), pairs, scores)
 
 
@@ -709,7 +712,7 @@ def _(spark, sf):
 
 @query("f5_side_pairing")
 def _(spark, sf):
-    return cases.pair_sides(cases.side_table(V.gated(spark, sf))).select(
+    return cases.paired_sides(V.gated(spark, sf)).select(
         "patientId", "side_norm", "side_rows", "contralateral_side_norm", "contralateral_rows"
     )
 
@@ -734,10 +737,10 @@ def _boot_cases(spark, sf):
     g = V.gated(spark, sf)
     t = cases.target_cases(g)
     s = cases.case_scores(t, _row_scores(spark, sf, filters.stage1_rows(g)))
-    return t.join(s, "target_case_id").select(
+    return storage.cut_lineage(t.join(s, "target_case_id").select(
         "target_case_id", "patientId", "label", F.col("profile_p_cancer_logit_average").alias("p_cancer"),
         F.lit(0.3).alias("threshold_target"),
-    )
+    ))
 
 
 BOOT = 2000
@@ -813,7 +816,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators import model
 
-    f = _features(spark, sf)
+    f = storage.cut_lineage(_features(spark, sf))
     out = model.design_matrix(f, model.gated_statistics(f))
     names = list(model.design_columns(F.col))
     return out.select("target_case_id", *[r6(n) for n in names])
