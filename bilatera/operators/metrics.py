@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,34 +116,78 @@ def loss_metrics(
     )
 
 
+SMALL_KEY = 1_000_000
+
+
+def _newton_step(a: float, b: float, s: Sequence[float], c: float) -> tuple[float, float, bool]:
+    """One damped Newton update from the five sums (g0, g1, h00, h01, h11); True when it moved."""
+    g0, g1, h00, h01, h11 = s
+    g1, h11 = g1 + b / c, h11 + 1.0 / c
+    det = h00 * h11 - h01**2
+    if det <= 0:
+        return a, b, False
+    da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+    step = min(1.0, 8.0 / max(abs(da), abs(db), 1e-12))
+    return a - step * da, b - step * db, max(abs(da), abs(db)) > 1e-9
+
+
+def _fit_small_key(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, iterations: int) -> tuple[float, float]:
+    a, b = 0.0, 1.0
+    for _ in range(iterations):
+        m = 1.0 / (1.0 + np.exp(-(a + b * x)))
+        r, v = w * (m - y), w * m * (1.0 - m)
+        a, b, moved = _newton_step(a, b, (r.sum(), (r * x).sum(), v.sum(), (v * x).sum(), (v * x * x).sum()), c)
+        if not moved:
+            break
+    return float(a), float(b)
+
+
 def calibration(
     df: DataFrame, by: Sequence[str] = (), *, y: str = "y", p: str = "p", weight: Column | None = None,
-    c: float = 1e6, iterations: int = 30, tol: float = 1e-9,
+    c: float = 1e6, iterations: int = 60, small: int = SMALL_KEY,
 ) -> DataFrame:
-    """Calibration intercept and slope: logistic of y on the clipped logit, slope penalty 1/c.
+    """Calibration intercept and slope per key: logistic of y on the clipped logit, slope penalty 1/c.
 
-    Damped-free Newton for all keys at once. Each pass is one aggregate of five sums per key; only these
-    sums, one row per key, reach the driver. One-class keys give null. Keys are splits or replicates.
+    Keys are splits or replicates; one-class keys give null. When every key is counted to be small, each
+    is solved inside its own task. Otherwise all keys advance together: a pass is one aggregate of five
+    sums per key, and only these sums reach the driver.
     """
     by = list(by)
     w = weight if weight is not None else F.lit(1.0)
     base = df.select(*by, X.logit(p).alias("_x"), F.col(y).alias("_y"), w.cast("double").alias("_w"))
+    if not by:
+        by, base = ["_one"], base.withColumn("_one", F.lit(1))
     # Rows with equal logit and label act as one weighted row; this shrinks tied scores once.
     base = base.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_w")).persist()
+    names = ("calibration_intercept", "calibration_slope")
+    keys = [f"`{k}` {base.schema[k].dataType.simpleString()}" for k in by]
+    schema = ", ".join([*keys, *[f"{n} double" for n in names]])
+    counts = base.groupBy(*by).agg(
+        F.min("_y").alias("lo"), F.max("_y").alias("hi"), F.count(F.lit(1)).alias("n")
+    ).collect()
+    if max((r["n"] for r in counts), default=0) <= small:
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            yv = pdf["_y"].to_numpy(float)
+            out = pdf[by].head(1).copy()
+            fit = (None, None)
+            if yv.min() != yv.max():
+                fit = _fit_small_key(pdf["_x"].to_numpy(), yv, pdf["_w"].to_numpy(), c, iterations)
+            out[names[0]], out[names[1]] = [fit[0]], [fit[1]]
+            return out.astype({n: float for n in names})
+
+        return base.groupBy(*by).applyInPandas(solve, schema).drop("_one").replace(float("nan"), None, list(names))
     spark = df.sparkSession
-    schema = ", ".join([f"`{k}` {base.schema[k].dataType.simpleString()}" for k in by] + ["_a double", "_b double"])
-    counts = base.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()
     state = {tuple(r[k] for k in by): [0.0, 1.0, r["lo"] != r["hi"]] for r in counts}
+    two = {k: v[2] for k, v in state.items()}
     try:
         for _ in range(iterations):
-            live = [k for k, v in state.items() if v[2]]
+            live = [(*k, v[0], v[1]) for k, v in state.items() if v[2]]
             if not live:
                 break
-            params = spark.createDataFrame([(*k, state[k][0], state[k][1]) for k in live], schema)
-            # One row per key: the table has as many rows as there are splits or replicates.
-            joined = base.join(params, by) if by else base.crossJoin(params)
-            mu = X.expit(F.col("_a") + F.col("_b") * F.col("_x"))
-            sums = joined.withColumn("_m", mu).withColumns(
+            # One row per split or replicate.
+            joined = base.join(spark.createDataFrame(live, schema).toDF(*by, "_a", "_b"), by)
+            sums = joined.withColumn("_m", X.expit(F.col("_a") + F.col("_b") * F.col("_x"))).withColumns(
                 {"_r": F.col("_w") * (F.col("_m") - F.col("_y")), "_v": F.col("_w") * F.col("_m") * (1 - F.col("_m"))}
             ).groupBy(*by).agg(
                 F.sum("_r").alias("g0"), F.sum(F.col("_r") * F.col("_x")).alias("g1"), F.sum("_v").alias("h00"),
@@ -151,24 +196,12 @@ def calibration(
             ).collect()
             for r in sums:
                 key = tuple(r[k] for k in by)
-                s = state[key]
-                g1, h11 = r["g1"] + s[1] / c, r["h11"] + 1.0 / c
-                det = r["h00"] * h11 - r["h01"] ** 2
-                if det <= 0:
-                    s[2] = False
-                    continue
-                da = (h11 * r["g0"] - r["h01"] * g1) / det
-                db = (r["h00"] * g1 - r["h01"] * r["g0"]) / det
-                step = min(1.0, 8.0 / max(abs(da), abs(db), 1e-12))
-                s[0], s[1] = s[0] - step * da, s[1] - step * db
-                s[2] = max(abs(da), abs(db)) > tol
+                a, b, _live = state[key]
+                state[key] = list(_newton_step(a, b, [r[n] for n in ("g0", "g1", "h00", "h01", "h11")], c))
     finally:
         base.unpersist()
-    two = {tuple(r[k] for k in by): r["lo"] != r["hi"] for r in counts}
     rows = [(*k, *((v[0], v[1]) if two[k] else (None, None))) for k, v in state.items()]
-    return spark.createDataFrame(
-        rows, schema.replace("_a ", "calibration_intercept ").replace("_b ", "calibration_slope ")
-    )
+    return spark.createDataFrame(rows, schema).drop("_one")
 
 
 def all_metrics(

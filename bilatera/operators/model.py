@@ -222,12 +222,13 @@ def _sum_by_split(df: DataFrame, fn, width: int, splits: int) -> np.ndarray:
     vector aggregate. The driver receives splits x width numbers.
     """
     parts = df.mapInPandas(fn, "split int, v array<double>")
-    rows = parts.groupBy("split").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select(
+    table = parts.groupBy("split").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select(
         "split", vector_to_array("s").alias("s")
-    ).collect()
+    ).toArrow()
     out = np.zeros((splits, width))
-    for r in rows:
-        out[r["split"]] = r["s"]
+    if table.num_rows:
+        flat = table.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out[table.column("split").to_numpy()] = flat.reshape(table.num_rows, width)
     return out
 
 
@@ -275,7 +276,8 @@ def fit_family(
     weight = np.stack([n / (2.0 * (n - pos)), n / (2.0 * pos)], axis=1)
     beta = np.zeros((splits, p + 1))
     live = np.ones(splits, dtype=bool)
-    width = (p + 1) + (p + 1) * (p + 1)
+    upper = np.triu_indices(p + 1)
+    width = (p + 1) + len(upper[0])
     ridge = np.eye(p + 1) / c
     ridge[0, 0] = 0.0
 
@@ -296,13 +298,15 @@ def fit_family(
                     w = mask[:, s] * weight[s][y]
                     g = z.T @ (w * (mu - y))
                     h = (z * (w * mu * (1.0 - mu))[:, None]).T @ z
-                    acc[i] += np.concatenate([g, h.ravel()])
+                    acc[i] += np.concatenate([g, h[upper]])
             yield pd.DataFrame({"split": active, "v": list(acc)})
 
         sums = _sum_by_split(df, curvature, width, splits)
         for s in active:
             g = sums[s, :p + 1] + ridge @ beta[s]
-            h = sums[s, p + 1:].reshape(p + 1, p + 1) + ridge
+            h = np.zeros((p + 1, p + 1))
+            h[upper] = sums[s, p + 1:]
+            h = h + np.triu(h, 1).T + ridge
             step = np.linalg.solve(h, g)
             beta[s] -= step * min(1.0, 10.0 / max(np.abs(step).max(), 1e-12))
             live[s] = np.abs(step).max() > tol
