@@ -156,9 +156,9 @@ def calibration(
     w = weight if weight is not None else F.lit(1.0)
     base = df.select(*by, X.logit(p).alias("_x"), F.col(y).alias("_y"), w.cast("double").alias("_w"))
     if not by:
-        by, base = ["_one"], base.withColumn("_one", F.lit(1))
+        by, base = ["_all"], base.withColumn("_all", F.lit(1))
     # Rows with equal logit and label act as one weighted row; this shrinks tied scores once.
-    base = base.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_w")).persist()
+    base = base.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_w"))
     names = ("calibration_intercept", "calibration_slope")
     keys = [f"`{k}` {base.schema[k].dataType.simpleString()}" for k in by]
     schema = ", ".join([*keys, *[f"{n} double" for n in names]])
@@ -176,8 +176,9 @@ def calibration(
             out[names[0]], out[names[1]] = [fit[0]], [fit[1]]
             return out.astype({n: float for n in names})
 
-        return base.groupBy(*by).applyInPandas(solve, schema).drop("_one").replace(float("nan"), None, list(names))
+        return base.groupBy(*by).applyInPandas(solve, schema).drop("_all").replace(float("nan"), None, list(names))
     spark = df.sparkSession
+    base = base.persist()
     state = {tuple(r[k] for k in by): [0.0, 1.0, r["lo"] != r["hi"]] for r in counts}
     two = {k: v[2] for k, v in state.items()}
     try:
@@ -201,7 +202,7 @@ def calibration(
     finally:
         base.unpersist()
     rows = [(*k, *((v[0], v[1]) if two[k] else (None, None))) for k, v in state.items()]
-    return spark.createDataFrame(rows, schema).drop("_one")
+    return spark.createDataFrame(rows, schema).drop("_all")
 
 
 def all_metrics(
