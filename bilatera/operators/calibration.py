@@ -204,8 +204,7 @@ def window_table(spark: SparkSession, grid: np.ndarray, windows, half: float) ->
 
 def on_grid(df: DataFrame, lo: float, hi: float, points: int, name: str = "yn") -> DataFrame:
     """Profile on the study grid, scaled to [0, 1]."""
-    placed = df.withColumn("_y", P.resample(lo, hi, points)("q_range", "radial_profile_data"))
-    return placed.withColumn(name, P.min_max("_y")).drop("_y")
+    return df.withColumn(name, P.resample(lo, hi, points, scaled=True)("q_range", "radial_profile_data"))
 
 
 def reference_curve(reference: DataFrame, lo: float, hi: float, points: int) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,19 @@ def running_totals(
     grouped = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if buckets == 1:
         return _keyed_totals(grouped, value, names, by, descending)
-    else:
-        steps = [i / buckets for i in range(1, buckets)]
+    steps = [i / buckets for i in range(1, buckets)]
+    if by:
         cuts = grouped.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
-        # Without keys the right side is exactly one row holding buckets - 1 numbers.
-        grouped = grouped.join(cuts, by) if by else grouped.join(F.broadcast(cuts))
         at = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c <= F.col(value)).cast("int"))
-        grouped = grouped.withColumn("_bucket", -at if descending else at).drop("_cuts")
+        grouped = grouped.join(cuts, by).withColumn("_at", at).drop("_cuts")
+    else:
+        # A sketch of the one column gives at most buckets - 1 cut points; they only place the work.
+        cuts = sorted(set(df.select(F.col(value).cast("double").alias("_v")).approxQuantile("_v", steps, 0.002)))
+        splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+        cast = grouped.withColumn("_v", F.col(value).cast("double"))
+        cutter = Bucketizer(splits=splits, inputCol="_v", outputCol="_at", handleInvalid="keep")
+        grouped = cutter.transform(cast).withColumn("_at", F.col("_at").cast("int")).drop("_v")
+    grouped = grouped.withColumn("_bucket", -F.col("_at") if descending else F.col("_at")).drop("_at")
     first = F.struct(*names)
     ends = grouped.groupBy(*by, "_bucket").agg(
         *[F.sum(n).alias(f"_{n}") for n in names],
