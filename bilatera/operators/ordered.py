@@ -44,7 +44,10 @@ def running_totals(
     else:
         # A sketch of the one column gives at most buckets - 1 cut points; they only place the work.
         cuts = sorted(set(df.select(F.col(value).cast("double").alias("_v")).approxQuantile("_v", steps, 0.002)))
-        splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+        cuts = [c for c in cuts if abs(c) != float("inf")]
+        if not cuts:
+            return _keyed_totals(grouped, value, names, by, descending)  # no finite value at all
+        splits = [float("-inf"), *cuts, float("inf")]
         cast = grouped.withColumn("_v", F.col(value).cast("double"))
         cutter = Bucketizer(splits=splits, inputCol="_v", outputCol="_at", handleInvalid="keep")
         grouped = cutter.transform(cast).withColumn("_at", F.col("_at").cast("int")).drop("_v")

@@ -1039,7 +1039,8 @@ def _(spark, sf):
         scored, ok="agbh_monochromaticity_pass",
         parameters={"max_score": calibration.MAX_SCORE, "q_min": 2.0, "q_max": 23.0, "beta_ratio": calibration.BETA_RATIO},
     )
-    return spark.read.schema(record.schema).json(storage.write_json(record, storage.new_path(spark, "selection")))
+    back = spark.read.schema(record.schema).json(storage.write_json(record, storage.new_path(spark, "selection")))
+    return back.select("schema_version", "parameters.max_score", "parameters.beta_ratio", "selection.*", F.col("h5_date_filter.op").alias("date_op"))
 
 
 @query("k9_calibrant_integration")
