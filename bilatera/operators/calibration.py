@@ -298,7 +298,8 @@ def reference_fit(
     m = [[g("rr"), g("r"), g("rc")], [g("r"), n, g("c")], [g("rc"), g("c"), g("cc")]]
     rhs = [g("ry"), g("y"), g("cy")]
     swap = lambda k: [[rhs[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-    s = s.withColumn("det", _det3(m)).withColumns(
+    # A singular system (flat reference) has no fit; such a profile keeps null results.
+    s = s.withColumn("det", _det3(m)).where("det <> 0").withColumns(
         {"scale": _det3(swap(0)) / F.col("det"), "offset": _det3(swap(1)) / F.col("det"), "slope": _det3(swap(2)) / F.col("det")}
     )
     a, b, d = F.col("scale"), F.col("offset"), F.col("slope")
@@ -364,7 +365,7 @@ def left_shoulder_metric(
             "window_orders": F.lit(",".join(str(w[0]) for w in windows)),
         }
     )
-    return df.select("vec_id", *keys).join(out, "vec_id").join(fit, "vec_id")
+    return df.select("vec_id", *keys).join(out, "vec_id", "left").join(fit, "vec_id", "left")
 
 
 def pass_fail(df: DataFrame, score: str = "kbeta_left_mean_net_residual", max_score: float = MAX_SCORE) -> DataFrame:
@@ -412,7 +413,7 @@ def selection_record(df: DataFrame, *, parameters: dict[str, float], ok: str = "
         F.count_if(~F.col(ok)).alias("rows_rejected"),
     )
     return n.select(
-        F.lit("aramina_preprocessing_v0_1").alias("schema_version"),
+        F.lit("calibration_selection_v0_1").alias("schema_version"),
         F.struct(*[F.lit(v).alias(k) for k, v in parameters.items()]).alias("parameters"),
         F.struct("rows_total", "rows_accepted", "rows_rejected").alias("selection"),
         F.struct(F.lit("started_at").alias("column"), F.lit("date in").alias("op")).alias("h5_date_filter"),

@@ -204,7 +204,7 @@ def external_report(scored: DataFrame, requests: DataFrame, *, record: dict, ide
     )
     meta = _scan_metadata(target)
     return target.withColumn("_m", meta).select(
-        F.lit("aramina_external_report").alias("output_type"), F.lit(identity["external_version"]).alias("report_version"),
+        F.lit("external_report").alias("output_type"), F.lit(identity["external_version"]).alias("report_version"),
         F.sha2(F.concat_ws("|", F.lit(identity["id"]), "target_case_id"), 256).substr(1, 16).alias("report_id"),
         created_at.alias("created_at"), "analysis_author", "prediction_comment",
         F.col("patientId").alias("patient_id"), F.col("_m.patient_age").alias("patient_age"),
@@ -283,7 +283,7 @@ def internal_report(
     )
     out = target.join(asked, ["patientId", "_side"]).join(other, ["patientId", "_side"], "left")
     return out.withColumn("contralateral", _breast("contralateral")).select(
-        F.lit("aramina_internal_clinical_report").alias("output_type"),
+        F.lit("internal_clinical_report").alias("output_type"),
         F.lit(identity["internal_version"]).alias("report_version"),
         F.sha2(F.concat_ws("|", F.lit(identity["id"]), "_case"), 256).substr(1, 16).alias("report_id"),
         created_at.alias("created_at"), "analysis_author", "prediction_comment",

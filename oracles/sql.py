@@ -768,7 +768,7 @@ cal("k6_left_shoulder", f"""select vec_id, session_uid, data_batch, {r6("la", "k
  (select string_agg(ord::varchar, ',' order by ord) from win) window_orders from ks join ff using (vec_id) join cal using (vec_id)""", *STUDY)
 cal("k7_pass_fail", f"""select vec_id, {r6("score", "agbh_monochromaticity_score")}, score<=75e-4 agbh_monochromaticity_pass,
  case when score<=75e-4 then 'accepted' else 'rejected' end agbh_monochromaticity_status from ks""", *STUDY)
-cal("k8_selection_record", """select 'aramina_preprocessing_v0_1' schema_version, 75e-4 max_score, 886e-3 beta_ratio, count(*) rows_total,
+cal("k8_selection_record", """select 'calibration_selection_v0_1' schema_version, 75e-4 max_score, 886e-3 beta_ratio, count(*) rows_total,
  count(*) filter (score<=75e-4) rows_accepted, count(*) filter (score>75e-4) rows_rejected, 'date in' date_op from ks""", *STUDY)
 plain("k9_calibrant_integration", f"""with {PX} select measurement_id, count(*)::int points, {r6("sum(intensity)", "profile_sum")},
  {r6("2e0+(min(bin)+5e-1)*21e-2", "q_lo")}, {r6("2e0+(max(bin)+5e-1)*21e-2", "q_hi")} from allbins group by 1""")
