@@ -29,12 +29,15 @@ MIN_FIT_POINTS = 10
 
 def manifest(sets: DataFrame) -> DataFrame:
     """Flat calibration manifest: JSON provenance, scalar acquisition fields, flags, parsed time."""
-    field = lambda n: F.get_json_object("metadata", f"$.backfill_provenance.{n}").alias(n)
-    return sets.select(
+    names = ("data_batch", "source_line", "nova_range", "human1_version", "protocol_version")
+    # One parse per row, whatever number of fields is used.
+    fields = ", ".join(f"{n}: string" for n in names)
+    parsed = F.from_json("metadata", f"backfill_provenance struct<{fields}>")
+    return sets.withColumn("_p", parsed).select(
         "file_path", "file_name", "session_uid",
         F.try_to_timestamp("started_at").alias("started_at"),
         "set_name", "measurement_type_name", "measurement_type_category",
-        *[field(n) for n in ("data_batch", "source_line", "nova_range", "human1_version", "protocol_version")],
+        *[F.col(f"_p.backfill_provenance.{n}").alias(n) for n in names],
         F.col("distance").alias("distance_mm"), F.col("exposure_time").alias("exposure_time_s"),
         F.col("poni").isNotNull().alias("has_poni"), F.col("raw_file").isNotNull().alias("has_raw_file"),
     )
