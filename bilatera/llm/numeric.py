@@ -85,7 +85,7 @@ def flat(array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text, or one row where a row is longer."""
     for batch in batches:
         _, offsets = flat(batch.column(column))

@@ -9,9 +9,18 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded in bytes, so a Python worker never holds many long documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            modest_batches(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return fn
@@ -28,3 +37,17 @@ def _(spark, sf):
     from .substring_suffix import remove_repeats
 
     return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_sum_of_squares_packing")
+def _(spark, sf):
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"))
+
+
+@query("op8_relative_lempel_ziv")
+def _(spark, sf):
+    from .substring_rlz import remove_known
+
+    return remove_known(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
