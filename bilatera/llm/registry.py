@@ -51,3 +51,10 @@ def _(spark, sf):
     from .substring_rlz import remove_known
 
     return remove_known(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_kneser_ney_quality")
+def _(spark, sf):
+    from .quality import judge
+
+    return judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "perplexity", "low", "high", "trusted", "kept")
