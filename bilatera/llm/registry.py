@@ -58,3 +58,31 @@ def _(spark, sf):
     from .quality import judge
 
     return judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "perplexity", "low", "high", "trusted", "kept")
+
+
+@query("op6_nearest_centroid_language")
+def _(spark, sf):
+    from .language import fit, predict
+
+    docs = table(spark, sf, "documents")
+    return predict(docs, fit(docs))
+
+
+#: Target shares of the mixing query.
+MIX = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}
+
+
+@query("op10_soft_membership_mixing")
+def _(spark, sf):
+    from .mixing import mix
+
+    rated, info = mix(table(spark, sf, "documents"), table(spark, sf, "labels"), MIX)
+    shares = [F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(info["domains"])]
+    return rated.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
+@query("op1_ngram_jaccard_join")
+def _(spark, sf):
+    from .jaccard import join
+
+    return join(table(spark, sf, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")

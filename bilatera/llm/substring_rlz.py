@@ -42,20 +42,25 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
     gram = gram or max(1, width // 2)
     text = W.keyed(docs).where(F.col("doc_id").isNotNull())
 
-    def mark(batches):
+    def mark(batches, known=None):
         for b in N.slices(batches, "text"):
             data, offsets = N.flat(b.column("text"))
             starts, ends, firsts = N.words(data, offsets)
-            got = W.stretches(N.word_values(data, starts, ends), firsts, width, gram)
+            got = W.only(W.stretches(N.word_values(data, starts, ends), firsts, width, gram), known)
             take = pa.array(got["row"])
             yield W.table({
                 "h": N.signed(got["h"]), "x": N.signed(got["x"]), **{c: b.column(c).take(take) for c in ("doc_id", *W.KEY)},
                 "s": got["s"].astype(np.int32), "m": got["m"].astype(np.int32),
             })
 
-    marks = text.mapInArrow(mark, "h long, x long, doc_id long, ka long, kb long, s int, m int")
-    shared = marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    marks = cut_lineage(marks.join(shared, "h", "left_semi"))
+    schema = "h long, x long, doc_id long, ka long, kb long, s int, m int"
+    marks = text.mapInArrow(mark, schema)
+    # The first pass tells which marks several documents have, the second sends only their stretches.
+    shared = cut_lineage(
+        marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    )
+    known = W.BitFilter(shared)
+    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi"))
     index = marks.groupBy("h", "x").agg(F.min(F.struct("doc_id", "s")).alias("ref"))
     groups = index.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("ref.doc_id").alias("lowest")).where("d > 1")
     found = marks.join(index, ["h", "x"])
@@ -112,7 +117,7 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
             "ref_s": ref_s[hit[first]].astype(np.int32),
         })
 
-    near = few.repartition("h").mapInArrow(W.whole_partition(resolve), "ka long, kb long, s int, m int, ref_doc long, ref_s int")
+    near = few.repartition("h").sortWithinPartitions("h").mapInArrow(W.by_groups(resolve, ["h"]), "ka long, kb long, s int, m int, ref_doc long, ref_s int")
 
     def explode(batches):
         for b in N.slices(batches, "part", 1 << 18):

@@ -52,18 +52,22 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
     gram = gram or max(1, width * 8 // 25)
     text = W.keyed(docs)
 
-    def mark(batches):
+    def mark(batches, known=None):
         for b in N.slices(batches, "text"):
             data, offsets = N.flat(b.column("text"))
-            got = W.stretches(N.byte_values(data), offsets, width, gram)
+            got = W.only(W.stretches(N.byte_values(data), offsets, width, gram), known)
             take = pa.array(got["row"])
             yield W.table({
                 "h": N.signed(got["h"]), "x": N.signed(got["x"]), "ka": b.column("ka").take(take), "kb": b.column("kb").take(take),
                 "s": got["s"].astype(np.int32), "m": got["m"].astype(np.int32), "twice": got["twice"],
             })
 
-    marks = text.select("text", *W.KEY).mapInArrow(mark, "h long, x long, ka long, kb long, s int, m int, twice boolean")
-    again = marks.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h")
+    schema = "h long, x long, ka long, kb long, s int, m int, twice boolean"
+    marks = text.select("text", *W.KEY).mapInArrow(mark, schema)
+    # The first pass tells which marks come again, the second sends only their stretches.
+    again = cut_lineage(marks.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h"))
+    known = W.BitFilter(again)
+    marks = text.select("text", *W.KEY).mapInArrow(lambda batches: mark(batches, known), schema)
     marks = cut_lineage(marks.join(again, "h", "left_semi"))
     whole = marks.groupBy("h", "x").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*W.KEY, "s", "m")).alias("one"), F.max("twice").alias("twice")
@@ -111,7 +115,7 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
             "s": (s[row[first]] + starts[first] - offsets[row[first]]).astype(np.int32), "m": length.astype(np.int32),
         })
 
-    near = few.repartition("h").mapInArrow(W.whole_partition(resolve), "ka long, kb long, s int, m int")
+    near = few.repartition("h").sortWithinPartitions("h").mapInArrow(W.by_groups(resolve, ["h"]), "ka long, kb long, s int, m int")
 
     def explode(batches):
         for b in N.slices(batches, "part", 1 << 18):

@@ -57,10 +57,42 @@ def stretches(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     }
 
 
+def only(got: dict[str, np.ndarray], known) -> dict[str, np.ndarray]:
+    """Stretches whose mark may be in a filter; all without one."""
+    if known is None:
+        return got
+    keep = known(got["h"])
+    return {k: v[keep] for k, v in got.items()}
+
+
 def table(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
+class BitFilter:
+    """A fixed number of bits that tells most values outside a set; a join on the set itself follows.
+
+    The size grows with the set up to ``most`` bits. Beyond that it lets more through, nothing is lost.
+    """
+
+    def __init__(self, rows: DataFrame, column: str = "h", most: int = 1 << 26):
+        size = min(most, 1 << max(10, (16 * rows.count()).bit_length()))
+        self.mask = size - 1
+        place = F.explode(F.array(F.col(column).bitwiseAND(F.lit(self.mask)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(self.mask))))
+        bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+        got = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        bits = np.zeros(size >> 6, np.int64)
+        bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+        self.sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bits = self.sent.value.view(N.U)
+        found = np.ones(len(h), bool)
+        for place in (h & N.U(self.mask), (h >> N.U(32)) & N.U(self.mask)):
+            found &= (bits[place >> N.U(6)] >> (place & N.U(63))) & N.U(1) > 0
+        return found
+
+
 def hot_or_not(groups: DataFrame, stretch_count: Column) -> tuple[DataFrame, DataFrame]:
     return groups.where(stretch_count <= IN_TASK), groups.where(stretch_count > IN_TASK)
 
@@ -70,12 +102,30 @@ def per_document(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def whole_partition(step: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
-    """Run ``step`` on all rows of a partition; their number is bounded by the shuffle partition's size."""
+def by_groups(step: Callable[[pa.Table], Iterator[pa.RecordBatch]], keys: list[str], limit: int = 1 << 20):
+    """Run ``step`` on whole groups of a partition sorted by ``keys``, about ``limit`` bytes at a time.
+
+    Memory is bounded by ``limit`` and the largest group, whatever the size of the partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if got and sum(b.num_rows for b in got):
-            yield from step(pa.Table.from_batches(got).combine_chunks())
+        held, size = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                held.append(b.slice(at, 1024))
+                size += held[-1].nbytes
+                if size < limit:
+                    continue
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = np.all([rows.column(k).to_numpy() == rows.column(k)[-1].as_py() for k in keys], axis=0)
+                cut = rows.num_rows - int(last.sum())
+                if cut:
+                    yield from step(rows.slice(0, cut).combine_chunks())
+                    rows = rows.slice(cut).combine_chunks()
+                held = rows.to_batches()
+                size = rows.nbytes if cut else 0  # a group that goes on grows by another limit before the next try
+        if held:
+            yield from step(pa.Table.from_batches(held).combine_chunks())
+        pa.default_memory_pool().release_unused()
 
     return run
