@@ -157,7 +157,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, keep: tuple
     """One row per document: perplexity per byte, the bounds of its language, ``trusted`` and ``kept``."""
     text = W.keyed(docs, "lang")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
-    trusted = text.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    trusted = text.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
     seen = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(4)) != 0  # a quarter sets the quantiles only
     counts = cut_lineage(count_grams(trusted.where(seen), order))
     wanted = cut_lineage(count_grams(text, order).select("key"))
