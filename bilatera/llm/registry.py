@@ -86,3 +86,40 @@ def _(spark, sf):
     from .jaccard import join
 
     return join(table(spark, sf, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
+
+
+#: Brute force over the same rows, in doubles, components in order.
+VECTORS = """
+v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+      where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+
+@query("op3_rotated_one_bit_codes", f"""
+with {VECTORS},
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e) score from v q join v c
+      on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""")
+def _(spark, sf):
+    from .ann import search
+
+    return search(table(spark, sf, "embeddings"))
+
+
+@query("op9_euclidean_p_stable_dedup", f"""
+with recursive {VECTORS},
+n as (select vec_id, label, e, sqrt(list_inner_product(e, e)) s from v where label is not null),
+l as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.98),
+r as (select vec_id a, vec_id b from n union select r.a, l.b from r join l on l.a = r.b),
+c as (select a, min(b) component_id from r group by a),
+k as (select a, count(*) n_links from l group by a)
+select e.vec_id, e.label::bigint as label, coalesce(n_links, 0)::bigint n_links, coalesce(component_id, e.vec_id) component_id,
+       coalesce(e.vec_id = coalesce(component_id, e.vec_id), true) kept
+from embeddings e left join c on c.a = e.vec_id left join k on k.a = e.vec_id""")
+def _(spark, sf):
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf, "embeddings"))
