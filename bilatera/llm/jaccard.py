@@ -6,8 +6,8 @@ in all rows of a band become candidates: with 45 bands of 6 a pair at the thresh
 posterior chance that their similarity reaches the threshold, with a flat prior, is below ``TOLERANCE``; with m of n
 values equal that chance is P(Binomial(n + 1, threshold) <= m). The rest is verified on the sets themselves.
 
-Words are what white space separates. A text of fewer words than a shingle is one shingle; without words it has no
-links, and null is empty. A null doc_id takes part and never names a class. Rows that repeat are copies, which link.
+Words are what white space separates. A text of fewer words than a shingle is one shingle. Texts without words, null
+among them, are copies of each other and similar to nothing else. A null doc_id takes part and never names a class. Rows that repeat are copies, which link.
 """
 
 from __future__ import annotations
@@ -142,8 +142,8 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) ->
     # The id of a class is given before the table is written, so later reads agree on it.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ka", "kb")
     classes = cut_lineage(
-        marked.where("n > 0").groupBy("f1", "f2").agg(
-            F.count(F.lit(1)).alias("weight"), F.min(row).alias("one"), F.first("bands").alias("bands")
+        marked.groupBy("f1", "f2").agg(
+            F.count(F.lit(1)).alias("weight"), F.min(row).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")
         ).withColumn("id", F.monotonically_increasing_id())
     )
 
@@ -151,7 +151,7 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) ->
         data, _ = N.flat(b.column("bands"))
         return np.repeat(np.arange(b.num_rows), BANDS), np.frombuffer(data, N.U)
 
-    grouped = C.groups(classes, buckets, ["bands"])
+    grouped = C.groups(classes.where("n > 0"), buckets, ["bands"])
     members = grouped.join(classes.select("id", "weight", "one.ka", "one.kb"), "id")
 
     def read(batches):
@@ -176,8 +176,5 @@ def join(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) ->
     rows = marked.select("doc_id", "ka", "kb", "f1", "f2", "n").withColumn("copy", copy).join(named, ["f1", "f2"], "left")
     chosen = (F.col("best.ka") == F.col("ka")) & (F.col("best.kb") == F.col("kb")) & (F.col("copy") == 1)
     return rows.select(
-        "doc_id", "ka", "kb", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") > 0, chosen).otherwise(F.lit(True)).alias("kept"), "copy",
+        "doc_id", "ka", "kb", "class_id", "component_id", F.col("n_links").cast("long").alias("n_links"), chosen.alias("kept"), "copy",
     )

@@ -92,7 +92,13 @@ class Classifier:
         keep = self.use[feature]
         row, feature = row[keep], feature[keep]
         truth = np.eye(len(self.names))[domain]
-        step = 1 / (0.5 * (1 + np.bincount(row, minlength=1).max()) * max(np.bincount(feature, minlength=1).max(), 1) ** 0.5 + PENALTY)
+        # The loss curves by half the largest eigenvalue of the features' squares at most.
+        v, size = np.ones(self.weight.shape[1]), 1.0
+        for _ in range(20):
+            v = np.bincount(feature, np.bincount(row, v[feature], minlength=n)[row], minlength=len(v))
+            size = float(np.linalg.norm(v)) or 1.0
+            v /= size
+        step = 1 / (0.6 * size + PENALTY)
         weight, base = self.weight, self.base
         past = (weight, base)
         for k in range(PASSES):
@@ -102,7 +108,7 @@ class Classifier:
             slope = np.stack([np.bincount(feature, off[row, c], minlength=weight.shape[1]) for c in range(len(self.names))])
             past = (weight, base)
             weight = self.weight - step * (slope + PENALTY * self.weight)
-            base = self.base - off.mean(axis=0)
+            base = self.base - 2 * off.mean(axis=0)
         self.weight, self.base = weight, base
 
 
@@ -216,9 +222,9 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
         before, reached = reached, np.zeros(k)
         for r in got.collect():
             reached[r["domain"]] = r["s"]
-        # At the end either the targets are met or the totals stand still: a domain without documents cannot be met.
+        # At the end either the targets are met or the totals stand still, as posteriors need not allow the targets.
         limit = TOLERANCE * max(want.sum(), 1.0)
-        if np.abs(reached - want).max() <= limit or np.abs(reached - before).max() <= 0.01 * limit:
+        if np.abs(reached - want).max() <= limit or np.abs(reached - before).max() <= 0.5 * limit:
             converged = True
             break
     if not converged:

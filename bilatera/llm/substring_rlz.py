@@ -73,7 +73,7 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
     listed = W.per_document(open_, ["h", "d", "asks", "s", "m"], "found")
 
     def cut(batches):
-        for b in N.slices(batches, "text"):
+        for b in W.unpacked(batches):
             data, offsets = N.flat(b.column("text"))
             starts, ends, firsts = N.words(data, offsets)
             raw, rows = data.tobytes(), {k: [] for k in ("h", "d", "asks", "doc_id", *W.KEY, "s", "m", "part")}
@@ -88,7 +88,7 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
-    parts = cut_lineage(text.join(listed, list(W.KEY)).mapInArrow(
+    parts = cut_lineage(W.packed(text).join(listed, list(W.KEY)).mapInArrow(
         cut, "h long, d long, asks boolean, doc_id long, ka long, kb long, s int, m int, part binary"
     ))
     few, many = W.hot_or_not(parts, F.col("d"))
@@ -155,10 +155,10 @@ def factors(found: list[dict], width: int) -> list[dict]:
 def remove_known(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFrame:
     """One row per document: word counts, ``factors`` found in earlier documents, and the words that stay as ``kept``."""
     found = W.per_document(phrases(docs, width, gram), PHRASE, "found")
-    text = W.keyed(docs).join(found, list(W.KEY), "left")
+    text = W.packed(W.keyed(docs)).join(found, list(W.KEY), "left")
 
     def cut(batches):
-        for b in N.slices(batches, "text"):
+        for b in W.unpacked(batches):
             out = {k: [] for k in ("n_words", "n_removed", "factors", "kept", "kept_sha256")}
             for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist()):
                 tokens, known = t.encode().split(), factors(found or [], width)
@@ -178,6 +178,6 @@ def remove_known(docs: DataFrame, width: int = 13, gram: int | None = None) -> D
             arrays = [b.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *out])
 
-    return text.select("doc_id", "text", "found").mapInArrow(
+    return text.select("doc_id", "packed", "found").mapInArrow(
         cut, f"doc_id long, n_words long, n_removed long, factors {FACTOR}, kept string, kept_sha256 string"
     )

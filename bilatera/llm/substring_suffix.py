@@ -79,7 +79,7 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
     listed = W.per_document(open_, ["h", "d", "asks", "s", "m"], "found")
 
     def cut(batches):
-        for b in N.slices(batches, "text"):
+        for b in W.unpacked(batches):
             rows = {k: [] for k in ("h", "d", "asks", *W.KEY, "s", "m", "part")}
             for ka, kb, t, found in zip(*(b.column(c).to_pylist() for c in (*W.KEY, "text", "found"))):
                 raw = t.encode()
@@ -92,7 +92,7 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
-    parts = text.select("text", *W.KEY).join(listed, list(W.KEY)).mapInArrow(
+    parts = W.packed(text.select("text", *W.KEY)).join(listed, list(W.KEY)).mapInArrow(
         cut, "h long, d long, asks boolean, ka long, kb long, s int, m int, part binary"
     )
     parts = cut_lineage(parts)
@@ -140,10 +140,10 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFrame:
     """One row per document: sizes, removed runs as ``spans`` (start, end) and the bytes that stay as ``kept``."""
     found = W.per_document(spans(docs, width, gram), ["s", "m"], "found")
-    text = W.keyed(docs).join(found, list(W.KEY), "left")
+    text = W.packed(W.keyed(docs)).join(found, list(W.KEY), "left")
 
     def cut(batches):
-        for b in N.slices(batches, "text"):
+        for b in W.unpacked(batches):
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")}
             for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist()):
                 raw = t.encode()
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int | None = None) -
             arrays = [b.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *out])
 
-    return text.select("doc_id", "text", "found").mapInArrow(
+    return text.select("doc_id", "packed", "found").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, "
         "kept binary, kept_sha256 string",
     )

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,20 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+ROW_KEY = ("__row_ka", "__row_kb")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """All columns and the key of ``keyed`` under names of their own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.withColumns(dict(zip(ROW_KEY, (F.xxhash64(F.lit(7), doc_id, text), F.xxhash64(text, F.lit(11), doc_id)))))
+
+
+def under_row_key(found: DataFrame, *columns: str) -> DataFrame:
+    return found.select(*[F.col(k).alias(r) for k, r in zip(KEY, ROW_KEY)], *columns)
+
+
 def stretches(values: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
     """Stretches of windows with one mark: mark, content hash, row, first window, windows, internal repeat."""
     ranges = N.Ranges(values)
@@ -69,6 +84,30 @@ def table(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
+def packed(text: DataFrame) -> DataFrame:
+    """The same rows with the text compressed, for a shuffle of whole texts."""
+    rest = [f for f in text.schema.fields if f.name != "text"]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in N.slices(batches, "text"):
+            data, offsets = N.flat(b.column("text"))
+            raw = data.tobytes()
+            small = pa.array([press.compress(raw[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), small], names=[*(f.name for f in rest), "packed"])
+
+    return text.mapInArrow(squeeze, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size with ``text`` in place of ``packed``."""
+    press = zstandard.ZstdDecompressor()
+    for b in N.slices(batches, "packed", 1 << 17):
+        texts = pa.array([press.decompress(x).decode() for x in b.column("packed").to_pylist()], pa.string())
+        names = [n for n in b.schema.names if n != "packed"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), texts], names=[*names, "text"])
+
+
 class BitFilter:
     """A fixed number of bits that tells most values outside a set; a join on the set itself follows.
 
