@@ -91,6 +91,8 @@ class Classifier:
         n = len(domain)
         keep = self.use[feature]
         row, feature = row[keep], feature[keep]
+        if not len(feature):
+            return
         truth = np.eye(len(self.names))[domain]
         # The loss curves by half the largest eigenvalue of the features' squares at most.
         v, size = np.ones(self.weight.shape[1]), 1.0
