@@ -71,14 +71,34 @@ def finite_or_null(c: Column | str) -> Column:
     return F.when(finite(c), col(c))
 
 
+def round_half_even(c: Column | str, digits: int) -> Column:
+    """Rounding of the exact binary value, ties to even.
+
+    The scaled value is rounded itself, so its error is computed exactly by splitting both factors into halves of
+    26 bits: at an apparent tie its sign tells on which side the value lies.
+    """
+    x, scale = col(c), float(10**digits)
+    half = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)
+    sh = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    sl, xh = scale - sh, half(x)
+    xl, p = x - xh, x * scale
+    error = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    down = F.floor(p)
+    tie = (p - down) == 0.5
+    up = ((p - down) > 0.5) | (tie & ((error > 0) | ((error == 0) & (down % 2 != 0))))
+    # Beyond 2^52 a double has no digits left to round.
+    return F.when(F.abs(p) >= float(1 << 52), x).otherwise((down + up.cast("long")) / scale + F.lit(0.0))
+
+
 def report_number(c: Column | str, digits: int = 5) -> Column:
     """Report rounding; non-finite becomes null."""
-    return F.when(finite(c), F.round(col(c), digits) + F.lit(0.0))
+    return F.when(finite(c), round_half_even(c, digits))
 
 
 def to_number(c: Column | str) -> Column:
-    """Numeric coercion: text that is no number becomes null."""
-    return col(c).try_cast("double")
+    """Numeric coercion: text that is no number, and NaN, become null."""
+    x = col(c).try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def clip(c: Column | str, lo: float, hi: float) -> Column:

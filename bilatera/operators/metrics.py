@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,41 +115,27 @@ def loss_metrics(
     )
 
 
-SMALL_KEY = 1_000_000
-
-
-def _newton_step(a: float, b: float, s: Sequence[float], c: float) -> tuple[float, float, bool]:
-    """One damped Newton update from the five sums (g0, g1, h00, h01, h11); True when it moved."""
+def _newton_step(a: float, b: float, s: Sequence[float], c: float) -> tuple[float, float, str]:
+    """One damped Newton update from the five sums (g0, g1, h00, h01, h11), and whether it moved, settled or has no optimum."""
     g0, g1, h00, h01, h11 = s
     g1, h11 = g1 + b / c, h11 + 1.0 / c
     det = h00 * h11 - h01**2
     if det <= 0:
-        return a, b, False
+        return a, b, "flat"
     da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
     step = min(1.0, 8.0 / max(abs(da), abs(db), 1e-12))
-    return a - step * da, b - step * db, max(abs(da), abs(db)) > 1e-9
-
-
-def _fit_small_key(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, iterations: int) -> tuple[float, float]:
-    a, b = 0.0, 1.0
-    for _ in range(iterations):
-        m = 1.0 / (1.0 + np.exp(-(a + b * x)))
-        r, v = w * (m - y), w * m * (1.0 - m)
-        a, b, moved = _newton_step(a, b, (r.sum(), (r * x).sum(), v.sum(), (v * x).sum(), (v * x * x).sum()), c)
-        if not moved:
-            break
-    return float(a), float(b)
+    return a - step * da, b - step * db, "moved" if max(abs(da), abs(db)) > 1e-9 else "settled"
 
 
 def calibration(
     df: DataFrame, by: Sequence[str] = (), *, y: str = "y", p: str = "p", weight: Column | None = None,
-    c: float = 1e6, iterations: int = 60, small: int = SMALL_KEY,
+    c: float = 1e6, iterations: int = 60,
 ) -> DataFrame:
     """Calibration intercept and slope per key: logistic of y on the clipped logit, slope penalty 1/c.
 
-    Keys are splits or replicates; one-class keys give null. When every key is counted to be small, each
-    is solved inside its own task. Otherwise all keys advance together: a pass is one aggregate of five
-    sums per key, and only these sums reach the driver.
+    Keys are splits or replicates. All advance together: a pass is one aggregate of five sums per key,
+    and only these sums reach the driver. Keys of one class, and keys whose curvature vanishes before the
+    optimum (perfectly separated scores), give null. A key that does not settle fails the job.
     """
     by = list(by)
     w = weight if weight is not None else F.lit(1.0)
@@ -162,32 +147,17 @@ def calibration(
     names = ("calibration_intercept", "calibration_slope")
     keys = [f"`{k}` {base.schema[k].dataType.simpleString()}" for k in by]
     schema = ", ".join([*keys, *[f"{n} double" for n in names]])
-    counts = base.groupBy(*by).agg(
-        F.min("_y").alias("lo"), F.max("_y").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).collect()
-    if max((r["n"] for r in counts), default=0) <= small:
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            yv = pdf["_y"].to_numpy(float)
-            out = pdf[by].head(1).copy()
-            fit = (None, None)
-            if yv.min() != yv.max():
-                fit = _fit_small_key(pdf["_x"].to_numpy(), yv, pdf["_w"].to_numpy(), c, iterations)
-            out[names[0]], out[names[1]] = [fit[0]], [fit[1]]
-            return out.astype({n: float for n in names})
-
-        return base.groupBy(*by).applyInPandas(solve, schema).drop("_all").replace(float("nan"), None, list(names))
     spark = df.sparkSession
     base = base.persist()
-    state = {tuple(r[k] for k in by): [0.0, 1.0, r["lo"] != r["hi"]] for r in counts}
-    two = {k: v[2] for k, v in state.items()}
     try:
+        counts = base.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()
+        state = {tuple(r[k] for k in by): (0.0, 1.0, "moved" if r["lo"] != r["hi"] else "flat") for r in counts}
         for _ in range(iterations):
-            live = [(*k, v[0], v[1]) for k, v in state.items() if v[2]]
+            live = [(*k, v[0], v[1]) for k, v in state.items() if v[2] == "moved"]
             if not live:
                 break
             # One row per split or replicate.
-            joined = base.join(spark.createDataFrame(live, schema).toDF(*by, "_a", "_b"), by)
+            joined = base.join(F.broadcast(spark.createDataFrame(live, schema).toDF(*by, "_a", "_b")), by)
             sums = joined.withColumn("_m", X.expit(F.col("_a") + F.col("_b") * F.col("_x"))).withColumns(
                 {"_r": F.col("_w") * (F.col("_m") - F.col("_y")), "_v": F.col("_w") * F.col("_m") * (1 - F.col("_m"))}
             ).groupBy(*by).agg(
@@ -197,11 +167,12 @@ def calibration(
             ).collect()
             for r in sums:
                 key = tuple(r[k] for k in by)
-                a, b, _live = state[key]
-                state[key] = list(_newton_step(a, b, [r[n] for n in ("g0", "g1", "h00", "h01", "h11")], c))
+                state[key] = _newton_step(*state[key][:2], [r[n] for n in ("g0", "g1", "h00", "h01", "h11")], c)
     finally:
         base.unpersist()
-    rows = [(*k, *((v[0], v[1]) if two[k] else (None, None))) for k, v in state.items()]
+    if open_ := [k for k, v in state.items() if v[2] == "moved"]:
+        raise ValueError(f"calibration does not settle within {iterations} passes for {len(open_)} keys, first {open_[0]}")
+    rows = [(*k, *(v[:2] if v[2] == "settled" else (None, None))) for k, v in state.items()]
     return spark.createDataFrame(rows, schema).drop("_all")
 
 
@@ -290,25 +261,29 @@ def reference_scores(df: DataFrame, *, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def score_percentiles(queries: DataFrame, reference: DataFrame, *, p: str = "p", y: str = "y") -> DataFrame:
-    """Share of reference scores at or below each query score: all, negative, positive.
+    """Share of finite reference scores at or below each query score: all, negative, positive.
 
     Queries and references are merged into one ordered running count, so neither side is broadcast
-    and no pair of rows is formed. An empty reference class gives null.
+    and no pair of rows is formed. Queries without a finite score have null percentiles. A reference
+    without one of the classes fails the job.
     """
     zero = F.lit(0)
-    merged = reference.select(
+    merged = reference.where(X.finite(p)).select(
         F.col(p).alias("_s"), F.lit(1).alias("n"), F.col(y).alias("pos"), (1 - F.col(y)).alias("neg")
     ).unionByName(
-        queries.select(F.col(p).alias("_s")).distinct().select("_s", zero.alias("n"), zero.alias("pos"), zero.alias("neg"))
+        queries.where(X.finite(p)).select(F.col(p).alias("_s")).distinct().select(
+            "_s", zero.alias("n"), zero.alias("pos"), zero.alias("neg"))
     )
     run = ordered.running_totals(merged, "_s", {c: F.col(c) for c in ("n", "pos", "neg")})
+    missing = F.raise_error(F.lit("reference scores need both classes")).cast("double")
+    both = (F.col("pos_all") > 0) & (F.col("neg_all") > 0)
     run = run.select(
         F.col("_s").alias(p),
-        X.ratio(F.col("n_cum"), F.col("n_all")).alias("percentile_all"),
+        F.when(both, X.ratio(F.col("n_cum"), F.col("n_all"))).otherwise(missing).alias("percentile_all"),
         X.ratio(F.col("neg_cum"), F.col("neg_all")).alias("percentile_reference_class"),
         X.ratio(F.col("pos_cum"), F.col("pos_all")).alias("percentile_target_class"),
     )
-    return queries.join(run, p)
+    return queries.join(run, p, "left")
 
 
 def parameter_diff(left: DataFrame, right: DataFrame, *, rtol: float = 1e-12, atol: float = 1e-12) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +41,10 @@ def running_totals(
         at = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c <= F.col(value)).cast("int"))
         grouped = grouped.join(cuts, by).withColumn("_at", at).drop("_cuts")
     else:
-        # A sketch of the one column gives at most buckets - 1 cut points; they only place the work.
-        cuts = sorted(set(df.select(F.col(value).cast("double").alias("_v")).approxQuantile("_v", steps, 0.002)))
-        cuts = [c for c in cuts if abs(c) != float("inf")]
-        if not cuts:
-            return _keyed_totals(grouped, value, names, by, descending)  # no finite value at all
-        splits = [float("-inf"), *cuts, float("inf")]
-        cast = grouped.withColumn("_v", F.col(value).cast("double"))
-        cutter = Bucketizer(splits=splits, inputCol="_v", outputCol="_at", handleInvalid="keep")
-        grouped = cutter.transform(cast).withColumn("_at", F.col("_at").cast("int")).drop("_v")
+        # Cut points only place the work: one row of at most buckets - 1 numbers, made within the same plan.
+        cuts = grouped.agg(F.percentile_approx(F.col(value).cast("double"), steps, 1000).alias("_cuts"))
+        at = F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda acc, c: acc + (c <= F.col(value)).cast("int"))
+        grouped = grouped.join(F.broadcast(cuts)).withColumn("_at", F.coalesce(at, F.lit(-1))).drop("_cuts")
     grouped = grouped.withColumn("_bucket", -F.col("_at") if descending else F.col("_at")).drop("_at")
     first = F.struct(*names)
     ends = grouped.groupBy(*by, "_bucket").agg(
@@ -91,10 +85,10 @@ def _keyed_totals(grouped: DataFrame, value: str, names: list[str], by: list[str
 def quantiles(
     df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), *, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key; the groups may be of any size."""
+    """Exact linear-interpolated quantiles per key, null and NaN left out; the groups may be of any size."""
     by = list(by)
     curve = running_totals(
-        df.where(F.col(value).isNotNull()), value, {"n": F.lit(1)}, by, buckets=buckets
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), value, {"n": F.lit(1)}, by, buckets=buckets
     )
     picks = []
     for name, p in points.items():

@@ -200,12 +200,18 @@ def _(spark, sf):
     return routes.per_profile(V.measurements(spark, sf), _spread, "spread").select("measurement_id", r6("spread"))
 
 
-def _side_spread(pdf: pd.DataFrame) -> pd.DataFrame:
+def _side_range(pdf: pd.DataFrame) -> pd.DataFrame:
     y = np.stack(pdf["radial_profile_data"].to_numpy())
-    return pd.DataFrame({"patientId": [pdf["patientId"].iloc[0]], "side": [pdf["side"].iloc[0]], "spread": [float(y.max() - y.min())]})
+    return pd.DataFrame({"patientId": pdf["patientId"].iloc[:1], "side": pdf["side"].iloc[:1], "lo": [float(y.min())], "hi": [float(y.max())]})
+
+
+def _side_spread(states: pd.DataFrame) -> pd.DataFrame:
+    return states.iloc[:1][["patientId", "side"]].assign(spread=states["hi"].max() - states["lo"].min())
 
 
 @query("u3_case_hook")
 def _(spark, sf):
     df = V.measurements(spark, sf).select("patientId", "side", "radial_profile_data")
-    return routes.per_case(df, _side_spread, "patientId string, side string, spread double").select("patientId", "side", r6("spread"))
+    out = routes.per_case(
+        df, _side_range, _side_spread, "patientId string, side string, lo double, hi double", "patientId string, side string, spread double")
+    return out.select("patientId", "side", r6("spread"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,9 +156,18 @@ def per_profile(df: DataFrame, fn, name: str, returns: str = "double") -> DataFr
     return df.withColumn(name, F.pandas_udf(fn, returns)("q_range", "radial_profile_data"))
 
 
-def per_case(df: DataFrame, fn, schema: str, keys: Sequence[str] = ("patientId", "side"), bound: int = 100_000) -> DataFrame:
-    """User hook over all rows of a case; a case beyond ``bound`` rows fails instead of filling one task."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    checked = F.when(F.col("_n") <= bound, F.col("_n")).otherwise(F.raise_error(F.lit("case too large for a grouped hook")).cast("long"))
-    guarded = df.join(n.select(*keys, checked.alias("_n")), list(keys)).where("_n > 0").drop("_n")
-    return guarded.groupBy(*keys).applyInPandas(fn, schema)
+def per_case(
+    df: DataFrame, partial, finish, state: str, schema: str, keys: Sequence[str] = ("patientId", "side")
+) -> DataFrame:
+    """User hook over all rows of a case, as an aggregate.
+
+    ``partial`` maps some rows of one case to rows of a state (keys included), ``finish`` all state rows of a case
+    to the result. A task reduces its own rows first, so a case of any size reaches ``finish`` as one state per batch.
+    """
+    names = list(keys)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield from (partial(part) for _, part in rows.groupby(names, dropna=False, sort=False))
+
+    return df.mapInPandas(reduce, state).groupBy(*names).applyInPandas(finish, schema)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow.fs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +18,11 @@ from ..operators.filters import Predicate, where_all
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); in local mode a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark.conf.get("bilatera.local.dir", None)
         if not path:
             path = tempfile.mkdtemp(prefix="spark-")
@@ -71,13 +77,23 @@ def text_checksum(c) -> object:
     return F.sha2(c, 256)
 
 
-def file_checksums(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """SHA-256 of input files. A file beyond ``max_bytes`` cannot be one binary value and fails the job."""
-    files = spark.read.format("binaryFile").load(path)
-    content = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(
-        F.raise_error(F.concat(F.lit("file too large for a checksum: "), F.col("path"))).cast("binary")
-    )
-    return files.select("path", "length", F.sha2(content, 256).alias("sha256"))
+def file_checksums(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """SHA-256 of input files of any size, one task per file: the digest is sequential, the buffer constant."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # names and sizes only
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for name in rows["path"]:
+                store, inner = pyarrow.fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if not name.startswith("file://") else name)
+                h = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while part := f.read(block):
+                        h.update(part)
+                out.append(h.hexdigest())
+            yield rows.assign(sha256=out)
+
+    return files.repartition(F.col("path")).mapInPandas(digest, "path string, length long, sha256 string")
 
 
 def write_artifact(df: DataFrame, path: str, *, config_text: str, input_sha256: str) -> str:

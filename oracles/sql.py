@@ -690,7 +690,7 @@ base("m24_parameter_diff", f"""select coalesce(l.param,r.param) param, coalesce(
   from pm where not (param like '%3_Left' and ix='P2')) r on l.param=r.param and l.ix=r.ix
  where r.param is null or l.param is null or (l.ix<>'P4_R' and abs(l.v-r.v)>1e-6)""",
      """pm as (select "specimenId" param, "position" ix, max(radial_profile_data[1]) v0, case when "position"='P4_R' then null else max(radial_profile_data[1]) end v
- from m where measurement_id%5<>4 group by 1,2),""")
+ from m group by 1,2),""")
 
 # --- K -----------------------------------------------------------------------------------------
 

@@ -196,12 +196,14 @@ def test_step_counts_of_both_routes():
     assert {"biopsy_filter", "patient_biopsy_filter", "specimen_status_filter", "product_status_filter", "paired_patient_filter"} <= off
 
 
-def test_case_hook_refuses_an_oversized_case(spark, rows):
-    fn = lambda pdf: pdf[["patientId", "side"]].head(1)
-    small = routes.per_case(rows.select("patientId", "side", "measurement_id"), fn, "patientId string, side string")
-    assert small.count() == 56
-    with pytest.raises(Exception, match="too large"):
-        routes.per_case(rows.select("patientId", "side", "measurement_id"), fn, "patientId string, side string", bound=1).collect()
+def test_case_hook_merges_states(spark, rows):
+    keys = ["patientId", "side"]
+    partial = lambda pdf: pdf[keys].head(1).assign(n=len(pdf))
+    finish = lambda pdf: pdf[keys].head(1).assign(n=pdf["n"].sum())
+    kind = "patientId string, side string, n long"
+    got = routes.per_case(rows.select(*keys, "measurement_id").repartition(7), partial, finish, kind, kind)
+    want = rows.groupBy(*keys).count()
+    assert got.count() == 56 and got.exceptAll(want).count() == 0
 
 
 def test_case_scores_missing_side_fails(spark, rows):
