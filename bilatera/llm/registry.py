@@ -126,14 +126,15 @@ def _(spark, sf):
 
 
 @query("op7_line_set_similarity", """
-with recursive l as (
-    select doc_id, i - 1 line, list_distinct(list_filter(string_split_regex(lines[i], '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '')) w
+with l as (
+    select doc_id, i - 1 line, list_filter(string_split_regex(lines[i], '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '') w
     from (select doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents), unnest(range(1, len(lines) + 1)) t(i)),
-s as (select doc_id, line, list_sort(w) w, len(w) n from l where len(w) > 0),
-c as (select w, n, min((doc_id, line)) f, row_number() over () id from s group by w, n),
-o as (select t, count(*) n from (select unnest(w) t from c) group by t),
+s as (select doc_id, line, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) w
+      from l where len(w) > 0),
+c as (select w, len(w) n, min((doc_id, line)) f, row_number() over () id from s group by w),
+o as (select t, count(*) oc from (select unnest(w) t from c) group by t),
 p as (select id, n, f, u.t, row_number() over (partition by id order by oc, u.t) k
-      from (select id, n, f, unnest(w) t from c) u join (select t, n oc from o) o using (t)),
+      from (select id, n, f, unnest(w) t from c) u join o using (t)),
 x as (select * from p where k <= n - ceil(0.8 * n - 1e-9) + 1),
 pairs as (select distinct a.id a, b.id b from x a join x b on a.t = b.t and b.f < a.f and b.n >= 0.8 * a.n and a.n >= 0.8 * b.n),
 g as (select distinct a.id from pairs join c a on a.id = pairs.a join c b on b.id = pairs.b

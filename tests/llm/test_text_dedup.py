@@ -119,9 +119,9 @@ def brute_lines():
     lines, order = [], lambda i: (i is None, i or 0)
     for n, (i, t) in enumerate(TEXTS):
         for k, line in enumerate(t.split("\n")):
-            words = frozenset(w for w in line.encode().translate(bytes.maketrans(b"\t\x0b\x0c\r", b"    ")).split(b" ") if w)
+            words = line.encode().split()
             if words:
-                lines.append((order(i), n, k, words))
+                lines.append((order(i), n, k, frozenset(tuple(words[p : p + 5]) for p in range(max(len(words) - 4, 1)))))
     gone = defaultdict(set)
     for a in lines:
         for b in lines:
