@@ -387,7 +387,8 @@ def score_summary(df: DataFrame, *, key: str = "data_batch", score: str = "score
 
     A batch may hold most rows, so its median comes from the bucketed order statistics.
     """
-    named = df.withColumn("_k", F.coalesce(F.col(key), F.lit("\u0000")))
+    # NaN scores are counted, but are no values.
+    named = df.withColumn("_k", F.coalesce(F.col(key), F.lit("\u0000"))).withColumn(score, F.when(~F.isnan(score), F.col(score)))
     basic = named.groupBy("_k").agg(
         F.max(key).alias(key), F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("accepted"),
         F.count_if(~F.col(ok)).alias("rejected"), F.min(score).alias("score_min"),

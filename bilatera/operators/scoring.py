@@ -11,6 +11,7 @@ from ..sources.storage import cut_lineage
 from . import asymmetry, cases, filters, metrics, tiers
 from .model import GatedLogisticModel, ProfileModel
 
+# Fixed values of the report contract.
 NEUTRAL_REASON = "SK symmetry refinement is intentionally unavailable for contralateral scoring"
 MISSING_REASON = "contralateral breast is unavailable after preprocessing"
 
@@ -139,15 +140,19 @@ def side_evidence(rows: DataFrame, sides: DataFrame, first: ProfileModel) -> Dat
     )
 
 
-def inline_evidence(evidence: DataFrame, counts: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Row probabilities as one ordered list per side, for sides up to ``limit`` rows.
+def report_id(identity: dict, case: Column | str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(identity["id"]), X.col(case)), 256).substr(1, 16)
 
-    Larger sides keep a null list in the report; their rows are all in the evidence table.
+
+def report_evidence(evidence: DataFrame, identity: dict) -> DataFrame:
+    """All row probabilities behind the reports: (report_id, side, role, measurement_id, p).
+
+    A report refers to its rows by report_id and side and says how many there are, whatever the size of a side.
     """
-    small = counts.where(F.col("profile_p_cancer_n_measurements") <= limit).select("target_case_id", "role")
-    listed = F.array_sort(F.collect_list(F.struct("measurement_id", "p")))
-    return evidence.join(small, ["target_case_id", "role"]).groupBy("target_case_id", "role").agg(
-        F.transform(listed, lambda s: X.report_number(s["p"])).alias("measurement_p_cancer")
+    asked = F.when(F.col("role") == "target", F.col("target_side_norm")).otherwise(X.other_side("target_side_norm"))
+    return evidence.select(
+        report_id(identity, cases.case_id(F.col("patientId"), asked)).alias("report_id"),
+        F.lower("target_side_norm").alias("side"), "role", "measurement_id", X.report_number("p").alias("p"),
     )
 
 
@@ -189,11 +194,13 @@ def _model_metrics(record: dict) -> Column:
     )
 
 
-def report_time() -> Column:
-    """Current time as a Europe/Paris ISO text with offset."""
-    utc = F.current_timestamp()
-    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("Europe/Paris"), utc.cast("timestamp_ntz")),
-                         "yyyy-MM-dd'T'HH:mm:ss")
+def report_time(utc: Column | None = None) -> Column:
+    """A time in UTC without zone (default: now) as a Europe/Paris ISO text with offset."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")) if utc is None else utc
+    local = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Paris"), utc)
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    offset = F.format_string("+%02d:%02d", (minutes / 60).cast("int"), (minutes % 60).cast("int"))  # never west of UTC
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 
 def external_report(scored: DataFrame, requests: DataFrame, *, record: dict, identity: dict, created_at: Column) -> DataFrame:
@@ -205,7 +212,7 @@ def external_report(scored: DataFrame, requests: DataFrame, *, record: dict, ide
     meta = _scan_metadata(target)
     return target.withColumn("_m", meta).select(
         F.lit("external_report").alias("output_type"), F.lit(identity["external_version"]).alias("report_version"),
-        F.sha2(F.concat_ws("|", F.lit(identity["id"]), "target_case_id"), 256).substr(1, 16).alias("report_id"),
+        report_id(identity, "target_case_id").alias("report_id"),
         created_at.alias("created_at"), "analysis_author", "prediction_comment",
         F.col("patientId").alias("patient_id"), F.col("_m.patient_age").alias("patient_age"),
         F.lower("target_side").alias("target_side"),
@@ -246,7 +253,10 @@ def _breast(role: str) -> Column:
         known.alias("available"), word(F.lower("target_side")).alias("side"),
         F.struct(
             _text("profile_p_cancer_logit_average").alias("p_cancer"),
-            F.coalesce(F.col("measurement_p_cancer"), F.array().cast("array<double>")).alias("per_measurement_p_cancer"),
+            F.struct(
+                F.when(known, F.col("_report_id")).alias("report_id"), word(F.lower("target_side")).alias("side"),
+                F.coalesce(F.col("profile_p_cancer_n_measurements"), F.lit(0)).cast("long").alias("rows"),
+            ).alias("measurement_evidence"),
         ).alias("azimuthal_integration_profile"),
         F.struct(*final).alias("final_prediction"),
         F.struct(word(F.col("result_reliability")).alias("level"),
@@ -262,12 +272,13 @@ def _breast(role: str) -> Column:
     return F.struct(*parts)
 
 
-def internal_report(
-    scored: DataFrame, requests: DataFrame, evidence: DataFrame, *, record: dict, identity: dict, created_at: Column,
-) -> DataFrame:
-    """Nested report with both breasts; an absent contralateral side is filled with placeholders."""
-    lists = inline_evidence(evidence, scored)
-    full = scored.join(lists, ["target_case_id", "role"], "left")
+def internal_report(scored: DataFrame, requests: DataFrame, *, record: dict, identity: dict, created_at: Column) -> DataFrame:
+    """Nested report with both breasts; an absent contralateral side is filled with placeholders.
+
+    Row probabilities are rows of ``report_evidence``; the report holds their key and number.
+    """
+    asked_side = F.when(F.col("role") == "target", F.col("target_side_norm")).otherwise(F.col("contralateral_side_norm"))
+    full = scored.withColumn("_report_id", report_id(identity, cases.case_id(F.col("patientId"), asked_side)))
     target = full.where("role = 'target'").withColumns(
         {"scan_metadata": _scan_metadata(full), "target": _breast("target")}
     ).select(
@@ -285,7 +296,7 @@ def internal_report(
     return out.withColumn("contralateral", _breast("contralateral")).select(
         F.lit("internal_clinical_report").alias("output_type"),
         F.lit(identity["internal_version"]).alias("report_version"),
-        F.sha2(F.concat_ws("|", F.lit(identity["id"]), "_case"), 256).substr(1, 16).alias("report_id"),
+        report_id(identity, "_case").alias("report_id"),
         created_at.alias("created_at"), "analysis_author", "prediction_comment",
         F.struct(
             F.lit(identity["id"]).alias("id"), F.lit(identity["name"]).alias("name"),

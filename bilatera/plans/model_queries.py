@@ -121,7 +121,7 @@ def _(spark, sf):
 @query("m20_profile_evidence")
 def _(spark, sf):
     fit, rows, _, sides, _ = scored_sides(spark, sf)
-    return scoring.side_evidence(rows, sides, fit.profile)
+    return scoring.report_evidence(scoring.side_evidence(rows, sides, fit.profile), IDENTITY)
 
 
 @query("m21_external_report")
@@ -131,11 +131,8 @@ def _(spark, sf):
 
 
 def _internal(spark, sf):
-    fit, rows, asked, sides, out = scored_sides(spark, sf)
-    evidence = scoring.side_evidence(rows, sides, fit.profile)
-    return scoring.internal_report(
-        out, asked, evidence, record=record(fit), identity=IDENTITY, created_at=F.lit("2026-01-01T00:00:00+01:00")
-    )
+    fit, _, asked, _, out = scored_sides(spark, sf)
+    return scoring.internal_report(out, asked, record=record(fit), identity=IDENTITY, created_at=F.lit("2026-01-01T00:00:00+01:00"))
 
 
 @query("m22_internal_report")

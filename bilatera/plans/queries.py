@@ -271,7 +271,10 @@ ODD = "case when event_id%9=8 then double('NaN') when event_id%9=7 then double('
 
 @query("b24_report_rounding")
 def _(spark, sf):
-    return V.table(spark, sf, "events").selectExpr("event_id", ODD).select("event_id", X.report_number("v").alias("v"))
+    # Every fifth value is an exact tie of the fifth digit.
+    rows = V.table(spark, sf, "events").selectExpr("event_id", ODD).select(
+        "event_id", F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 4001 - 2000) / 64.0).otherwise(F.col("v")).alias("v"))
+    return rows.select("event_id", X.report_number("v").alias("v"))
 
 
 def _manifest(spark, sf):
@@ -806,7 +809,10 @@ def _(spark, sf):
 
 @query("g8_leakage_check")
 def _(spark, sf):
-    return folds.leakage(_members(spark, sf))
+    # Membership with planted overlaps: some test patients are in the training part as well.
+    members = _members(spark, sf)
+    planted = members.where("role = 'test' and patientId like '%3'").withColumn("role", F.lit("train"))
+    return folds.leakage(members.unionByName(planted))
 
 
 # --- M: evaluation and decisions ---------------------------------------------------------------

@@ -371,7 +371,14 @@ base("b22_consensus_metadata", """select "patientId", side, case when count(dist
   case when measurement_id%9=0 then 'hw2' else 'hw1' end h from m) group by 1,2""")
 base("b23_first_text", """select measurement_id, case when measurement_id%3=1 then 'uid' when measurement_id%2=0 then 'sid' else 'unknown' end as value from m""")
 ODD = "case when event_id%9 in (6,7,8) then null else value/7e0 end"
-plain("b24_report_rounding", f"select event_id, {r6(ODD, 'v', 5)} from events")
+# Half-even on the exact binary value: the scaled product's own error is computed by splitting both factors.
+plain("b24_report_rounding", f"""select event_id, case when x is null then null else (f + case when p - f > 5e-1 or (p - f = 5e-1 and (
+ d > 0e0 or (d = 0e0 and f % 2 <> 0))) then 1 else 0 end)::double / 1e5::double + 0e0 end v from (
+ select *, ((h*s1 - p) + h*s2 + (x-h)*s1) + (x-h)*s2 d from (
+  select *, x*134217729e0 - (x*134217729e0 - x) h, x*1e5::double p, floor(x*1e5::double)::bigint f,
+   1e5::double*134217729e0 - (1e5::double*134217729e0 - 1e5::double) s1,
+   1e5::double - (1e5::double*134217729e0 - (1e5::double*134217729e0 - 1e5::double)) s2 from (
+   select event_id, case when event_id % 5 = 0 then (event_id % 4001 - 2000)::double / 64e0 else {ODD} end x from events)))""")
 plain("b29_finite_or_zero", f"select event_id, {r6(f'coalesce({ODD},0e0)', 'v')} from events")
 sets("b25_calibrant_selection", "select session_uid, data_batch, measurement_type_name from agbh")
 sets("b26_distance_filter", """select count(*) rows_in, count(*) filter (distance_mm<=200) rows_pass,
@@ -640,7 +647,10 @@ plain("g5_reference_scores", f"""with {SV_TIED}, u as (select 'all_target_cases'
  select population, {r6("p", "score")}, count(*) n from u group by population, p""")
 sets("g6_stable_order", "select file_name, set_name, strftime(started_at,'%Y-%m-%d %H:%M:%S') started_at from agbh")
 oof("g7_union_splits", f"select split_id, count(*) n, {r6('avg(p_cancer)', 'mean_p')} from oof group by 1")
-base("g8_leakage_check", 'select 0::int split_id, pid "patientId" from pat where false', FOLD)
+base("g8_leakage_check", """select split_id, pid "patientId" from (
+ select ("repeat"*5+f)::int split_id, pid, case when f=fold then 'test' else 'train' end role from fold, range(0,5) t(f)
+ union all select ("repeat"*5+fold)::int, pid, 'train' from fold where pid like '%3')
+ group by 1,2 having count(distinct role)=2""", FOLD)
 
 # --- M -----------------------------------------------------------------------------------------
 

@@ -159,6 +159,19 @@ def test_parameter_diff(spark):
     assert sorted((r["param"], r["status"]) for r in metrics.parameter_diff(a, b).collect()) == [("y", "left_only"), ("z", "right_only")]
 
 
+def test_only_finite_values_are_statistics(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", nan), ("a", 40.0), ("a", 50.0), ("b", nan)], "k string, v double")
+    assert {r["k"]: r["m"] for r in ordered.quantiles(df, "v", {"m": 0.5}, ["k"]).collect()} == {"a": 45.0}
+    assert ordered.quantiles(df, "v", {"m": 0.5}).first()["m"] == 45.0
+    ref = spark.createDataFrame([(0, 0.5), (0, nan), (1, 0.4)], "y int, p double")
+    got = metrics.score_percentiles(spark.createDataFrame([(0.6,), (nan,), (None,)], "p double"), ref).collect()
+    assert sorted(r["percentile_all"] is None for r in got) == [False, True, True]
+    assert [r["percentile_reference_class"] for r in got if r["percentile_all"] is not None] == [1.0]
+    with pytest.raises(Exception, match="both classes"):
+        metrics.score_percentiles(spark.createDataFrame([(0.6,)], "p double"), ref.where("y = 0")).collect()
+
+
 def test_score_percentiles_count_ties(spark):
     ref = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.2), (1, 0.9)], "y int, p double")
     got = {r["p"]: r for r in metrics.score_percentiles(spark.createDataFrame([(0.2,), (0.05,), (1.0,)], "p double"), ref).collect()}

@@ -89,3 +89,14 @@ def test_cosine_masks_and_limits(spark):
 def test_min_max_constant_profile(spark):
     assert one(spark, P.min_max("y"), y=[3.0, 3.0]) == [0.0, 0.0]
     assert one(spark, P.min_max("y"), y=[1.0, 3.0, 2.0]) == [0.0, 1.0, 0.5]
+
+
+def test_report_rounding_is_pythons(spark):
+    import random
+
+    r = random.Random(0)
+    values = [0.015625, 0.046875, -0.015625, 2.675, 1.000005, 0.0, -1e-9, 123456.789012345, 5e15, 1e300, 0.000005, 0.000015]
+    values += [r.uniform(-10, 10) for _ in range(500)] + [round(r.uniform(-3, 3), 5) + 5e-6 for _ in range(500)] + [k / 64 for k in range(-200, 200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", X.report_number("v").alias("r")).collect():
+        assert row["r"] == round(row["v"], 5)

@@ -162,23 +162,35 @@ def test_requests_reports_and_json(spark, rows, fit):
     ext = {r["patient_id"]: r for r in scoring.external_report(out, asked, record=rec, identity=ident, created_at=F.lit("t")).collect()}
     assert ext["P01"]["target_side"] == "right" and ext["P01"]["prediction_comment"] == "c"
     assert ext["P00"]["model_metrics"]["sensitivity"] == "0.96053" and ext["P00"]["model_metrics"]["specificity"] == "unknown"
-    inner = scoring.internal_report(out, asked, scoring.side_evidence(mixed, sides, fit.profile), record=rec, identity=ident, created_at=F.lit("t"))
+    inner = scoring.internal_report(out, asked, record=rec, identity=ident, created_at=F.lit("t"))
     docs = {d["scan_metadata"]["patient_id"]: d for d in (json.loads(r["j"]) for r in inner.select(F.to_json(F.struct("*")).alias("j")).collect())}
     assert len(docs) == 3
     assert docs["P02"]["breast_predictions"]["contralateral"]["available"] is False
     assert docs["P02"]["breast_predictions"]["contralateral"]["final_prediction"]["p_cancer"] == "unknown"
-    assert len(docs["P00"]["breast_predictions"]["target"]["azimuthal_integration_profile"]["per_measurement_p_cancer"]) == 2
     assert docs["P00"]["breast_predictions"]["contralateral"]["side"] == "right"
+    # Every report's rows are found by its id and side, as many as it says.
+    rows_of = {(r["report_id"], r["side"]): r["n"] for r in scoring.report_evidence(
+        scoring.side_evidence(mixed, sides, fit.profile), ident).groupBy("report_id", "side").agg(F.count("p").alias("n")).collect()}
+    for d in docs.values():
+        for side in d["breast_predictions"].values():
+            e = side["azimuthal_integration_profile"]["measurement_evidence"]
+            assert e["rows"] == rows_of.get((d["report_id"], e["side"]), 0)
+            assert e["rows"] == 0 or e["report_id"] == d["report_id"]
+
+
+def test_large_side_keeps_all_its_rows(spark, rows, fit):
+    many = rows.where("patientId = 'P00'").withColumn("measurement_id", F.explode(F.sequence(F.lit(0), F.lit(5999))))
+    asked = scoring.request_sides(spark.createDataFrame([("P00", "left")], "patientId string, target_side string"), many)
+    sides = scoring.both_sides(asked).where("role = 'target'")
+    got = scoring.report_evidence(scoring.side_evidence(many, sides, fit.profile), {"id": "m"})
+    assert got.count() == many.where("upper(side) = 'LEFT'").count() > 10_000
 
 
-def test_large_side_keeps_its_rows_in_the_evidence_table(spark, rows, fit):
-    asked = scoring.request_sides(spark.createDataFrame([("P00", "left")], "patientId string, target_side string"), rows)
-    sides = scoring.both_sides(asked).where("role = 'target'")
-    evidence = scoring.side_evidence(rows, sides, fit.profile)
-    counts = sides.select("target_case_id", "role", F.lit(2).alias("profile_p_cancer_n_measurements"))
-    assert evidence.count() == 2
-    assert scoring.inline_evidence(evidence, counts, limit=1).count() == 0
-    assert len(scoring.inline_evidence(evidence, counts, limit=2).first()["measurement_p_cancer"]) == 2
+def test_report_time_has_the_offset(spark):
+    times = spark.sql("select * from values timestamp_ntz'2026-01-15 12:00:00', timestamp_ntz'2026-07-15 12:00:00' t(t)")
+    got = [r[0] for r in times.select(scoring.report_time(F.col("t"))).collect()]
+    assert got == ["2026-01-15T13:00:00+01:00", "2026-07-15T14:00:00+02:00"]
+    assert spark.range(1).select(scoring.report_time()).first()[0][-6] == "+"
 
 
 def test_steps_skip_disabled_and_refuse_duplicates(spark, rows):
