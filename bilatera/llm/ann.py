@@ -3,7 +3,8 @@
 Every vector is taken relative to the mean, rotated by a fixed random rotation and kept as one bit per component with
 correction scalars: its length, its inner product with its own code, and its product with the mean. An inner product
 with a query is estimated from the bits alone, and its error is bounded by ``EPSILON`` standard deviations of what a random
-rotation does. A vector is compared exactly when its upper bound reaches the query's current k-th best exact value.
+rotation does. A vector is compared exactly when its upper bound reaches the query's current k-th best exact value, which
+starts as the k-th best of a sample of about ``SAMPLE`` rows.
 
 All rows are indexed, and the index is written once. Queries are sent to the index in blocks of fixed size; a task
 returns its best k per query, which are merged. Vectors of another length than the query's are no candidates.
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut_lineage
+from . import numeric as N
 from . import vectors as V
 from . import windows as W
 
 EPSILON = 4.0
 #: Queries that are sent to the tasks at once, and index rows that a task looks at in one step.
 QUERIES, ROWS = 4096, 2048
+#: Rows that give the first bounds.
+SAMPLE = 4096
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -81,15 +85,24 @@ def index(rows: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
 class _Best:
     """The k best exact values of a block of queries so far."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray):
+        self.ids, self.queries, self.k, self.least = ids, queries, k, least
         self.score = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
+    def bound(self, some: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[some, -1], self.least[some])
+
     def add(self, ids: np.ndarray, exact: np.ndarray, query: np.ndarray, row: np.ndarray) -> None:
         """Score (query, row) pairs exactly and keep the best."""
-        for lo in range(0, len(query), 200_000):
-            q, r = query[lo : lo + 200_000], row[lo : lo + 200_000]
+        for lo in range(0, len(query), 50_000):
+            q, r = query[lo : lo + 50_000], row[lo : lo + 50_000]
+            # In any order of summation first; what may be among the best is summed in the order of the components.
+            s = np.einsum("ij,ij->i", exact[r], self.queries[q])
+            best = s >= self.bound(q) - 1e-9 * (1 + np.abs(s))
+            q, r = q[best], r[best]
+            if not len(q):
+                continue
             s = V.dots(exact[r], self.queries[q])
             touched = np.unique(q)
             have = np.repeat(touched, self.k)
@@ -113,18 +126,29 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = 20, epsil
     asked = cut_lineage(table.where(is_query).select("vec_id", "dim", "embedding").distinct().withColumn(
         "block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-table.where(is_query).count() // QUERIES))))
     ))
+    sample = -(-1_000_000 * SAMPLE // max(table.count(), 1))
+    sample = table.where(F.pmod(F.xxhash64(F.lit(31), "vec_id"), F.lit(1_000_000)) < sample)
     blocks = [(r["block"], r["dim"]) for r in asked.select("block", "dim").distinct().orderBy("block", "dim").collect()]
     parts = []
     for number, dim in blocks:
         got = asked.where((F.col("block") == number) & (F.col("dim") == dim)).select("vec_id", "embedding").toArrow().combine_chunks()
         ids, queries = got.column("vec_id").to_numpy(), V.matrix(got.column("embedding").combine_chunks(), dim)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, queries))
+        seen = sample.where(F.col("dim") == dim).select("vec_id", "embedding").toArrow().combine_chunks()
+        least = np.full(len(ids), -np.inf)
+        if seen.num_rows > k:
+            other = V.matrix(seen.column("embedding").combine_chunks(), dim)
+            for lo in range(0, len(ids), 512):
+                s = np.where(ids[lo : lo + 512, None] != seen.column("vec_id").to_numpy(), queries[lo : lo + 512] @ other.T, -np.inf)
+                least[lo : lo + 512] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            least -= 1e-9 * (1 + np.abs(least))
+        sent = rows.sparkSession.sparkContext.broadcast((ids, queries, least))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent, dim=dim):
-            ids, queries = sent.value
-            best = _Best(ids, queries, k)
+            ids, queries, least = sent.value
+            best = _Best(ids, queries, k, least)
             turned = (queries @ rotation(dim)).astype(np.float32)
-            norm, middle = np.linalg.norm(queries, axis=1), queries @ centre[dim]
+            norm, middle = np.linalg.norm(queries, axis=1).astype(np.float32), (queries @ centre[dim]).astype(np.float32)
+            by_id = np.argsort(ids, kind="stable")
             for b in batches:
                 for at in range(0, b.num_rows, ROWS):
                     part = b.slice(at, ROWS)
@@ -132,22 +156,31 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = 20, epsil
                     code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(exact), -1)
                     bits = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
                     length, own = part.column("length").to_numpy(), np.maximum(part.column("own").to_numpy(), 1e-9)
-                    spread = length * epsilon * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(dim - 1, 1))
+                    scale = (length / own / np.sqrt(dim)).astype(np.float32)
+                    # The last term covers the rounding of single precision.
+                    spread = length * (epsilon * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(dim - 1, 1)) + 1e-4)
+                    spread = (spread + 1e-4 * np.linalg.norm(centre[dim])).astype(np.float32)
+                    first, last = (np.searchsorted(ids[by_id], own_ids, side=side) for side in ("left", "right"))
+                    same_row, same_query = np.repeat(np.arange(len(exact)), last - first), by_id[N.spread(first, last - first)]
                     for lo in range(0, len(ids), 256):
                         some = np.arange(lo, min(lo + 256, len(ids)))
-                        estimate = middle[some, None] + (turned[some] @ bits.T) * (length / own / np.sqrt(dim))
-                        other = ids[some, None] != own_ids
-                        estimate = np.where(other, estimate, -np.inf)
-                        if len(exact) > k and not np.isfinite(best.score[some, -1]).all():
+                        estimate = turned[some] @ bits.T
+                        estimate *= scale
+                        estimate += middle[some, None]
+                        # Rows with the query's own id are no candidates.
+                        mine = (same_query >= lo) & (same_query < lo + len(some))
+                        estimate[same_query[mine] - lo, same_row[mine]] = -np.inf
+                        bound = best.bound(some)
+                        if len(exact) > k and not np.isfinite(bound).all():
                             # A first bound: the exact values of those that look best.
                             top = np.argpartition(-estimate, k, axis=1)[:, :k]
-                            seen = np.zeros(estimate.shape, bool)
-                            np.put_along_axis(seen, top, True, axis=1)
-                            q, r = np.nonzero(seen & other)
-                            best.add(own_ids, exact, some[q], r)
-                            other &= ~seen
-                        reach = estimate + spread * norm[some, None] * (1 + 1e-6) + 1e-9
-                        q, r = np.nonzero(other & (reach >= best.score[some, -1][:, None]))
+                            q, r = np.repeat(np.arange(len(some)), k), top.ravel()
+                            fair = np.isfinite(estimate[q, r])
+                            best.add(own_ids, exact, some[q[fair]], r[fair])
+                            estimate[q, r] = -np.inf
+                            bound = best.bound(some)
+                        reach = estimate + norm[some, None] * spread
+                        q, r = np.nonzero((reach >= bound[:, None].astype(np.float32)) & (estimate > -np.inf))
                         if len(q):
                             best.add(own_ids, exact, some[q], r)
             q, rank = np.nonzero(np.isfinite(best.score))

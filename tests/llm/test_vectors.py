@@ -19,7 +19,7 @@ def rows(n=400, dim=24):
     out += [(2000 + i, out[7][1], out[7][2]) for i in range(5)]
     nan, inf = float("nan"), float("inf")
     out += [(3000, None, 1), (3020, [0.0] * dim, 1), (3001, [nan] * dim, 1), (3040, [inf] + [1.0] * (dim - 1), 1), (3002, [1.0, None], 1),
-            (3003, out[3][1], None), (3004, [], 2), (None, out[4][1], 1), (3005, [1.0, 2.0], 1), (3060, [2.0, 1.0], 1), (7, out[7][1], out[7][2])]
+            (3003, out[3][1], None), (3004, [], 2), (None, out[4][1], 1), (3005, [1.0, 2.0], 1), (3060, [2.0, 1.0], 1), (7, out[7][1], out[7][2]), (40, out[40][1], 2)]
     return [(*r, "c", "i", 1) for r in out]
 
 
