@@ -62,11 +62,20 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(members: DataFrame, compare: Callable, payload: str, block: int = BLOCK) -> DataFrame:
+def counts_and_forest(ids: np.ndarray, weight: np.ndarray, payloads: list, i: np.ndarray, j: np.ndarray):
+    """Links of every member by weight, and the edges of a spanning forest."""
+    n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+    for k in np.flatnonzero(n).tolist():
+        yield int(ids[k]), None, int(n[k])
+    for x, y in forest(i, j, len(ids)):
+        yield int(ids[x]), int(ids[y]), 0
+
+
+def links(members: DataFrame, compare: Callable, payload: str, outcome: Callable = counts_and_forest, block: int = BLOCK) -> DataFrame:
     """(a, b, n): rows with b null give ``n`` links (by weight) of member a, the others are forest edges.
 
     ``members``: id, component, weight and one binary column. ``compare(payloads, left, right)`` says which of
-    the index pairs are links.
+    the index pairs are links, ``outcome`` what is told of them.
     """
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
     blocks = F.ceil(F.col("_size") / block)
@@ -95,19 +104,12 @@ def links(members: DataFrame, compare: Callable, payload: str, block: int = BLOC
                 i, j = i[cross], j[cross]
             if not len(i):
                 continue
-            hit = compare([rows.column(payload)[int(k)].as_buffer() for k in at], i, j)
-            i, j = i[hit], j[hit]
-            if not len(i):
-                continue
-            n = np.bincount(i, weight[at[j]], len(at)) + np.bincount(j, weight[at[i]], len(at))
-            some = np.flatnonzero(n)
-            a_out += ids[at[some]].tolist()
-            b_out += [None] * len(some)
-            n_out += n[some].astype(np.int64).tolist()
-            for x, y in forest(i, j, len(at)):
-                a_out.append(int(ids[at[x]]))
-                b_out.append(int(ids[at[y]]))
-                n_out.append(0)
+            payloads = [rows.column(payload)[int(k)].as_buffer() for k in at]
+            hit = compare(payloads, i, j)
+            for a, b, n in outcome(ids[at], weight[at], payloads, i[hit], j[hit]):
+                a_out.append(a)
+                b_out.append(b)
+                n_out.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a_out, b_out, n_out)], names=["a", "b", "n"])
 
     keys = ["component", "lo", "hi"]

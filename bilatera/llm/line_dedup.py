@@ -1,16 +1,14 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only.
+"""Line dedup by an exact set-similarity join.
 
-A line is its set of tokens, shingles of five words; a shorter line is one token. Tokens are ordered by rarity, which is
-that of their first word, a bound of their own: counts of all words go into a table of a fixed number of cells, whose
-logarithms are a literal of 64 KB, so ordering needs no join; ties and shared cells are ordered by hash. Two lines of
-Jaccard similarity ``threshold`` or more share a token within their first n - ceil(threshold n) + 1, so only these are
-indexed, and a shared one counts only if lengths and positions leave enough tokens to share. Pairs that remain are verified
-on the whole sets. (Single words as tokens make 20 million candidate pairs of 0.1 GB, and 25 times as many of five times the text.)
+A line is its set of tokens, shingles of five words; a shorter line is one token. Tokens are ordered by rarity: counts of
+all tokens go into a table of a fixed number of cells, and tokens are ordered by their cell's logarithm, then by hash. Two
+lines of Jaccard similarity ``threshold`` or more share a token within their first n - ceil(threshold n) + 1 (the prefix), and
+at the first token they share, lengths and positions leave enough tokens to share. Only lines with a prefix token that
+another set has too are candidates; those joined by such tokens are compared in blocks (see ``candidates``): length,
+prefix and positional filters first, then the whole sets.
 
 A line goes when an earlier line (by doc_id, then line number; no doc_id comes last) is that similar, whether that
-one stays or not. Equal sets are one class with its first place. Every line is first compared with the earliest of each
-shared word, which settles groups of near copies in as many pairs as lines; the others of a token are compared
-only for lines that are still open.
+one stays or not. Equal sets are one class with its first place.
 
 Lines without words always stay and are never a reason. Null text has no lines. Rows equal in id and text are
 treated alike. Extra columns are kept by ``clean``.
@@ -18,135 +16,231 @@ treated alike. Extra columns are kept by ``clean``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut_lineage
+from . import candidates as C
+from . import numeric as N
 from . import windows as W
 
-THRESHOLD = 0.8
-WIDTH = 5
-CELLS = 1 << 16
+THRESHOLD, WIDTH = 0.8, 5
+CELL_BITS = 16
 PLACE = ("no_id", "doc_id", "ka", "kb", "line")
-
-
-def word_list(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
-
-
-def rarity_levels(docs: DataFrame) -> bytearray:
-    """For every cell of word hashes, twice the logarithm of how often its words occur, as a printable byte."""
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
-    # The empty words between separators are counted too; they are in no line.
-    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w"))
-    counts = words.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(b"\x20" * CELLS)
-    for r in counts.select("cell", F.least(F.floor(2 * F.log2("n")), F.lit(90)).cast("int").alias("v")).collect():  # at most CELLS rows
-        levels[r["cell"]] = 0x20 + r["v"]
+BREAK = 0x0A
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all lines of all rows, line breaks at their ends, and the row of each."""
+    breaks = np.flatnonzero(data == BREAK) + 1
+    inside = breaks[~np.isin(breaks, offsets[1:])] if len(breaks) else breaks
+    # A break at the very end of a row opens one more, empty line; it has no words.
+    cuts = np.unique(np.concatenate([offsets, inside]))
+    return cuts, np.searchsorted(offsets, cuts[:-1], side="right") - 1
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all lines that have words, their offsets, and the line of each."""
+    starts, ends, firsts = N.words(data, offsets)
+    values, count = N.word_values(data, starts, ends), np.diff(firsts)
+    have = np.where(count >= WIDTH, count - WIDTH + 1, np.minimum(count, 1))
+    at, line = N.spread(firsts[:-1], have), np.repeat(np.arange(len(count)), have)
+    h = N.Ranges(values)(at, np.minimum(at + WIDTH, firsts[1:][line]))
+    full = np.flatnonzero(have)
+    return h, np.concatenate([[0], np.cumsum(have[full])]), full
+
+
+def rarity_levels(text: DataFrame) -> np.ndarray:
+    """For every cell of token hashes, the logarithm of how often its tokens occur."""
+
+    def count(batches):
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        for b in N.slices(batches, "text"):
+            data, offsets = N.flat(b.column("text"))
+            h, _, _ = tokens(data, lines_of(data, offsets)[0])
+            cells += np.bincount((h >> N.U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+        some = np.flatnonzero(cells)
+        yield W.table({"cell": some, "n": cells[some]})
+
+    got = text.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one row per cell at most
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[got.column("cell").to_numpy()] = np.floor(2 * np.log2(got.column("n").to_numpy()))
     return levels
 
 
-def word_hashes(line: Column) -> Column:
-    return F.transform(word_list(line), lambda w: F.xxhash64(w))
-
-
-def token_set(words: Column) -> Column:
-    """Distinct shingles of a line with words."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(WIDTH)))))
-
+def ordered(h: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of every line in order of rarity: the level in the high byte, hash bits below."""
+    line = N.owners(offsets)
+    number = (levels[h >> N.U(64 - CELL_BITS)].astype(N.U) << N.U(56)) | (h & N.U((1 << 56) - 1))
+    order = np.lexsort((number, line))
+    number, line = number[order], line[order]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (line[1:] != line[:-1])
+    return number[new], np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=len(offsets) - 1))])
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+
+
+def _sets(number: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every set."""
+    at = offsets[:-1]
+    return tuple(N.signed(N.mix(np.add.reduceat(N.mix(number ^ N.U(b)), at))) if len(at) else np.zeros(0, np.int64) for b in N.BASES)
+
+
+def near(payloads: list, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of ordered sets reach the threshold; a payload is a place and the set."""
+    sets = [np.frombuffer(p, N.U, offset=_PLACE_BYTES) for p in payloads]
+    n = np.array([len(s) for s in sets])
+    out = np.zeros(len(left), bool)
+    alive = np.flatnonzero(np.minimum(n[left], n[right]) >= np.ceil(threshold * np.maximum(n[left], n[right]) - 1e-9))
+    if not len(alive):
+        return out
+    p = prefix_length(n, threshold)
+    member = np.repeat(np.arange(len(sets)), p)
+    position = N.spread(np.zeros(len(sets), np.int64), p)
+    token = np.concatenate([s[:k] for s, k in zip(sets, p)])
+    order = np.lexsort((member, token))
+    token, member, position = token[order], member[order], position[order]
+    names, ids = np.unique(token, return_inverse=True)
+    place = np.full((len(sets), len(names)), -1, np.int32) if len(sets) * len(names) <= 1 << 24 else None
+    for lo in range(0, len(alive), 4096):
+        some = alive[lo : lo + 4096]
+        i, j = left[some], right[some]
+        if place is not None:
+            if lo == 0:
+                place[member, ids] = position
+            a, b = place[i], place[j]
+            both = (a >= 0) & (b >= 0)
+            first = np.argmax(both, axis=1)  # any shared token; the earliest in order is the smallest number
+            shared = both[np.arange(len(i)), first]
+            room = np.minimum(n[i] - a[np.arange(len(i)), first], n[j] - b[np.arange(len(i)), first])
+            enough = np.ceil((n[i] + n[j]) * (threshold / (1 + threshold)) - 1e-9)
+            some = some[shared & (room >= enough)]
+        for k in some:
+            x, y = sets[left[k]], sets[right[k]]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = common / (len(x) + len(y) - common) >= threshold
+    return out
+
+
+_PLACE_BYTES = 40
+
+
+def place_bytes(no_id: np.ndarray, doc_id: np.ndarray, ka: np.ndarray, kb: np.ndarray, line: np.ndarray) -> list[bytes]:
+    """Places as bytes that compare like them."""
+    flip = np.int64(-(2**63))
+    m = np.stack([no_id.astype(np.int64), doc_id ^ flip, ka ^ flip, kb ^ flip, line.astype(np.int64)], axis=1).astype(">i8")
+    return [r.tobytes() for r in m]
+
+
+def later(ids: np.ndarray, weight: np.ndarray, payloads: list, i: np.ndarray, j: np.ndarray):
+    """The later line of every similar pair, once."""
+    places = [bytes(memoryview(p)[:_PLACE_BYTES]) for p in payloads]
+    for k in {a if places[a] > places[b] else b for a, b in zip(i.tolist(), j.tolist())}:
+        yield int(ids[k]), None, 1
 
-def ordered_tokens(words: Column, levels: bytearray) -> Column:
-    """Distinct tokens as numbers that sort by rarity: level of the first word in the high bits, 56 bits of hash below."""
-    table = F.lit(levels)
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))
-
-    def number(i: Column) -> Column:
-        cell = F.get(words, i - 1).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-        level = F.ascii(F.substring(table, cell + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.xxhash64(F.slice(words, i, F.lit(WIDTH))).bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(places, number)))
-
-
-def no_words(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\n\x0b\x0c\r", "     ")) == ""
 
+def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(ka, kb, kept): the numbers of the lines with words that stay, for every document that keeps one."""
+    text = W.keyed(docs)
+    levels = rarity_levels(text)
 
-def needed(n: Column, threshold: float) -> Column:
-    return F.ceil(n * threshold - 1e-9)
+    def read(batches):
+        for b in N.slices(batches, "text"):
+            data, offsets = N.flat(b.column("text"))
+            cuts, row = lines_of(data, offsets)
+            h, firsts, full = tokens(data, cuts)
+            number, firsts = ordered(h, firsts, levels)
+            first_line = np.searchsorted(row, np.arange(b.num_rows))
+            yield b, row[full], full - first_line[row[full]], number, firsts
+
+    def prefixes(batches):
+        for _, _, _, number, firsts in read(batches):
+            s1, _ = _sets(number, firsts)
+            p = prefix_length(np.diff(firsts), threshold)
+            token, s = number[N.spread(firsts[:-1], p)], np.repeat(s1, p)
+            # Equal lines of a batch send a token once.
+            order = np.lexsort((s, token))
+            token, s = token[order], s[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (s[1:] != s[:-1])
+            yield W.table({"h": N.signed(token[new]), "s": s[new]})
+
+    shared = text.select("text").mapInArrow(prefixes, "h long, s long").groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("z"))
+    shared = cut_lineage(shared.where("a < z").select("h"))
+    known = W.BitFilter(shared)
+
+    def every(batches, with_sets):
+        for b, row, line, number, firsts in read(batches):
+            s1, s2 = _sets(number, firsts)
+            n = np.diff(firsts)
+            keep = np.arange(len(n))
+            if with_sets:
+                p = prefix_length(n, threshold)
+                hit = known(number[N.spread(firsts[:-1], p)])
+                keep = np.flatnonzero(np.add.reduceat(hit.astype(np.int64), np.cumsum(p) - p) > 0) if len(p) else keep
+            take = pa.array(row[keep])
+            columns = {"s1": s1[keep], "s2": s2[keep], **{c: b.column(c).take(take) for c in ("doc_id", *W.KEY)}, "line": line[keep].astype(np.int32)}
+            if with_sets:
+                columns["set"] = pa.array([number[firsts[k] : firsts[k + 1]].tobytes() for k in keep], pa.binary())
+            yield W.table(columns)
+
+    schema = "s1 long, s2 long, doc_id long, ka long, kb long, line int"
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ka", "kb", "line")).alias("first")
+    lines = text.mapInArrow(lambda b: every(b, True), schema + ", set binary")
+    members = cut_lineage(
+        lines.groupBy("s1", "s2").agg(first, F.first("set").alias("set")).withColumn("id", F.monotonically_increasing_id())
+    )
 
+    def buckets(b: pa.RecordBatch):
+        data, offsets = N.flat(b.column("set"))
+        number, firsts = np.frombuffer(data.tobytes(), N.U), offsets // 8
+        p = prefix_length(np.diff(firsts), threshold)
+        return np.repeat(np.arange(b.num_rows), p), number[N.spread(firsts[:-1], p)]
 
-def may_match(n1: Column, p1: Column, n2: Column, p2: Column, threshold: float) -> Column:
-    """Length and position filter for a shared word at 0-based places p1 and p2."""
-    lengths = (n1 >= needed(n2, threshold)) & (n2 >= needed(n1, threshold))
-    return lengths & (F.least(n1 - p1, n2 - p2) >= F.ceil((n1 + n2) * (threshold / (1 + threshold)) - 1e-9))
+    grouped = C.groups(members, buckets, ["set"])
 
+    def pack(batches):
+        for b in N.slices(batches, "set"):
+            no_id = b.column("no_id").to_numpy(zero_copy_only=False)
+            numbers = [b.column(c).fill_null(0).to_numpy() for c in ("doc_id", "ka", "kb", "line")]
+            both = [x + y for x, y in zip(place_bytes(no_id, *numbers), b.column("set").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("weight"), pa.array(both, pa.binary())],
+                                             names=["id", "component", "weight", "payload"])
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """The later line (s1, s2) of every pair (a, b) of line hashes that is similar."""
-    lines = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    wanted = lines.join(classes.select("s1", "s2", "first"), "s1").groupBy("first.ka", "first.kb").agg(
-        F.collect_list(F.struct("s1", "s2", "first")).alias("wanted")
+    payload = grouped.join(members, "id").select("id", "component", F.lit(1).cast("long").alias("weight"), "first.*", "set").mapInArrow(
+        pack, "id long, component long, weight long, payload binary"
     )
-    read = text.join(wanted, list(W.KEY)).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-    # Rows equal in id and text bring a line twice.
-    sets = read.select("x.s1", "x.s2", "x.first", word_hashes(F.col("lines")[F.col("x.first.line")]).alias("words")).select(
-        "s1", "s2", "first", token_set(F.col("words")).alias("set"))
-    a, b = (sets.select(F.col("s1").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("s2", "first", "set")]) for k in ("a", "b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    hit = both.where(F.col("common") / (F.size("a_set") + F.size("b_set") - F.col("common")) >= threshold)
-    later = F.col("a_first") > F.col("b_first")
-    return hit.select(
-        F.when(later, F.col("a")).otherwise(F.col("b")).alias("s1"), F.when(later, F.col("a_s2")).otherwise(F.col("b_s2")).alias("s2")
-    ).distinct()
-
-
-def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(ka, kb, kept): the numbers of the lines with words that stay, for every document that keeps one."""
-    text = W.keyed(docs)
-    levels = rarity_levels(text)
-    lines = text.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", *W.KEY, F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select(F.struct(*PLACE).alias("place"), word_hashes(F.col("words")).alias("words")).where(F.size("words") > 0)
-    lines = lines.select("place", ordered_tokens(F.col("words"), levels).alias("o"))
-    n = F.size("o")
-    prefix = F.slice("o", F.lit(1), F.greatest(n - needed(n, threshold).cast("int") + 1, F.lit(1)))
-    hashed = lines.select(F.xxhash64("o").alias("s1"), F.xxhash64(F.lit(41), "o").alias("s2"), n.alias("n"), "place", prefix.alias("prefix"))
-    classes = cut_lineage(hashed.groupBy("s1", "s2").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    order = F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("d")
-    index = classes.select(order, "s1", "n", F.posexplode("prefix").alias("p", "w"))
-    word = Window.partitionBy("w")
-    shared = index.withColumn("c", F.count(F.lit(1)).over(word)).withColumn(
-        "lead", F.first(F.struct("s1", "n", "p")).over(word.orderBy("d", "s1").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).where("c > 1").drop("c")
-    shared = cut_lineage(shared)
-    near_lead = shared.where((F.col("s1") != F.col("lead.s1")) & may_match(F.col("n"), F.col("p"), F.col("lead.n"), F.col("lead.p"), threshold))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    one = near_lead.select(*pair(F.col("s1"), F.col("lead.s1"))).distinct()
-    gone = similar_pairs(one, classes, text.select("text", *W.KEY), threshold)
-    # Lines still open against all others of a shared word that are not later.
-    open_ = shared.join(gone.select("s1").distinct(), "s1", "left_anti").select(
-        "w", "d", "s1", "n", "p", F.col("lead.s1").alias("lead"))
-    others = shared.select("w", F.col("d").alias("d2"), F.col("s1").alias("s2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    rest = open_.join(others, "w").where(
-        (F.col("s1") != F.col("s2")) & (F.col("lead") != F.col("s2")) & (F.col("d2") <= F.col("d"))
-        & may_match(F.col("n"), F.col("p"), F.col("n2"), F.col("p2"), threshold)
-    ).select(*pair(F.col("s1"), F.col("s2"))).distinct()
-    gone = gone.unionByName(similar_pairs(rest, classes, text.select("text", *W.KEY), threshold))
-    stays = classes.select("s1", "s2", "first").join(gone, ["s1", "s2"], "left_anti")
+    gone = C.links(payload, lambda p, i, j: near(p, i, j, threshold), "payload", later).select(F.col("a").alias("id")).distinct()
+    gone = members.join(gone, "id", "left_semi").select("s1", "s2")
+    classes = text.mapInArrow(lambda b: every(b, False), schema).groupBy("s1", "s2").agg(first)
+    stays = classes.join(gone, ["s1", "s2"], "left_anti")
     return stays.groupBy("first.ka", "first.kb").agg(F.collect_list("first.line").alias("kept"))
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: n_lines, n_removed and the numbers (from 0) of removed lines in ``removed``."""
-    kept = kept_lines(docs, threshold)
-    text = W.keyed(docs)
-    blank = F.transform(F.split("text", "\n"), no_words)
-    full = F.filter(F.transform(blank, lambda b, i: F.when(~b, i)), lambda i: i.isNotNull())
-    own = text.select("doc_id", *W.KEY, F.size(blank).alias("n_lines"), full.alias("full"))
-    joined = own.join(kept, list(W.KEY), "left")
+
+    def full(batches):
+        for b in N.slices(batches, "text"):
+            data, offsets = N.flat(b.column("text"))
+            cuts, row = lines_of(data, offsets)
+            words = np.flatnonzero(np.diff(N.words(data, cuts)[2]))
+            first_line = np.searchsorted(row, np.arange(b.num_rows))
+            ends = np.searchsorted(row[words], np.arange(b.num_rows + 1))
+            numbers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((words - first_line[row[words]]).astype(np.int32)))
+            n = np.bincount(N.owners(offsets)[data == BREAK], minlength=b.num_rows) + 1
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *W.KEY)), pa.array(n.astype(np.int64)), numbers],
+                                             names=["doc_id", *W.KEY, "n_lines", "full"])
+
+    own = W.keyed(docs).mapInArrow(full, "doc_id long, ka long, kb long, n_lines long, full array<int>")
+    joined = own.join(kept_lines(docs, threshold), list(W.KEY), "left")
     removed = F.array_sort(F.array_except("full", F.coalesce("kept", F.array().cast("array<int>"))))
-    return joined.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), removed.alias("removed")).select(
+    return joined.select("doc_id", "n_lines", removed.alias("removed")).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
     )
 
@@ -156,6 +250,7 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = kept_lines(docs, threshold)
     joined = W.with_row_key(docs).join(W.under_row_key(kept, F.col("kept").alias("__kept")), list(W.ROW_KEY), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    stays = F.filter(numbered, lambda s: F.coalesce(F.array_contains("__kept", s["i"]), F.lit(False)) | no_words(s["x"]))
+    words = lambda s: s["x"].rlike("[^ \\t\\x0B\\f\\r]")
+    stays = F.filter(numbered, lambda s: F.coalesce(F.array_contains("__kept", s["i"]), F.lit(False)) | ~words(s))
     text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(stays, lambda s: s["x"]), "\n"))
     return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
