@@ -234,13 +234,14 @@ def _sum_by_split(df: DataFrame, fn, width: int, splits: int) -> np.ndarray:
 
 def fit_family(
     df: DataFrame, design: Design, p: int, *, repeats: int, fold_count: int, c: float,
-    iterations: int = 25, tol: float = 1e-9,
+    iterations: int = 100, tol: float = 1e-9,
 ) -> Family:
     """Balanced L2 logistic fits for all splits together.
 
     Every pass is one distributed job over the rows: tasks form gradient and curvature of each split from
     their own batches, Spark sums them, the driver solves one small system per split. A row belongs to the
-    training part of split (r, k) unless its fold in repeat r is k; rows are never copied per split.
+    training part of split (r, k) unless its fold in repeat r is k; rows are never copied per split. A split
+    that does not settle fails the job.
     """
     splits = repeats * fold_count
     own_repeat = np.repeat(np.arange(repeats), fold_count)
@@ -251,7 +252,7 @@ def fit_family(
         return f[:, own_repeat] != own_fold
 
     def moments(batches):
-        acc = np.zeros((splits, 2 + 3 * p))
+        acc = np.zeros((splits, 2 + 2 * p))
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -260,18 +261,30 @@ def fit_family(
                 m = mask[:, s]
                 x, v = at(s)
                 xv = np.where(v, x, 0.0)[m]
-                acc[s] += np.concatenate(
-                    [[m.sum(), y[m].sum()], v[m].sum(0), xv.sum(0), (xv * xv).sum(0)]
-                )
+                acc[s] += np.concatenate([[m.sum(), y[m].sum()], v[m].sum(0), xv.sum(0)])
         yield pd.DataFrame({"split": np.arange(splits), "v": list(acc)})
 
-    total = _sum_by_split(df, moments, 2 + 3 * p, splits)
+    total = _sum_by_split(df, moments, 2 + 2 * p, splits)
     n, pos = total[:, 0], total[:, 1]
     if np.any((pos <= 0) | (pos >= n)):
         raise ValueError("a training split holds only one class")
     count = np.maximum(total[:, 2:2 + p], 1.0)
     mean = total[:, 2 + p:2 + 2 * p] / count
-    var = np.maximum(total[:, 2 + 2 * p:] / count - mean**2, 0.0)
+
+    def squares(batches):
+        # Around the known mean, so nothing cancels.
+        acc = np.zeros((splits, p))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mask = training_mask(pdf)
+            at = design(pdf)
+            for s in range(splits):
+                x, v = at(s)
+                acc[s] += (np.where(v, x - mean[s], 0.0)[mask[:, s]] ** 2).sum(0)
+        yield pd.DataFrame({"split": np.arange(splits), "v": list(acc)})
+
+    var = _sum_by_split(df, squares, p, splits) / count
     scale = np.where(var <= 1e-14 * (1.0 + mean**2), 1.0, np.sqrt(var))
     weight = np.stack([n / (2.0 * (n - pos)), n / (2.0 * pos)], axis=1)
     beta = np.zeros((splits, p + 1))
@@ -312,6 +325,8 @@ def fit_family(
             live[s] = np.abs(step).max() > tol
         if not live.any():
             break
+    if live.any():
+        raise ValueError(f"{int(live.sum())} of {splits} fits do not settle within {iterations} passes")
     return Family(mean, scale, beta[:, 1:], beta[:, 0])
 
 

@@ -957,14 +957,18 @@ STUDY = dict(q_min=2.0, q_max=23.0)
 def _near(spark, sf, centres: DataFrame, half: float) -> DataFrame:
     """Profile points within ``half`` of each listed centre, counted and averaged over all profiles.
 
-    The centre list has a few dozen rows given by the parameters.
+    The centre list has a few dozen rows given by the parameters, so it is the side that is sent to all tasks: points
+    meet it by cells of the width ``half``, of which every centre touches three.
     """
     pts = V.calibration_profiles(spark, sf).select(F.explode(F.arrays_zip("q_range", "radial_profile_data")).alias("z"))
     pts = pts.select(F.col("z.q_range").alias("q"), F.col("z.radial_profile_data").alias("y"))
     per_q = pts.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    hit = centres.join(per_q, F.abs(F.col("q") - F.col("centre")) <= half, "left")
-    keys = [c for c in centres.columns]
-    return hit.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"), (F.sum("s") / F.sum("n")).alias("mean_y"))
+    keys = list(centres.columns)
+    cell = F.floor(F.col("centre") / half)
+    touched = centres.distinct().withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    hit = per_q.withColumn("cell", F.floor(F.col("q") / half)).join(F.broadcast(touched), "cell")
+    sums = hit.where(F.abs(F.col("q") - F.col("centre")) <= half).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return centres.join(sums, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("points"), (F.col("s") / F.col("n")).alias("mean_y"))
 
 
 @query("k1_peak_positions")

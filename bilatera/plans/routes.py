@@ -14,6 +14,7 @@ from ..functions import profiles as P
 from ..operators import filters, signal
 from ..operators.filters import Predicate
 from .. import schemas as S
+from ..sources import reference
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Policy:
-    """Switches and limits of a route."""
+    """Switches and limits of a route. ``has_geometry``: rows carry a geometry text."""
 
     date_from: str | None = None
     excluded_ids: tuple[str, ...] = ()
@@ -51,6 +52,7 @@ class Policy:
     pair_keep: tuple[tuple[str, str], ...] = ()
     normal_as_benign: bool = True
     has_sigma: bool = False
+    has_geometry: bool = False
     has_pixels: bool = False
     band: tuple[float, float] = S.NORM_BAND
     gate: float = S.GATE_MIN
@@ -62,7 +64,9 @@ class Policy:
 
 
 def training_policy(**changes) -> Policy:
+    """Label, biopsy and exclusion filters; the listed sessions and days are excluded unless changed."""
     base = dict(
+        excluded_ids=reference.EXCLUDED_SESSIONS, excluded_dates=reference.EXCLUDED_DATES,
         biopsy_patient=True, status_keep=S.STATUS_KEEP, group_keep=S.GROUP_KEEP, columns=S.TRAINING_COLUMNS,
     )
     return Policy(**{**base, **changes})
@@ -106,9 +110,10 @@ def build_steps(p: Policy, *, pixels: DataFrame | None = None, points: int = S.G
     def integrate(df: DataFrame) -> DataFrame:
         px = pixels.join(df.select("measurement_id").distinct(), "measurement_id", "left_semi")
         bins = signal.azimuthal_bins(signal.faulty_pixels(px), points=points)
-        return df.drop("q_range", "radial_profile_data").join(
+        profiles = df.drop("q_range", "radial_profile_data").join(
             signal.profiles_from_bins(bins, points=points), "measurement_id"
         )
+        return signal.thickness_correct(profiles)
 
     rule = lambda *r: {"rules": list(r)}
     px = pixels is not None
@@ -127,7 +132,7 @@ def build_steps(p: Policy, *, pixels: DataFrame | None = None, points: int = S.G
         return out
 
     return [
-        Step("poni_geometry", signal.geometry, enabled=False),
+        Step("poni_geometry", signal.geometry, enabled=p.has_geometry),
         Step("select_h5_sessions", select_sessions),
         Step("h5_to_df", _where, rule(Predicate("sample_thickness_mm", "notna"), Predicate("position", "in", values=S.POSITIONS))),
         Step("product_columns", filters.label_columns, {"normal_as_benign": p.normal_as_benign}),
