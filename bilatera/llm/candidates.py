@@ -8,6 +8,7 @@ size is spread over many tasks. A task returns numbers of links per member and a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,32 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=256)
+def _pairs(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(size, 1)
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, many pairs at once."""
+    n = np.array([len(s) for s in sets])
+    offsets, everything = np.concatenate([[0], np.cumsum(n)]), np.concatenate(sets)
+    ids = np.unique(everything, return_inverse=True)[1]
+    out, work = np.zeros(len(left), np.int64), np.cumsum(n[left] + n[right])
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + most, side="right")))
+        l, r = left[at:end], right[at:end]
+        pair = np.concatenate([np.repeat(np.arange(len(l)), n[l]), np.repeat(np.arange(len(r)), n[r])])
+        value = np.concatenate([ids[N.spread(offsets[l], n[l])], ids[N.spread(offsets[r], n[r])]])
+        both = np.sort(pair * np.int64(len(everything) + 1) + value)
+        out[at:end] = np.bincount(both[1:][both[1:] == both[:-1]] // (len(everything) + 1), minlength=len(l))
+        at = end
+    return out
+
+
 def counts_and_forest(ids: np.ndarray, weight: np.ndarray, payloads: list, i: np.ndarray, j: np.ndarray):
     """Links of every member by weight, and the edges of a spanning forest."""
-    n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+    n = (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
     for k in np.flatnonzero(n).tolist():
         yield int(ids[k]), None, int(n[k])
     for x, y in forest(i, j, len(ids)):
@@ -93,23 +117,29 @@ def links(members: DataFrame, compare: Callable, payload: str, outcome: Callable
         sorted_ = [k[order] for k in key]
         new = np.ones(len(order), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in sorted_], axis=0)
+        # Equal rows bring a member twice into a group.
+        keep = new | np.append(True, ids[order[1:]] != ids[order[:-1]])
+        order, new = order[keep], new[keep]
         firsts = np.append(np.flatnonzero(new), len(order))
+        lefts, rights = [], []
+        for lo, size in zip(firsts[:-1].tolist(), np.diff(firsts).tolist()):
+            if size > 1:
+                i, j = _pairs(size)
+                lefts.append(i + lo)
+                rights.append(j + lo)
+        if not lefts:
+            return
+        i, j = np.concatenate(lefts), np.concatenate(rights)
+        lo, hi, own, ids, weight = (x[order] for x in (key[1], key[2], own, ids, weight))
+        cross = (lo[i] == hi[i]) | (own[i] != own[j])
+        i, j = i[cross], j[cross]
+        payloads = [rows.column(payload)[int(k)].as_buffer() for k in order]
+        hit = compare(payloads, i, j)
         a_out, b_out, n_out = [], [], []
-        for lo, hi in zip(firsts[:-1], firsts[1:]):
-            at = order[lo:hi]
-            at = at[np.append(True, ids[at[1:]] != ids[at[:-1]])]  # equal rows bring a member twice
-            i, j = np.triu_indices(len(at), 1)
-            if key[1][at[0]] != key[2][at[0]]:
-                cross = own[at[i]] != own[at[j]]
-                i, j = i[cross], j[cross]
-            if not len(i):
-                continue
-            payloads = [rows.column(payload)[int(k)].as_buffer() for k in at]
-            hit = compare(payloads, i, j)
-            for a, b, n in outcome(ids[at], weight[at], payloads, i[hit], j[hit]):
-                a_out.append(a)
-                b_out.append(b)
-                n_out.append(n)
+        for a, b, n in outcome(ids, weight, payloads, i[hit], j[hit]):
+            a_out.append(a)
+            b_out.append(b)
+            n_out.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a_out, b_out, n_out)], names=["a", "b", "n"])
 
     keys = ["component", "lo", "hi"]

@@ -96,20 +96,8 @@ def similar(sets: list, left: np.ndarray, right: np.ndarray, threshold: float =
     out = np.zeros(len(left), bool)
     if not len(alive):
         return out
-    names, ids = np.unique(everything, return_inverse=True)
-    flag = np.zeros(len(names), bool)
-    order = np.argsort(left[alive], kind="stable")
-    alive = alive[order]
-    firsts = np.append(np.flatnonzero(np.diff(left[alive], prepend=-1)), len(alive))
-    for lo, hi in zip(firsts[:-1], firsts[1:]):
-        i, partners = left[alive[lo]], right[alive[lo:hi]]
-        flag[ids[offsets[i] : offsets[i + 1]]] = True
-        if len(partners) * 4 > len(sets):
-            common = np.add.reduceat(flag[ids].astype(np.int64), offsets[:-1])[partners]
-        else:
-            common = np.array([int(flag[ids[offsets[j] : offsets[j + 1]]].sum()) for j in partners])
-        flag[ids[offsets[i] : offsets[i + 1]]] = False
-        out[alive[lo:hi]] = common / (n[i] + n[partners] - common) >= threshold
+    common = C.common_counts(sets, left[alive], right[alive])
+    out[alive] = common / (n[left[alive]] + n[right[alive]] - common) >= threshold
     return out
 
 

@@ -99,31 +99,28 @@ def near(payloads: list, left: np.ndarray, right: np.ndarray, threshold: float)
     alive = np.flatnonzero(np.minimum(n[left], n[right]) >= np.ceil(threshold * np.maximum(n[left], n[right]) - 1e-9))
     if not len(alive):
         return out
+    # Tokens that the prefixes share, and at the first of them the places.
     p = prefix_length(n, threshold)
-    member = np.repeat(np.arange(len(sets)), p)
-    position = N.spread(np.zeros(len(sets), np.int64), p)
-    token = np.concatenate([s[:k] for s, k in zip(sets, p)])
-    order = np.lexsort((member, token))
-    token, member, position = token[order], member[order], position[order]
-    names, ids = np.unique(token, return_inverse=True)
-    place = np.full((len(sets), len(names)), -1, np.int32) if len(sets) * len(names) <= 1 << 24 else None
-    for lo in range(0, len(alive), 4096):
-        some = alive[lo : lo + 4096]
-        i, j = left[some], right[some]
-        if place is not None:
-            if lo == 0:
-                place[member, ids] = position
-            a, b = place[i], place[j]
-            both = (a >= 0) & (b >= 0)
-            first = np.argmax(both, axis=1)  # any shared token; the earliest in order is the smallest number
-            shared = both[np.arange(len(i)), first]
-            room = np.minimum(n[i] - a[np.arange(len(i)), first], n[j] - b[np.arange(len(i)), first])
-            enough = np.ceil((n[i] + n[j]) * (threshold / (1 + threshold)) - 1e-9)
-            some = some[shared & (room >= enough)]
-        for k in some:
-            x, y = sets[left[k]], sets[right[k]]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out[k] = common / (len(x) + len(y) - common) >= threshold
+    i, j = left[alive], right[alive]
+    offsets, everything = np.concatenate([[0], np.cumsum(n)]), np.concatenate(sets)
+    for lo in range(0, len(alive), 20_000):
+        l, r, some = i[lo : lo + 20_000], j[lo : lo + 20_000], alive[lo : lo + 20_000]
+        pair = np.concatenate([np.repeat(np.arange(len(l)), p[l]), np.repeat(np.arange(len(r)), p[r])])
+        at = np.concatenate([N.spread(np.zeros(len(l), np.int64), p[l]), N.spread(np.zeros(len(r), np.int64), p[r])])
+        token = np.concatenate([everything[N.spread(offsets[l], p[l])], everything[N.spread(offsets[r], p[r])]])
+        order = np.lexsort((token, pair))
+        pair, at, token = pair[order], at[order], token[order]
+        same = np.flatnonzero((pair[1:] == pair[:-1]) & (token[1:] == token[:-1]))
+        first, where = np.unique(pair[same], return_index=True)
+        same = same[where]
+        a, b = at[same], at[same + 1]
+        # Which of the two comes first in the sort is open: the bound takes the better assignment.
+        best = np.maximum(np.minimum(n[l[first]] - a, n[r[first]] - b), np.minimum(n[l[first]] - b, n[r[first]] - a))
+        enough = np.ceil((n[l[first]] + n[r[first]]) * (threshold / (1 + threshold)) - 1e-9)
+        some = some[first[best >= enough]]
+        if len(some):
+            common = C.common_counts(sets, left[some], right[some])
+            out[some] = common / (n[left[some]] + n[right[some]] - common) >= threshold
     return out
 
 
@@ -175,6 +172,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = W.BitFilter(shared)
 
     def every(batches, with_sets):
+        sent = set()
         for b, row, line, number, firsts in read(batches):
             s1, s2 = _sets(number, firsts)
             n = np.diff(firsts)
@@ -186,14 +184,19 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             take = pa.array(row[keep])
             columns = {"s1": s1[keep], "s2": s2[keep], **{c: b.column(c).take(take) for c in ("doc_id", *W.KEY)}, "line": line[keep].astype(np.int32)}
             if with_sets:
-                columns["set"] = pa.array([number[firsts[k] : firsts[k + 1]].tobytes() for k in keep], pa.binary())
+                # A task sends the tokens of equal lines once.
+                sets = []
+                for k, name in zip(keep.tolist(), zip(s1[keep].tolist(), s2[keep].tolist())):
+                    sets.append(None if name in sent else number[firsts[k] : firsts[k + 1]].tobytes())
+                    sent.add(name)
+                columns["set"] = pa.array(sets, pa.binary())
             yield W.table(columns)
 
     schema = "s1 long, s2 long, doc_id long, ka long, kb long, line int"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ka", "kb", "line")).alias("first")
     lines = text.mapInArrow(lambda b: every(b, True), schema + ", set binary")
     members = cut_lineage(
-        lines.groupBy("s1", "s2").agg(first, F.first("set").alias("set")).withColumn("id", F.monotonically_increasing_id())
+        lines.groupBy("s1", "s2").agg(first, F.first("set", ignorenulls=True).alias("set")).withColumn("id", F.monotonically_increasing_id())
     )
 
     def buckets(b: pa.RecordBatch):
