@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -115,16 +116,34 @@ def loss_metrics(
     )
 
 
-def _newton_step(a: float, b: float, s: Sequence[float], c: float) -> tuple[float, float, str]:
-    """One damped Newton update from the five sums (g0, g1, h00, h01, h11), and whether it moved, settled or has no optimum."""
-    g0, g1, h00, h01, h11 = s
-    g1, h11 = g1 + b / c, h11 + 1.0 / c
-    det = h00 * h11 - h01**2
-    if det <= 0:
-        return a, b, "flat"
-    da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-    step = min(1.0, 8.0 / max(abs(da), abs(db), 1e-12))
-    return a - step * da, b - step * db, "moved" if max(abs(da), abs(db)) > 1e-9 else "settled"
+@dataclass
+class _Fit:
+    """State of one key's fit: the point, the last accepted point with its loss, and how it stands."""
+
+    a: float = 0.0
+    b: float = 1.0
+    status: str = "moves"
+    back: tuple[float, float, float] | None = None
+
+    def advance(self, s: Sequence[float], c: float) -> None:
+        """One Newton update from loss, gradient (g0, g1) and curvature (h00, h01, h11) at the point.
+
+        A step that raised the loss is halved. Without curvature there is no finite optimum.
+        """
+        loss, g0, g1, h00, h01, h11 = s
+        loss, g1, h11 = loss + self.b**2 / (2 * c), g1 + self.b / c, h11 + 1.0 / c
+        if self.back and loss > self.back[2] + 1e-12 * (1 + abs(self.back[2])):
+            self.a, self.b = (self.a + self.back[0]) / 2, (self.b + self.back[1]) / 2
+            return
+        det = h00 * h11 - h01**2
+        if det <= 1e-14 * h00 * h11:
+            self.status = "flat"
+            return
+        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        if g0 * da + g1 * db <= 1e-14 * (1 + abs(loss)):
+            self.status = "settled"
+        self.back = (self.a, self.b, loss)
+        self.a, self.b = self.a - da, self.b - db
 
 
 def calibration(
@@ -133,7 +152,7 @@ def calibration(
 ) -> DataFrame:
     """Calibration intercept and slope per key: logistic of y on the clipped logit, slope penalty 1/c.
 
-    Keys are splits or replicates. All advance together: a pass is one aggregate of five sums per key,
+    Keys are splits or replicates. All advance together: a pass is one aggregate of six sums per key,
     and only these sums reach the driver. Keys of one class, and keys whose curvature vanishes before the
     optimum (perfectly separated scores), give null. A key that does not settle fails the job.
     """
@@ -151,28 +170,30 @@ def calibration(
     base = base.persist()
     try:
         counts = base.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()
-        state = {tuple(r[k] for k in by): (0.0, 1.0, "moved" if r["lo"] != r["hi"] else "flat") for r in counts}
+        state = {tuple(r[k] for k in by): _Fit(status="moves" if r["lo"] != r["hi"] else "flat") for r in counts}
         for _ in range(iterations):
-            live = [(*k, v[0], v[1]) for k, v in state.items() if v[2] == "moved"]
+            live = [(*k, v.a, v.b) for k, v in state.items() if v.status == "moves"]
             if not live:
                 break
             # One row per split or replicate.
             joined = base.join(F.broadcast(spark.createDataFrame(live, schema).toDF(*by, "_a", "_b")), by)
-            sums = joined.withColumn("_m", X.expit(F.col("_a") + F.col("_b") * F.col("_x"))).withColumns(
-                {"_r": F.col("_w") * (F.col("_m") - F.col("_y")), "_v": F.col("_w") * F.col("_m") * (1 - F.col("_m"))}
+            z = F.col("_a") + F.col("_b") * F.col("_x")
+            # log(1 + exp(z)) without overflow
+            loss = F.col("_w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z)
+            sums = joined.withColumn("_m", X.expit(z)).withColumns(
+                {"_l": loss, "_r": F.col("_w") * (F.col("_m") - F.col("_y")), "_v": F.col("_w") * F.col("_m") * (1 - F.col("_m"))}
             ).groupBy(*by).agg(
-                F.sum("_r").alias("g0"), F.sum(F.col("_r") * F.col("_x")).alias("g1"), F.sum("_v").alias("h00"),
-                F.sum(F.col("_v") * F.col("_x")).alias("h01"),
+                F.sum("_l").alias("loss"), F.sum("_r").alias("g0"), F.sum(F.col("_r") * F.col("_x")).alias("g1"),
+                F.sum("_v").alias("h00"), F.sum(F.col("_v") * F.col("_x")).alias("h01"),
                 F.sum(F.col("_v") * F.col("_x") * F.col("_x")).alias("h11"),
             ).collect()
             for r in sums:
-                key = tuple(r[k] for k in by)
-                state[key] = _newton_step(*state[key][:2], [r[n] for n in ("g0", "g1", "h00", "h01", "h11")], c)
+                state[tuple(r[k] for k in by)].advance([r[n] for n in ("loss", "g0", "g1", "h00", "h01", "h11")], c)
     finally:
         base.unpersist()
-    if open_ := [k for k, v in state.items() if v[2] == "moved"]:
+    if open_ := [k for k, v in state.items() if v.status == "moves"]:
         raise ValueError(f"calibration does not settle within {iterations} passes for {len(open_)} keys, first {open_[0]}")
-    rows = [(*k, *(v[:2] if v[2] == "settled" else (None, None))) for k, v in state.items()]
+    rows = [(*k, *((v.a, v.b) if v.status == "settled" else (None, None))) for k, v in state.items()]
     return spark.createDataFrame(rows, schema).drop("_all")
 
 
