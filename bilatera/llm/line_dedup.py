@@ -27,7 +27,7 @@ from . import numeric as N
 from . import windows as W
 
 THRESHOLD, WIDTH = 0.8, 5
-CELL_BITS = 16
+CELL_BITS, CHUNKS = 20, 64
 PLACE = ("no_id", "doc_id", "ka", "kb", "line")
 BREAK = 0x0A
 
@@ -61,13 +61,24 @@ def rarity_levels(text: DataFrame) -> np.ndarray:
             data, offsets = N.flat(b.column("text"))
             h, _, _ = tokens(data, lines_of(data, offsets)[0])
             cells += np.bincount((h >> N.U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-        some = np.flatnonzero(cells)
-        yield W.table({"cell": some, "n": cells[some]})
-
-    got = text.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one row per cell at most
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
-    levels[got.column("cell").to_numpy()] = np.floor(2 * np.log2(got.column("n").to_numpy()))
-    return levels
+        parts = cells.reshape(CHUNKS, -1)
+        yield W.table({"chunk": np.arange(CHUNKS), "n": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, n in zip(b.column("chunk").to_pylist(), b.column("n").to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(n, np.int64)
+        for chunk, n in sums.items():
+            level = np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+            yield W.table({"chunk": np.array([chunk]), "n": pa.array([level.tobytes()], pa.binary())})
+
+    # A fixed number of cells: every task sends one table of counts, a byte per cell comes back.
+    got = text.select("text").mapInArrow(count, "chunk long, n binary").repartition("chunk").mapInArrow(add, "chunk long, n binary").collect()
+    levels = np.zeros((CHUNKS, (1 << CELL_BITS) // CHUNKS), np.uint8)
+    for r in got:
+        levels[r["chunk"]] = np.frombuffer(r["n"], np.uint8)
+    return levels.ravel()
 
 
 def ordered(h: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +155,14 @@ def later(ids: np.ndarray, weight: np.ndarray, payloads: list, i: np.ndarray, j:
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(ka, kb, kept): the numbers of the lines with words that stay, for every document that keeps one."""
     text = W.keyed(docs)
-    levels = rarity_levels(text)
+    sent_levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(text))
 
     def read(batches):
         for b in N.slices(batches, "text"):
             data, offsets = N.flat(b.column("text"))
             cuts, row = lines_of(data, offsets)
             h, firsts, full = tokens(data, cuts)
-            number, firsts = ordered(h, firsts, levels)
+            number, firsts = ordered(h, firsts, sent_levels.value)
             first_line = np.searchsorted(row, np.arange(b.num_rows))
             yield b, row[full], full - first_line[row[full]], number, firsts
 
@@ -202,8 +213,12 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def buckets(b: pa.RecordBatch):
         data, offsets = N.flat(b.column("set"))
         number, firsts = np.frombuffer(data.tobytes(), N.U), offsets // 8
-        p = prefix_length(np.diff(firsts), threshold)
-        return np.repeat(np.arange(b.num_rows), p), number[N.spread(firsts[:-1], p)]
+        n = np.diff(firsts)
+        p = prefix_length(n, threshold)
+        token, at = number[N.spread(firsts[:-1], p)], np.repeat(np.arange(b.num_rows), p)
+        # Similar lines differ by one class of length at most, so they meet in the class of one of them.
+        size = np.floor(np.log(n) / -np.log(threshold) + 1e-9).astype(np.int64)[at].astype(N.U)
+        return np.concatenate([at, at]), np.concatenate([N.mix(token ^ N.mix(size)), N.mix(token ^ N.mix(size + N.U(1)))])
 
     grouped = C.groups(members, buckets, ["set"])
 
