@@ -6,6 +6,8 @@ expected token totals of the domains, sum over documents of rate x tokens x post
 each error measured against the domain's own total, with a slight pull towards rate 1. It is solved by projected
 gradient steps; a step is one pass over a table of tokens and posteriors, which sums one number per domain.
 A rate is read as its whole part in copies plus one more where a hash of the document falls below the rest.
+``limit`` takes the shares of unwanted domains as upper bounds instead: documents that are most likely of the wanted domain
+keep rate 1 however scarce the others are, and the rates of the others, never above 1, fall until their shares hold.
 
 The classifier is a logistic model on which hashed words a text has and a few shape features. Features are chosen by
 their counts in all labelled documents: several times as frequent in one domain as overall, beyond chance. Weights are
@@ -185,11 +187,13 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return text.mapInArrow(score, "ka long, kb long, doc_id long, tokens long, p array<double>")
 
 
-def _rates(p: np.ndarray, errors: list[np.ndarray]) -> np.ndarray:
-    """Rates after all steps so far, from rate 1."""
+def _rates(p: np.ndarray, errors: list[np.ndarray], wanted: int | None = None) -> np.ndarray:
+    """Rates after all steps so far, from rate 1. With a ``wanted`` domain its documents stay at 1 and no rate is above."""
     rate = np.ones(len(p))
     for e in errors:
         rate = np.maximum(0.0, rate - (p @ e + PULL * (rate - 1)) / (1 + PULL))
+        if wanted is not None:
+            rate = np.where(p.argmax(axis=1) == wanted, 1.0, np.minimum(rate, 1.0))
     return rate
 
 
@@ -198,14 +202,21 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float], total: float | None = None) -> tuple[DataFrame, dict]:
-    """The table with a ``rate``, and what was reached. Targets are shares of ``total`` tokens (default: as many as there are)."""
+def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float], wanted: str | None = None) -> tuple[DataFrame, dict]:
+    """The table with a ``rate``, and what was reached. Targets are shares of as many tokens as there are.
+
+    With a ``wanted`` domain the other targets are the largest shares of the tokens that are read; a domain without a
+    target has no bound, and without documents of the wanted domain nothing has.
+    """
     k = len(model.names)
     sums = [F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
     row = table.agg(F.sum("tokens").alias("all"), *sums).first()
     have = np.array([float(row[f"s{i}"] or 0) for i in range(k)])
     weight = np.array([float(targets.get(n, 0)) for n in model.names])
-    want = weight / max(weight.sum(), 1e-12) * (float(row["all"] or 0) if total is None else total)
+    share = weight / max(weight.sum(), 1e-12)
+    want = share * float(row["all"] or 0)
+    fixed = model.names.index(wanted) if wanted in model.names else None
+    bounded = np.array([fixed is not None and n != wanted and n in targets for n in model.names])
     scale, errors = np.maximum(have, 1e-9 * max(have.sum(), 1.0)), []
     reached, converged = have, False
 
@@ -214,10 +225,12 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
         for b in batches:
             p = _matrix(b.column("p"))
             if len(p):
-                out += (_rates(p, errors) * b.column("tokens").to_numpy()) @ p
+                out += (_rates(p, errors, fixed) * b.column("tokens").to_numpy()) @ p
         yield W.table({"domain": np.arange(k), "s": out})
 
     for _ in range(STEPS):
+        if wanted is not None:
+            want = np.where(bounded, np.minimum(reached, share * reached.sum()), reached)
         errors.append((reached - want) / scale)
         past = list(errors)
         got = table.select("tokens", "p").mapInArrow(lambda b: step(b, past), "domain long, s double").groupBy("domain").agg(F.sum("s").alias("s"))
@@ -226,6 +239,8 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
             reached[r["domain"]] = r["s"]
         # At the end either the targets are met or the totals stand still, as posteriors need not allow the targets.
         limit = TOLERANCE * max(want.sum(), 1.0)
+        if wanted is not None:
+            want = np.where(bounded, np.minimum(reached, share * reached.sum()), reached)
         if np.abs(reached - want).max() <= limit or np.abs(reached - before).max() <= 0.5 * limit:
             converged = True
             break
@@ -235,7 +250,7 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
     def give(batches):
         for b in batches:
             p = _matrix(b.column("p"))
-            rate = _rates(p, errors) if len(p) else np.zeros(0)
+            rate = _rates(p, errors, fixed) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rate)], names=[*b.schema.names, "rate"])
 
     rated = table.mapInArrow(give, "ka long, kb long, doc_id long, tokens long, p array<double>, rate double")
@@ -244,13 +259,13 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
     return rated.withColumn("copies", copies), {"domains": model.names, "have": have, "want": want, "reached": reached, "steps": len(errors)}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, at_most_have: bool = False) -> tuple[DataFrame, dict]:
-    """Rates of all documents. With ``at_most_have`` the total is the largest that no wanted domain has to be repeated for."""
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> tuple[DataFrame, dict]:
+    """Rates of all documents."""
+    model = train(docs, labels)
+    return fit_rates(cut_lineage(posteriors(docs, model)), model, targets)
+
+
+def limit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], wanted: str) -> tuple[DataFrame, dict]:
+    """Rates of all documents, 1 for those of the ``wanted`` domain; the other targets are upper bounds."""
     model = train(docs, labels)
-    table = cut_lineage(posteriors(docs, model))
-    total = None
-    if at_most_have:
-        row = table.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(len(model.names))]).first()
-        weight = sum(targets.values())
-        total = min((float(row[f"s{i}"] or 0) * weight / targets[n] for i, n in enumerate(model.names) if targets.get(n, 0) > 0), default=0.0)
-    return fit_rates(table, model, targets, total)
+    return fit_rates(cut_lineage(posteriors(docs, model)), model, targets, wanted)

@@ -13,7 +13,7 @@ from bilatera.llm import windows as W
 from bilatera.llm.registry import modest_batches
 from bilatera.sources.storage import cut_lineage
 
-#: Shares of expected tokens. Soft posteriors of clean text hold a little of the other domains, so these are not zero.
+#: Shares of expected tokens, upper bounds for all but clean. Soft posteriors of clean text hold a little of the other domains, so these are not zero.
 TARGETS = {"clean": 0.95, "toxic": 0.035, "junk": 0.015}
 
 
@@ -52,10 +52,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to one reading or more, once each."""
+    """All documents that are most likely clean, and of the others as many copies as their fitted rates say, at most one."""
     modest_batches(spark)
-    rated, _ = mixing.mix(docs, _labels(spark, sf_dir), TARGETS, at_most_have=True)
-    return _columns(_only(docs, rated.where("rate >= 0.5")), docs)
+    rated, _ = mixing.limit(docs, _labels(spark, sf_dir), TARGETS, "clean")
+    return _columns(_only(docs, rated.where("copies > 0")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
