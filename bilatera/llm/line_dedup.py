@@ -1,11 +1,13 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of tokens, shingles of five words; a shorter line is one token. Tokens are ordered by rarity: counts of
+A line is its set of tokens, shingles of ``width`` words; a shorter line is one token. With width 1 they are its words, which
+finds lines that differ by a word anywhere; the pipeline compares lines so. Tokens are ordered by rarity: counts of
 all tokens go into a table of a fixed number of cells, and tokens are ordered by their cell's logarithm, then by hash. Two
 lines of Jaccard similarity ``threshold`` or more share a token within their first n - ceil(threshold n) + 1 (the prefix), and
 at the first token they share, lengths and positions leave enough tokens to share. Only lines with a prefix token that
 another set has too are candidates; those joined by such tokens are compared in blocks (see ``candidates``): length,
-prefix and positional filters first, then the whole sets.
+prefix and positional filters first, then the whole sets. Single words connect nearly all lines, so they are compared token
+by token instead (see ``_word_pairs``).
 
 A line goes when an earlier line (by doc_id, then line number; no doc_id comes last) is that similar, whether that
 one stays or not. Equal sets are one class with its first place.
@@ -30,6 +32,8 @@ THRESHOLD, WIDTH = 0.8, 5
 CELL_BITS, CHUNKS = 20, 64
 PLACE = ("no_id", "doc_id", "ka", "kb", "line")
 BREAK = 0x0A
+#: For single words: 64-bit words of a set's mark, lines of a token in a block, and pairs compared at once.
+MARK, BLOCK, PAIRS = 4, 1024, 1 << 19
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,25 +45,25 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cuts, np.searchsorted(offsets, cuts[:-1], side="right") - 1
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all lines that have words, their offsets, and the line of each."""
     starts, ends, firsts = N.words(data, offsets)
     values, count = N.word_values(data, starts, ends), np.diff(firsts)
-    have = np.where(count >= WIDTH, count - WIDTH + 1, np.minimum(count, 1))
+    have = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     at, line = N.spread(firsts[:-1], have), np.repeat(np.arange(len(count)), have)
-    h = N.Ranges(values)(at, np.minimum(at + WIDTH, firsts[1:][line]))
+    h = N.Ranges(values)(at, np.minimum(at + width, firsts[1:][line]))
     full = np.flatnonzero(have)
     return h, np.concatenate([[0], np.cumsum(have[full])]), full
 
 
-def rarity_levels(text: DataFrame) -> np.ndarray:
+def rarity_levels(text: DataFrame, width: int = WIDTH) -> np.ndarray:
     """For every cell of token hashes, the logarithm of how often its tokens occur."""
 
     def count(batches):
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for b in N.slices(batches, "text"):
             data, offsets = N.flat(b.column("text"))
-            h, _, _ = tokens(data, lines_of(data, offsets)[0])
+            h, _, _ = tokens(data, lines_of(data, offsets)[0], width)
             cells += np.bincount((h >> N.U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
         parts = cells.reshape(CHUNKS, -1)
         yield W.table({"chunk": np.arange(CHUNKS), "n": pa.array([p.tobytes() for p in parts], pa.binary())})
@@ -152,16 +156,170 @@ def later(ids: np.ndarray, weight: np.ndarray, payloads: list, i: np.ndarray, j:
         yield int(ids[k]), None, 1
 
 
-def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _marks(number: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``MARK`` words of 64 bits for every set; each token flips one bit."""
+    place = N.mix(number) >> N.U(64 - 6 - (MARK - 1).bit_length())
+    bit = N.U(1) << (place & N.U(63))
+    word = place >> N.U(6)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == N.U(k), bit, N.U(0)), offsets[:-1]) for k in range(MARK)], axis=1)
+
+
+def _maybe_similar(rows: pa.Table, threshold: float):
+    """Pairs of a token's lines, as places in ``rows``, that lengths and marks do not rule out.
+
+    Of sets that reach the threshold so few tokens are not common, and each flips one bit at most.
+    """
+    key = [rows.column(c).to_numpy() for c in ("h", "lo", "hi")]
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+    own, n = rows.column("own").to_numpy(), rows.column("n").to_numpy().astype(np.int64)
+    marks = np.stack([rows.column(f"m{k}").to_numpy().view(N.U) for k in range(MARK)], axis=1)
+    at = np.arange(rows.num_rows)
+    last = np.append(np.flatnonzero(new), rows.num_rows)[np.cumsum(new)]
+    more = last - at - 1
+    work, lo = np.concatenate([[0], np.cumsum(more)]), 0
+    while lo < rows.num_rows:
+        end = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, side="right")) - 1)
+        i = np.repeat(at[lo:end], more[lo:end])
+        j = N.spread(at[lo:end] + 1, more[lo:end])
+        # Rows of two blocks meet across them only, those of one block with each other.
+        keep = (key[1][i] == key[2][i]) | (own[i] != own[j])
+        keep &= np.minimum(n[i], n[j]) >= np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[keep], j[keep]
+        total = n[i] + n[j]
+        differ = total - 2 * np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+        keep = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= differ
+        yield i[keep], j[keep]
+        lo = end
+
+
+def _word_pairs(members: DataFrame, shared: DataFrame, known: W.BitFilter, threshold: float) -> DataFrame:
+    """(s1, s2) of the members that have an earlier similar one.
+
+    The lines of a prefix token are compared in blocks by length and mark, pairs that remain on their whole sets. Every line
+    is first held against its earliest possible partner of each token, which settles groups of near copies in about as
+    many pairs as lines; lines still open then against all others.
+    """
+    width = ", ".join(f"m{k} long" for k in range(MARK))
+
+    def emit(batches):
+        for b in N.slices(batches, "set"):
+            data, offsets = N.flat(b.column("set"))
+            number, firsts = np.frombuffer(data.tobytes(), N.U), offsets // 8
+            n = np.diff(firsts)
+            if not len(n):
+                continue
+            p = prefix_length(n, threshold)
+            token, at = number[N.spread(firsts[:-1], p)], np.repeat(np.arange(b.num_rows), p)
+            hit = known(token)
+            token, at = token[hit], at[hit]
+            marks, take = _marks(number, firsts), pa.array(at)
+            yield W.table({"h": N.signed(token), **{c: b.column(c).take(take) for c in ("id", "d", "line")}, "n": n[at].astype(np.int32),
+                           **{f"m{k}": N.signed(marks[at, k]) for k in range(MARK)}})
+
+    numbered = members.select("id", F.coalesce("first.doc_id", F.lit((1 << 63) - 1)).alias("d"), "first.line", "set")
+    rows = numbered.mapInArrow(emit, f"h long, id long, d long, line int, n int, {width}")
+    # Counts are of lines, equal ones of different tasks included: blocks may be smaller than ``BLOCK``.
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    large = shared.where(F.col("c") > BLOCK).select("h", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    dealt = rows.join(large, "h", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    keys = ["h", "lo", "hi"]
+    dealt = dealt.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "d", "line", "n",
+                         *[f"m{k}" for k in range(MARK)])
+    dealt = cut_lineage(dealt.repartition(*keys).sortWithinPartitions(*keys, "d", "line", "id"))
+
+    def partners(only=None):
+        def step(table: pa.Table):
+            ids, d, line = (table.column(c).to_numpy() for c in ("id", "d", "line"))
+            a, b = [np.concatenate(x) for x in zip((ids[:0].astype(np.int64),) * 2, *_maybe_similar(table, threshold))]
+            # Rows are in order; where document and line are equal, which is earlier shows later.
+            tie = (d[a] == d[b]) & (line[a] == line[b])
+            early, late = np.concatenate([a, b[tie]]), np.concatenate([b, a[tie]])
+            if only is None:
+                order = np.lexsort((early, late))
+                early, late = early[order], late[order]
+                head = np.flatnonzero(np.append(True, late[1:] != late[:-1])) if len(late) else late
+                others = np.diff(np.append(head, len(late))) - 1
+                yield W.table({"a": ids[late[head]], "b": ids[early[head]], "others": others.astype(np.int64)})
+            else:
+                keep = only(ids[late].view(N.U))
+                yield W.table({"a": ids[late[keep]], "b": ids[early[keep]], "others": np.zeros(int(keep.sum()), np.int64)})
+
+        return dealt.mapInArrow(W.by_groups(step, keys, 1 << 23), "a long, b long, others long")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The members of column a whose partner is earlier and similar."""
+        pairs = cut_lineage(pairs.select("a", "b").where("a <> b").distinct())
+        asked = W.BitFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+
+        def some(batches):
+            for b in batches:
+                yield b.filter(pa.array(asked(b.column("id").to_numpy().view(N.U))))
+
+        sets = members.select("id", "first", "set").mapInArrow(some, members.select("id", "first", "set").schema)
+        left, right = (sets.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("set").alias(f"{k}_set")) for k in "ab")
+        both = pairs.join(left, "a").join(right, "b").where("b_first < a_first").select("a", "a_set", "b_set")
+
+        def verify(batches):
+            for b in N.slices(batches, "a_set"):
+                k = b.num_rows
+                sets = [np.frombuffer(x, N.U) for c in ("a_set", "b_set") for x in b.column(c).to_pylist()]
+                n, at = np.array([len(x) for x in sets]), np.arange(k)
+                common = C.common_counts(sets, at, at + k)
+                yield W.table({"a": b.column("a").filter(pa.array(common / (n[:k] + n[k:] - common) >= threshold))})
+
+        return cut_lineage(both.mapInArrow(verify, "a long").distinct())
+
+    one = cut_lineage(partners())
+    gone = similar(one)
+    open_ = cut_lineage(one.where("others > 0").select(F.col("a").alias("h")).distinct().join(gone.select(F.col("a").alias("h")), "h", "left_anti"))
+    if not open_.isEmpty():
+        rest = partners(W.BitFilter(open_)).join(open_.withColumnRenamed("h", "a"), "a", "left_semi")
+        gone = gone.union(similar(rest))
+    return members.join(gone.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("s1", "s2")
+
+
+def _shingle_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """(s1, s2) of the members that have an earlier similar one, by connected groups of candidates."""
+
+    def buckets(b: pa.RecordBatch):
+        data, offsets = N.flat(b.column("set"))
+        number, firsts = np.frombuffer(data.tobytes(), N.U), offsets // 8
+        n = np.diff(firsts)
+        p = prefix_length(n, threshold)
+        token, at = number[N.spread(firsts[:-1], p)], np.repeat(np.arange(b.num_rows), p)
+        # Similar lines differ by one class of length at most, so they meet in the class of one of them.
+        size = np.floor(np.log(n) / -np.log(threshold) + 1e-9).astype(np.int64)[at].astype(N.U)
+        return np.concatenate([at, at]), np.concatenate([N.mix(token ^ N.mix(size)), N.mix(token ^ N.mix(size + N.U(1)))])
+
+    grouped = C.groups(members, buckets, ["set"])
+
+    def pack(batches):
+        for b in N.slices(batches, "set"):
+            no_id = b.column("no_id").to_numpy(zero_copy_only=False)
+            numbers = [b.column(c).fill_null(0).to_numpy() for c in ("doc_id", "ka", "kb", "line")]
+            both = [x + y for x, y in zip(place_bytes(no_id, *numbers), b.column("set").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("weight"), pa.array(both, pa.binary())],
+                                             names=["id", "component", "weight", "payload"])
+
+    payload = grouped.join(members, "id").select("id", "component", F.lit(1).cast("long").alias("weight"), "first.*", "set").mapInArrow(
+        pack, "id long, component long, weight long, payload binary"
+    )
+    gone = C.links(payload, lambda p, i, j: near(p, i, j, threshold), "payload", later).select(F.col("a").alias("id")).distinct()
+    return members.join(gone, "id", "left_semi").select("s1", "s2")
+
+
+def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(ka, kb, kept): the numbers of the lines with words that stay, for every document that keeps one."""
     text = W.keyed(docs)
-    sent_levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(text))
+    sent_levels = docs.sparkSession.sparkContext.broadcast(rarity_levels(text, width))
 
     def read(batches):
         for b in N.slices(batches, "text"):
             data, offsets = N.flat(b.column("text"))
             cuts, row = lines_of(data, offsets)
-            h, firsts, full = tokens(data, cuts)
+            h, firsts, full = tokens(data, cuts, width)
             number, firsts = ordered(h, firsts, sent_levels.value)
             first_line = np.searchsorted(row, np.arange(b.num_rows))
             yield b, row[full], full - first_line[row[full]], number, firsts
@@ -178,8 +336,9 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (s[1:] != s[:-1])
             yield W.table({"h": N.signed(token[new]), "s": s[new]})
 
-    shared = text.select("text").mapInArrow(prefixes, "h long, s long").groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("z"))
-    shared = cut_lineage(shared.where("a < z").select("h"))
+    shared = text.select("text").mapInArrow(prefixes, "h long, s long").groupBy("h").agg(
+        F.min("s").alias("a"), F.max("s").alias("z"), F.count(F.lit(1)).alias("c"))
+    shared = cut_lineage(shared.where("a < z").select("h", "c"))
     known = W.BitFilter(shared)
 
     def every(batches, with_sets):
@@ -210,37 +369,13 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         lines.groupBy("s1", "s2").agg(first, F.first("set", ignorenulls=True).alias("set")).withColumn("id", F.monotonically_increasing_id())
     )
 
-    def buckets(b: pa.RecordBatch):
-        data, offsets = N.flat(b.column("set"))
-        number, firsts = np.frombuffer(data.tobytes(), N.U), offsets // 8
-        n = np.diff(firsts)
-        p = prefix_length(n, threshold)
-        token, at = number[N.spread(firsts[:-1], p)], np.repeat(np.arange(b.num_rows), p)
-        # Similar lines differ by one class of length at most, so they meet in the class of one of them.
-        size = np.floor(np.log(n) / -np.log(threshold) + 1e-9).astype(np.int64)[at].astype(N.U)
-        return np.concatenate([at, at]), np.concatenate([N.mix(token ^ N.mix(size)), N.mix(token ^ N.mix(size + N.U(1)))])
-
-    grouped = C.groups(members, buckets, ["set"])
-
-    def pack(batches):
-        for b in N.slices(batches, "set"):
-            no_id = b.column("no_id").to_numpy(zero_copy_only=False)
-            numbers = [b.column(c).fill_null(0).to_numpy() for c in ("doc_id", "ka", "kb", "line")]
-            both = [x + y for x, y in zip(place_bytes(no_id, *numbers), b.column("set").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("weight"), pa.array(both, pa.binary())],
-                                             names=["id", "component", "weight", "payload"])
-
-    payload = grouped.join(members, "id").select("id", "component", F.lit(1).cast("long").alias("weight"), "first.*", "set").mapInArrow(
-        pack, "id long, component long, weight long, payload binary"
-    )
-    gone = C.links(payload, lambda p, i, j: near(p, i, j, threshold), "payload", later).select(F.col("a").alias("id")).distinct()
-    gone = members.join(gone, "id", "left_semi").select("s1", "s2")
+    gone = _word_pairs(members, shared, known, threshold) if width == 1 else _shingle_pairs(members, threshold)
     classes = text.mapInArrow(lambda b: every(b, False), schema).groupBy("s1", "s2").agg(first)
     stays = classes.join(gone, ["s1", "s2"], "left_anti")
     return stays.groupBy("first.ka", "first.kb").agg(F.collect_list("first.line").alias("kept"))
 
 
-def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One row per document: n_lines, n_removed and the numbers (from 0) of removed lines in ``removed``."""
 
     def full(batches):
@@ -256,16 +391,16 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                              names=["doc_id", *W.KEY, "n_lines", "full"])
 
     own = W.keyed(docs).mapInArrow(full, "doc_id long, ka long, kb long, n_lines long, full array<int>")
-    joined = own.join(kept_lines(docs, threshold), list(W.KEY), "left")
+    joined = own.join(kept_lines(docs, threshold, width), list(W.KEY), "left")
     removed = F.array_sort(F.array_except("full", F.coalesce("kept", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", removed.alias("removed")).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
     )
 
 
-def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The documents without removed lines; all columns stay, only ``text`` changes."""
-    kept = kept_lines(docs, threshold)
+    kept = kept_lines(docs, threshold, width)
     joined = W.with_row_key(docs).join(W.under_row_key(kept, F.col("kept").alias("__kept")), list(W.ROW_KEY), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     words = lambda s: s["x"].rlike("[^ \\t\\x0B\\f\\r]")

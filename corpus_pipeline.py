@@ -38,9 +38,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; ``n_chars`` follows the text where there is such a column."""
+    """Documents without lines whose words repeat an earlier one's; ``n_chars`` follows the text where there is such a column."""
     modest_batches(spark)
-    out = line_dedup.clean(docs)
+    out = line_dedup.clean(docs, width=1)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
