@@ -1,4 +1,4 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of byte and of word n-grams, trained on trusted text.
 
 Counts of the longest n-grams are summed over all trusted documents; shorter ones carry continuation counts, made
 from the distinct longer ones. Every probability is a join of count tables, sharded by n-gram: the n-gram's own
@@ -7,9 +7,14 @@ computed for all n-grams that occur in any document, so scoring needs one look-u
 finished table shard by shard: a shard has a fixed number of rows at most, is sent to all tasks, and adds its part
 to each document's log probability. More text makes more shards, never a larger one.
 
+Bytes tell symbols and gibberish from text, but see less than a word. A second model of the same kind over three words
+finds repeated or shuffled words: words are hashed to ``WORD_BITS`` bits, n-grams are packed from them, and scores are
+a shuffle join of every document's counted n-grams with the table. Its quantiles are those of ``WORD_KEEP`` that tell
+labelled junk (quality 0) best from trusted documents that neither model has seen, each side for itself.
+
 A document is kept when its perplexity per byte lies between two quantiles of its language, taken over trusted
-documents of like length (a doubling) that the model has not seen, since short texts vary more. Trusted documents
-are kept. Where fewer than ``ENOUGH`` such documents have that length, all lengths of the language count, and
+documents of like length (a doubling) that the model has not seen, since short texts vary more, and its perplexity per
+word does so too. Trusted documents are kept. Where fewer than ``ENOUGH`` such documents have that length, all lengths of the language count, and
 else all languages. Null or empty text has no perplexity and is rejected. Null doc_id or lang is allowed;
 rows that repeat are judged alike. Extra columns are ignored. Without trusted text everything that has text stays.
 """
@@ -34,6 +39,8 @@ SHARD = 1 << 21
 KEEP = (0.002, 0.998)
 SLACK = 1.05
 ENOUGH = 100
+#: The word model: its order, bits of a hashed word, and the shares of trusted text that either bound may cut off.
+WORDS, WORD_BITS, WORD_KEEP = 3, 21, (0.002, 0.005, 0.01, 0.02)
 #: What stands before a document's first byte.
 START = 0x0A
 
@@ -50,18 +57,33 @@ def gram_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[N.spread(first, lengths)], np.repeat(np.arange(len(texts)), lengths)
 
 
+def word_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of hashed words that ends at every word, packed into one integer, and the row of each."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, firsts = N.words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+    lengths = np.diff(firsts)
+    # Zero stands before a document's first word.
+    padded = np.zeros(len(starts) + (order - 1) * len(texts), np.int64)
+    at = N.spread(firsts[:-1] + (order - 1) * np.arange(1, len(texts) + 1), lengths)
+    padded[at] = np.maximum(N.word_values(data, starts, ends) >> N.U(64 - WORD_BITS), N.U(1)).astype(np.int64)
+    keys = np.zeros(len(at), np.int64)
+    for k in range(order - 1, -1, -1):
+        keys = (keys << WORD_BITS) | padded[at - k]
+    return keys, np.repeat(np.arange(len(texts)), lengths)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
+def count_grams(texts: DataFrame, order: int, make=gram_keys) -> DataFrame:
     """(key, c) over all documents; tasks sum their own counts first, in pieces of bounded size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in N.slices(batches, "text", 1 << 20):
-            keys, _ = gram_keys([t.encode() for t in b.column("text").to_pylist()], order)
+            keys, _ = make([t.encode() for t in b.column("text").to_pylist()], order)
             parts.append(np.unique(keys, return_counts=True))
             size += len(parts[-1][0])
             if size > 1 << 21:
@@ -77,9 +99,9 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def suffix(key: Column, order: int) -> Column:
-    """The n-gram of ``order`` bytes at the end of a longer one."""
-    return key.bitwiseAND(F.lit((1 << (8 * order)) - 1))
+def suffix(key: Column, order: int, bits: int = 8) -> Column:
+    """The n-gram of ``order`` bytes (or words of so many bits) at the end of a longer one."""
+    return key.bitwiseAND(F.lit((1 << (bits * order)) - 1))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -94,26 +116,27 @@ def discounts(counts: DataFrame) -> list[float]:
     return found
 
 
-def probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
+def probabilities(counts: DataFrame, wanted: DataFrame, order: int, bits: int = 8) -> DataFrame:
     """(key, p) for the distinct n-grams in ``wanted``."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
         longer = levels[k + 1]
-        levels[k] = cut_lineage(longer.groupBy(suffix(F.col("key"), k).alias("key")).agg(F.count(F.lit(1)).alias("c")))
+        levels[k] = cut_lineage(longer.groupBy(suffix(F.col("key"), k, bits).alias("key")).agg(F.count(F.lit(1)).alias("c")))
     asked = {order: wanted.select("key")}
     for k in range(order - 1, 0, -1):
-        asked[k] = asked[k + 1].select(suffix(F.col("key"), k).alias("key")).distinct()
+        asked[k] = asked[k + 1].select(suffix(F.col("key"), k, bits).alias("key")).distinct()
     lower = None
     for k in range(1, order + 1):
         d = discounts(levels[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("key", 8)
+        context = F.shiftright("key", bits)
         totals = levels[k].groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(off).alias("mass"))
-        found = asked[k].join(levels[k], "key", "left").withColumn("context", context).join(totals, "context", "left")
+        # Single bytes or words have one context, the empty one.
+        found = asked[k].join(levels[k], "key", "left").withColumn("context", context).join(F.broadcast(totals) if k == 1 else totals, "context", "left")
         if lower is None:
-            found = found.withColumn("q", F.lit(1 / 256))
+            found = found.withColumn("q", F.lit(1 / (1 << bits)))
         else:
-            found = found.withColumn("tail", suffix(F.col("key"), k - 1)).join(
+            found = found.withColumn("tail", suffix(F.col("key"), k - 1, bits)).join(
                 lower.select(F.col("key").alias("tail"), F.col("p").alias("q")), "tail"
             )
         own = F.coalesce((F.col("c") - off) / F.col("total"), F.lit(0.0))
@@ -153,10 +176,56 @@ def log_scores(docs: DataFrame, table: DataFrame, order: int, shard: int = SHARD
     return out.groupBy(*W.KEY).agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
 
 
+def word_scores(docs: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """(ka, kb, word_logp, words): log probability and number of words, by a join on n-grams counted per document."""
+
+    def emit(batches):
+        for b in N.slices(batches, "text"):
+            keys, row = word_keys([t.encode() for t in b.column("text").to_pylist()], order)
+            sort = np.lexsort((keys, row))
+            keys, row = keys[sort], row[sort]
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else keys
+            take = pa.array(row[new])
+            yield W.table({"key": keys[new], "c": np.diff(np.append(new, len(keys))), **{k: b.column(k).take(take) for k in W.KEY}})
+
+    grams = docs.select("text", *W.KEY).mapInArrow(emit, "key long, c long, ka long, kb long")
+    found = grams.join(table.select("key", F.log("p").alias("v")), "key")
+    return found.groupBy(*W.KEY).agg(F.sum(F.col("c") * F.col("v")).alias("word_logp"), F.sum("c").alias("words"))
+
+
+def _with_cuts(scores: DataFrame, held: DataFrame, column: str, quantiles: list[float], name: str) -> DataFrame:
+    """Quantiles of ``column`` over held-out trusted documents, by language and size as far as there are enough."""
+    cut = F.percentile_approx(column, quantiles, 10_000)
+    enough = F.count(column) >= ENOUGH
+    # A few rows for each language, and one for all.
+    by_size = held.where("lang is not null").groupBy("lang", "size").agg(F.when(enough, cut).alias("like"))
+    by_lang = held.where("lang is not null").groupBy("lang").agg(F.when(enough, cut).alias("own"))
+    overall = held.agg(cut.alias("all"))
+    joined = scores.join(by_size, ["lang", "size"], "left").join(by_lang, "lang", "left").join(F.broadcast(overall))
+    return joined.withColumn(name, F.coalesce("like", "own", "all")).drop("like", "own", "all")
+
+
+def _inside(column: str, low: Column, high: Column) -> Column:
+    return F.col(column).between(F.coalesce(low / SLACK, F.lit(0.0)), F.coalesce(high * SLACK, F.lit(float("inf"))))
+
+
+def _best_cuts(scores: DataFrame, held: Column, choices: int) -> tuple[int, int]:
+    """Which lower and which upper cut tells labelled junk best from held-out trusted text."""
+    value, sides = F.col("word_perplexity"), []
+    for i in range(choices):
+        sides += [value < F.col("word_cuts")[i] / SLACK, value > F.col("word_cuts")[choices + i] * SLACK]
+    share = lambda of, out: F.coalesce(F.avg(F.when(of, out.cast("double"))), F.lit(0.0))
+    row = scores.where(value.isNotNull()).agg(
+        *[(share(F.col("junk"), x) - share(held, x)).alias(f"gain{i}") for i, x in enumerate(sides)]).first()
+    gain = np.array([row[f"gain{i}"] for i in range(2 * choices)], float).reshape(choices, 2)
+    return int(gain[:, 0].argmax()), int(gain[:, 1].argmax())
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, keep: tuple[float, float] = KEEP, shard: int = SHARD) -> DataFrame:
-    """One row per document: perplexity per byte, the bounds of its language, ``trusted`` and ``kept``."""
+    """One row per document: perplexities per byte and word, the bounds of its language, ``trusted`` and ``kept``."""
     text = W.keyed(docs, "lang")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
+    bad = labels.where("quality = 0 and doc_id is not null").select("doc_id").distinct()
     trusted = text.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
     seen = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(4)) != 0  # a quarter sets the quantiles only
     counts = cut_lineage(count_grams(trusted.where(seen), order))
@@ -166,20 +235,25 @@ def judge(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, keep: tuple
     scores = ids.join(log_scores(text, table, order, shard), list(W.KEY)).withColumn(
         "perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))
     )
-    scores = cut_lineage(scores.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left"))
-    scores = scores.withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
-    held = scores.where(F.col("trusted") & ~seen & F.col("perplexity").isNotNull())
-    cut = F.percentile_approx("perplexity", list(keep), 10_000)
-    enough = F.count(F.lit(1)) >= ENOUGH
-    # A few rows for each language, and one for all.
-    by_size = held.where("lang is not null").groupBy("lang", "size").agg(F.when(enough, cut).alias("like"))
-    by_lang = held.where("lang is not null").groupBy("lang").agg(F.when(enough, cut).alias("own"))
-    overall = held.agg(cut.alias("all"))
-    bounds = scores.join(by_size, ["lang", "size"], "left").join(by_lang, "lang", "left").join(F.broadcast(overall))
-    low, high = (F.coalesce("like", "own", "all")[i] for i in (0, 1))
-    inside = F.col("perplexity").between(F.coalesce(low / SLACK, F.lit(0.0)), F.coalesce(high * SLACK, F.lit(float("inf"))))
+    words = cut_lineage(count_grams(trusted.where(seen), WORDS, word_keys))
+    wanted = cut_lineage(count_grams(text, WORDS, word_keys).select("key"))
+    by_word = word_scores(text, probabilities(words, wanted, WORDS, WORD_BITS), WORDS)
+    scores = scores.join(by_word, list(W.KEY), "left").withColumn("word_perplexity", F.exp(-F.col("word_logp") / F.col("words")))
+    scores = scores.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    scores = cut_lineage(scores.join(bad.withColumn("junk", F.lit(True)), "doc_id", "left"))
+    scores = scores.withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")).fillna(False, ["trusted", "junk"])
+    unseen = F.col("trusted") & ~seen
+    held = scores.where(unseen & F.col("perplexity").isNotNull())
+    lows = list(WORD_KEEP)
+    bounds = _with_cuts(scores, held, "perplexity", list(keep), "cuts")
+    bounds = cut_lineage(_with_cuts(bounds, held, "word_perplexity", [*lows, *[1 - q for q in lows]], "word_cuts"))
+    i, j = _best_cuts(bounds, unseen, len(lows))
+    low, high = (F.col("cuts")[k] for k in (0, 1))
+    word_low, word_high = F.col("word_cuts")[i], F.col("word_cuts")[len(lows) + j]
+    # White space alone has bytes and no words.
+    inside = _inside("perplexity", low, high) & F.coalesce(_inside("word_perplexity", word_low, word_high), F.lit(True))
     return bounds.select(
         "doc_id", *W.KEY, "perplexity", (low / SLACK).alias("low"), (high * SLACK).alias("high"),
-        F.coalesce("trusted", F.lit(False)).alias("trusted"),
-        (F.col("perplexity").isNotNull() & (F.coalesce("trusted", F.lit(False)) | inside)).alias("kept"),
+        "word_perplexity", (word_low / SLACK).alias("word_low"), (word_high * SLACK).alias("word_high"),
+        "trusted", (F.col("perplexity").isNotNull() & (F.col("trusted") | inside)).alias("kept"),
     )

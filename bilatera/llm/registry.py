@@ -57,7 +57,8 @@ def _(spark, sf):
 def _(spark, sf):
     from .quality import judge
 
-    return judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "perplexity", "low", "high", "trusted", "kept")
+    return judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+        "doc_id", "perplexity", "low", "high", "word_perplexity", "word_low", "word_high", "trusted", "kept")
 
 
 @query("op6_nearest_centroid_language")
