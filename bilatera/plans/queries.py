@@ -1098,6 +1098,15 @@ def _(spark, sf):
     return out.where("field = 'age'").select("external_id", "field", number("left_value"), number("right_value"))
 
 
+@query("j2_mismatch_fields")
+def _(spark, sf):
+    """Mismatches of all fields, values as text; numbers with six decimals, compared before that."""
+    out = audits.mismatches(V.meta_left(spark, sf), V.meta_right(spark, sf), **J)
+    text = lambda c: F.when(F.col("field") == "status", F.col(c)).otherwise(
+        X.to_number(c).cast("decimal(18,6)").cast("string")).alias(c)
+    return out.select("external_id", "field", text("left_value"), text("right_value"))
+
+
 @query("j3_backfill")
 def _(spark, sf):
     m = V.measurements(spark, sf).select("measurement_id", "sample_thickness_mm")
