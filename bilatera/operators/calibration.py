@@ -357,7 +357,9 @@ def left_shoulder_metric(
     )
     total = [F.sum("left_area").alias("kbeta_left_positive_area"), F.sum("right_control_area").alias("right_control_positive_area")]
     if with_details:
-        detail = F.struct("ord", "left_area", "right_control_area")
+        centre_of = lambda k, name: F.coalesce(*[F.when(F.col("ord") == w[0], F.lit(float(w[k]))) for w in windows], F.lit(None).cast("double")).alias(name)
+        centres = [centre_of(k, name) for k, name in enumerate(("alpha_q", "beta_q", "right_control_q"), 1)]
+        detail = F.struct("ord", *centres, "left_area", "right_control_area")
         total.append(F.to_json(F.array_sort(F.collect_list(detail))).alias("peak_window_details"))
     width = 2.0 * half * max(1, len(windows))
     net = F.greatest(F.col("kbeta_left_positive_area") - F.col("right_control_positive_area"), F.lit(0.0))
