@@ -148,3 +148,26 @@ def _(spark, sf):
     from .line_dedup import report
 
     return report(table(spark, sf, "documents"))
+
+
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query("op12_url_hash_prefix_rules", """
+with rules(rule_host, rule_path, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+    ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+r as (select page_id, row_number() over () id, case when contains(url, '://') then substring(url, strpos(url, '://') + 3) else '' end rest from pages),
+p as (select page_id, id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path, translate(regexp_extract(rest, '^[^/?#]*', 0),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host from r),
+f as (select id, rule_host || rule_path rule, verdict, row_number() over (partition by id order by length(rule_host || rule_path) desc) k
+      from p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+select p.page_id, host, path, rule, coalesce(verdict, 'allow') verdict from p left join (select * from f where k = 1) f on f.id = p.id""")
+def _(spark, sf):
+    from .url_rules import judge
+
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r)]) for r in URL_RULES])
+    rules = spark.range(1).select(F.inline(each))
+    return judge(table(spark, sf, "pages"), rules)
