@@ -171,3 +171,70 @@ def _(spark, sf):
     each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r)]) for r in URL_RULES])
     rules = spark.range(1).select(F.inline(each))
     return judge(table(spark, sf, "pages"), rules)
+
+
+#: Levels and siblings from recursive grouping; the checksum bit by bit from the polynomial of the common CRC-32.
+@query("op11_postorder_merkle_manifest", """
+with recursive t as (select list_transform(range(256), lambda x: list_reduce([x::bigint] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) t),
+d as (select row_number() over () id, doc_id, source, lang, n_chars::varchar n_chars, text, doc_id::varchar k from documents),
+c as (select d.*, coalesce(xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::bigint),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 2 = 0, false) even from d, t),
+p as (select *, coalesce(octet_length(k::blob) || ':' || k, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(n_chars::blob) || ':' || n_chars, '-') head,
+        case when even then replace(text, chr(10), '') else text end text2 from c),
+l as (select id, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) leaf,
+        sha256(head || coalesce(octet_length(encode(text2)) || ':' || text2, '-')) changed from p),
+o as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i from l),
+a as (select source, 0 lev, i, leaf h from o
+      union all
+      select source, lev + 1, g, sha256(string_agg(h, '' order by i))
+      from (select source, lev, i, i // 3 g, h, count(*) over (partition by source) n from a) where n > 1 group by source, lev, g),
+s as (select source, max_by(h, lev) subroot, max(lev) top from a group by source),
+so as (select *, row_number() over (order by source nulls first) - 1 j from s),
+b as (select 0 lev, j i, subroot h from so
+      union all
+      select lev + 1, g, sha256(string_agg(h, '' order by i)) from (select lev, i, i // 3 g, h, count(*) over () n from b) where n > 1 group by lev, g),
+w as (select max_by(h, lev) root, max(lev) top from b),
+-- for every node below a root: the digests left and right of it within its run
+ab as (select source, lev, i, coalesce(string_agg(h, '') over (partition by source, lev, i // 3 order by i rows between unbounded preceding and 1 preceding), '') lt,
+        coalesce(string_agg(h, '') over (partition by source, lev, i // 3 order by i rows between 1 following and unbounded following), '') rt from a),
+bb as (select lev, i, coalesce(string_agg(h, '') over (partition by lev, i // 3 order by i rows between unbounded preceding and 1 preceding), '') lt,
+        coalesce(string_agg(h, '') over (partition by lev, i // 3 order by i rows between 1 following and unbounded following), '') rt from b),
+e as (select o.id, lev, lt, rt from o join so on o.source is not distinct from so.source
+        join ab on ab.source is not distinct from o.source and ab.lev < so.top and ab.i = o.i // (3 ** lev)::bigint
+      union all
+      select o.id, so.top + bb.lev, lt, rt from o join so on o.source is not distinct from so.source join w on true
+        join bb on bb.lev < w.top and bb.i = so.j // (3 ** bb.lev)::bigint),
+f as (select id, sha256(string_agg(lt || rt, '' order by lev)) proof_sha256, list({l: lt, r: rt} order by lev) steps from e group by id),
+x as (select o.doc_id, o.leaf, so.subroot, w.root, coalesce(proof_sha256, sha256('')) proof_sha256,
+        list_reduce([{l: '', r: changed}] || coalesce(steps, []), lambda acc, st: {l: '', r: sha256(st.l || acc.r || st.r)}).r folded_root
+      from o join so on o.source is not distinct from so.source join w on true left join f on f.id = o.id)
+select *, folded_root = root verified from x""")
+def _(spark, sf):
+    from .manifest import without_line_breaks
+
+    return without_line_breaks(table(spark, sf, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_era_collocations", """
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') w from p),
+n as (select lang, sum(len(w))::bigint n from w group by lang),
+c as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f from w, (select unnest(range(1, 5)) k) s, unnest(range(1, len(w) - k + 2)) t(i)
+      group by all having count(*) >= 30),
+l as (select lang, k, phrase, f, string_split(phrase, ' ') ws from c where k > 1),
+inner_ as (select lang, array_to_string(ws[i:i + m - 1], ' ') phrase, max(f) longer from l, (select unnest(range(2, 4)) m) s, unnest(range(1, k - m + 2)) t(i)
+      where m < k group by 1, 2),
+cuts as (select l.lang, l.phrase, l.f a, j, h.f l, r.f r, (2000000::hugeint * l.f) // (h.f + r.f) score from l, unnest(range(1, l.k)) t(j)
+      join c h on h.lang = l.lang and h.phrase = array_to_string(l.ws[1:j], ' ')
+      join c r on r.lang = l.lang and r.phrase = array_to_string(l.ws[j + 1:], ' ')),
+one as (select *, row_number() over (partition by lang, phrase order by score, j) q from cuts),
+kept as (select o.* from one o left join inner_ i on i.lang = o.lang and i.phrase = o.phrase where q = 1 and (longer is null or 100::hugeint * longer < 80::hugeint * a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select ranked.lang, rank, phrase, a, l, r, n, score::bigint score from ranked join n on n.lang = ranked.lang where rank <= 2000""")
+def _(spark, sf):
+    from .collocations import mine
+
+    return mine(table(spark, sf, "documents"))
