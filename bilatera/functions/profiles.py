@@ -7,10 +7,10 @@ no shuffle, no Python. Non-finite points are kept as NaN inside arrays and maske
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .resampling import resample  # noqa: F401
 from .scalars import col, finite
 
 def let(value: Column, use) -> Column:
@@ -181,33 +181,6 @@ def interpolate(grid: Column, q: Column, y: Column) -> Column:
     return let(F.struct(q.alias("q"), y.alias("y")), lerp)
 
 
-def resample(lo: float, hi: float, points: int, *, scaled: bool = False):
-    """Arrow function placing each profile on ``linspace(lo, hi, points)``, finite points only.
-
-    Long grids make the pure-expression form quadratic, so this one step runs as an Arrow batch. With
-    ``scaled`` the result is also brought to [0, 1], as ``min_max`` does.
-    """
-    grid = np.linspace(float(lo), float(hi), int(points))
-
-    @F.pandas_udf("array<double>")
-    def place(q: pd.Series, y: pd.Series) -> pd.Series:
-        def one(qv, yv):
-            qa, ya = np.asarray(qv, dtype=float), np.asarray(yv, dtype=float)
-            ok = np.isfinite(qa) & np.isfinite(ya)
-            if not ok.any():
-                return None
-            out = np.interp(grid, qa[ok], ya[ok])
-            if scaled:
-                out = out - out.min()
-                top = out.max()
-                out = out / top if top > 0 else out
-            return out
-
-        return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(q, y)])
-
-    return place
-
-
 def is_finite(x: str) -> str:
     """SQL text of the finite test."""
     return f"({x} is not null and not isnan({x}) and abs({x}) <> double('infinity'))"

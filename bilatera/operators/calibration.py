@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
+from ..functions import resampling as R
 from ..functions import scalars as X
 from . import ordered
 
@@ -195,19 +197,9 @@ def trapezoid_weights(q: np.ndarray) -> np.ndarray:
     return w
 
 
-def window_table(spark: SparkSession, grid: np.ndarray, windows, half: float) -> DataFrame:
-    """(i, window order, side, w): trapezoid weight of every grid point in each window."""
-    rows = []
-    for k, _, beta, control in windows:
-        for side, centre in (("left", beta), ("right", control)):
-            at = np.flatnonzero((grid >= centre - half) & (grid <= centre + half))
-            rows += [(int(i), k, side, float(w)) for i, w in zip(at, trapezoid_weights(grid[at]))]
-    return spark.createDataFrame(rows, "i int, ord int, wside string, w double")
-
-
 def on_grid(df: DataFrame, lo: float, hi: float, points: int, name: str = "yn") -> DataFrame:
     """Profile on the study grid, scaled to [0, 1]."""
-    return df.withColumn(name, P.resample(lo, hi, points, scaled=True)("q_range", "radial_profile_data"))
+    return df.withColumn(name, R.resample(lo, hi, points, scaled=True)("q_range", "radial_profile_data"))
 
 
 def reference_curve(reference: DataFrame, lo: float, hi: float, points: int) -> DataFrame:
@@ -219,7 +211,55 @@ def reference_curve(reference: DataFrame, lo: float, hi: float, points: int) ->
     return ys.select(F.posexplode("yn").alias("i", "v")).groupBy("i").agg(F.median("v").alias("ref"))
 
 
-# --- metrics -----------------------------------------------------------------------------------
+def curve_values(curve: DataFrame, points: int) -> np.ndarray:
+    """The curve as one array on the driver: a number for each grid point, a parameter of all that follows."""
+    out = np.full(points, np.nan)
+    for r in curve.collect():
+        out[r["i"]] = r["ref"]
+    return out
+
+
+def moved_curve(curve: np.ndarray, step: float, shift: float) -> np.ndarray:
+    """The curve moved by ``shift``; points moved in from outside the grid are NaN. Linear between two neighbours."""
+    at = np.arange(len(curve)) - shift / step
+    lo = np.floor(at).astype(int)
+    t = at - lo
+    padded = np.concatenate([curve, [np.nan]])
+    value = lambda k: padded[np.where((k >= 0) & (k < len(curve)), k, len(curve))]
+    return np.where(t == 0, value(lo), value(lo) + (value(lo + 1) - value(lo)) * t)
+
+
+# --- metrics: projections with constant matrices, one pass over the rows -----------------------
+
+
+def mask_mean(df: DataFrame, mask: np.ndarray, lo: float, hi: float) -> DataFrame:
+    """``fit_points`` and ``fit_mean`` of every profile: number and mean of its grid points in the mask; null without profile."""
+    grid = grid_rows(lo, hi, len(mask))
+    n = int(mask.sum())
+
+    @F.arrow_udf("double")
+    def mean(q: pa.Array, y: pa.Array) -> pa.Array:
+        out, there = np.zeros(len(q)), np.zeros(len(q), bool)
+        for rows, values in R.on_grid(q, y, grid, scaled=True):
+            out[rows], there[rows] = values[:, mask].mean(axis=1) if n else np.nan, True
+        return pa.array(out, mask=~there)
+
+    found = df.withColumn("fit_mean", mean("q_range", "radial_profile_data"))
+    return found.withColumn("fit_points", F.when(F.col("fit_mean").isNotNull(), F.lit(n).cast("long")))
+
+
+def _filled(columns: dict[str, np.ndarray], there: np.ndarray) -> pa.StructArray:
+    """A struct of doubles or lists of doubles, null where a row has no result."""
+    fields = []
+    for v in columns.values():
+        if v.ndim == 1:
+            fields.append(pa.array(v, mask=~there))
+        else:
+            fields.append(pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64())))
+    return pa.StructArray.from_arrays(fields, names=list(columns), mask=pa.array(~there))
+
+
+SHOULDER = ("shoulder_positive_area", "shoulder_peak_residual", "reference_fit_scale", "reference_fit_offset")
 
 
 def shoulder_metric(
@@ -227,92 +267,104 @@ def shoulder_metric(
 ) -> DataFrame:
     """Positive residual in one fixed shoulder after a scale + offset fit to the reference outside it.
 
-    The exploded points of a profile stay in its task, and the partial aggregate reduces them to one row
-    per profile before any shuffle. Reference and weights are tables of ``points`` rows.
+    Scale and offset are two dot products of a profile with rows of one fixed matrix. Profiles without finite point have no row.
     """
-    spark = df.sparkSession
     grid = grid_rows(q_min, q_max, points)
-    inside = (grid >= shoulder[0]) & (grid <= shoulder[1])
-    w = np.zeros(points)
-    w[inside] = trapezoid_weights(grid[inside])
-    table = spark.createDataFrame(
-        [(i, bool(m), float(v)) for i, (m, v) in enumerate(zip(inside, w))], "i int, inside boolean, w double"
-    ).join(reference_curve(reference, q_min, q_max, points), "i")
-    table = F.broadcast(table)  # one row per grid point
-    ys = on_grid(df, q_min, q_max, points).select("vec_id", "yn")
-    pts = lambda d, *more: d.select("vec_id", *more, F.posexplode("yn").alias("i", "y")).join(table, "i")
-    out = F.when(~F.col("inside"), F.col("ref"))
-    fit = pts(ys).groupBy("vec_id").agg(
-        F.regr_slope(F.when(~F.col("inside"), F.col("y")), out).alias("scale"),
-        F.regr_intercept(F.when(~F.col("inside"), F.col("y")), out).alias("offset"),
-    )
-    res = F.col("y") - (F.col("scale") * F.col("ref") + F.col("offset"))
-    found = pts(ys.join(fit, "vec_id"), "scale", "offset").where("inside").withColumn("r", res)
+    curve = curve_values(reference_curve(reference, q_min, q_max, points), points)
+    known = np.isfinite(curve)
+    inside = (grid >= shoulder[0]) & (grid <= shoulder[1]) & known
+    outside = known & ~inside
+    weights = trapezoid_weights(grid[inside])
+    solve = _projection(np.column_stack([curve[outside], np.ones(int(outside.sum()))]))
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in SHOULDER))
+    def measure(q: pa.Array, y: pa.Array) -> pa.Array:
+        out, there = np.full((len(q), len(SHOULDER)), np.nan), np.zeros(len(q), bool)
+        for rows, values in R.on_grid(q, y, grid, scaled=True):
+            there[rows] = True
+            if solve is None:
+                continue
+            scale, offset = solve @ values[:, outside].T
+            left = values[:, inside] - scale[:, None] * curve[inside] - offset[:, None]
+            out[rows, 0] = np.clip(left, 0.0, None) @ weights
+            out[rows, 1] = left.max(axis=1, initial=-np.inf)
+            out[rows, 2], out[rows, 3] = scale, offset
+        return _filled({n: out[:, k] for k, n in enumerate(SHOULDER)}, there)
+
+    found = df.select("vec_id", measure("q_range", "radial_profile_data").alias("_m")).where("_m is not null")
     width = float(shoulder[1] - shoulder[0])
-    return found.groupBy("vec_id").agg(
-        F.sum(F.col("w") * F.greatest("r", F.lit(0.0))).alias("shoulder_positive_area"),
-        F.max("r").alias("shoulder_peak_residual"),
-        F.first("scale").alias("reference_fit_scale"), F.first("offset").alias("reference_fit_offset"),
-    ).withColumn("shoulder_mean_positive_residual", F.col("shoulder_positive_area") / width)
+    named = found.select("vec_id", *[F.nullif(F.col(f"_m.{n}"), F.lit(float("nan"))).alias(n) for n in SHOULDER])
+    return named.withColumn("shoulder_mean_positive_residual", F.col("shoulder_positive_area") / width)
 
 
-def _det3(m: list[list[Column]]) -> Column:
-    a, b, c = m
-    return (
-        a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
-    )
+def _projection(design: np.ndarray) -> np.ndarray | None:
+    """Matrix that gives least-squares coefficients from values; none for a design without full rank."""
+    if len(design) < design.shape[1] or not design.shape[1] == np.linalg.matrix_rank(design):
+        return None
+    return np.linalg.pinv(design)
 
 
-def shifted_reference(
-    curve: DataFrame, q_min: float, q_max: float, points: int, shifts: Sequence[float]
-) -> DataFrame:
-    """(shift, i, ref): the reference moved by each shift; points moved in from outside the grid are null.
+FIT = ("fit_mean_square", "reference_q_shift_nm_inv", "reference_fit_scale", "reference_fit_offset", "reference_fit_linear_background")
 
-    Size is points x shifts. The value at a fractional index is interpolated between its two neighbours.
-    """
-    step = (q_max - q_min) / (points - 1)
-    moved = curve.select("i", F.explode(F.array(*[F.lit(float(s)) for s in shifts])).alias("shift"))
-    at = F.col("i") - F.col("shift") / step
-    moved = moved.withColumns({"lo": F.floor(at).cast("int"), "t": at - F.floor(at)})
-    a = curve.select(F.col("i").alias("lo"), F.col("ref").alias("ra"))
-    b = curve.select((F.col("i") - 1).alias("lo"), F.col("ref").alias("rb"))
-    out = moved.join(a, "lo", "left").join(b, "lo", "left")
-    value = F.when(F.col("t") == 0, F.col("ra")).otherwise(F.col("ra") + (F.col("rb") - F.col("ra")) * F.col("t"))
-    return out.select("shift", "i", value.alias("ref")).where("ref is not null")
-
-
-def reference_fit(
-    ys: DataFrame, table: DataFrame, *, min_points: int = MIN_FIT_POINTS
-) -> DataFrame:
-    """Best (scale, offset, slope, shift) per profile by least squares on the fit mask.
 
-    ``table`` has (shift, i, ref, cq) rows of the mask only. Normal-equation sums per (profile, shift) come
-    from one partial aggregate, the 3x3 system is solved by Cramer's rule, the lowest mean square wins
-    (smallest shift on ties).
+def fit_to_reference(
+    curve: np.ndarray, *, q_min: float, q_max: float, shifts: Sequence[float], half: float, min_order: int, min_points: int = MIN_FIT_POINTS,
+):
+    """Arrow function: best fit of scale, offset, slope and shift, and clipped areas of the beta and control windows.
+
+    The moved reference, its design matrix on the fit mask and the matrix that solves it are made once for each shift; a profile
+    needs three dot products and a residual for each shift, and the window areas of the best one (the smallest shift on ties).
     """
-    pts = ys.select("vec_id", F.posexplode("yn").alias("i", "y")).join(F.broadcast(table), "i")
-    y, r, c = F.col("y"), F.col("ref"), F.col("cq")
-    pair = {"rr": r * r, "rc": r * c, "cc": c * c, "r": r, "c": c, "ry": r * y, "cy": c * y, "y": y, "yy": y * y}
-    s = pts.groupBy("vec_id", "shift").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s_{k}") for k, v in pair.items()]
-    ).where(F.col("n") >= min_points)
-    g = lambda k: F.col(f"s_{k}")
-    n = F.col("n")
-    m = [[g("rr"), g("r"), g("rc")], [g("r"), n, g("c")], [g("rc"), g("c"), g("cc")]]
-    rhs = [g("ry"), g("y"), g("cy")]
-    swap = lambda k: [[rhs[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-    # A singular system (flat reference) has no fit; such a profile keeps null results.
-    s = s.withColumn("det", _det3(m)).where("det <> 0").withColumns(
-        {"scale": _det3(swap(0)) / F.col("det"), "offset": _det3(swap(1)) / F.col("det"), "slope": _det3(swap(2)) / F.col("det")}
-    )
-    a, b, d = F.col("scale"), F.col("offset"), F.col("slope")
-    sse = (g("yy") - a * g("ry") - b * g("y") - d * g("cy")) / n
-    best = F.min(F.struct(sse.alias("mse"), "shift", "scale", "offset", "slope"))
-    return s.groupBy("vec_id").agg(best.alias("_b")).select(
-        "vec_id", F.col("_b.mse").alias("fit_mean_square"), F.col("_b.shift").alias("reference_q_shift_nm_inv"),
-        F.col("_b.scale").alias("reference_fit_scale"), F.col("_b.offset").alias("reference_fit_offset"),
-        F.col("_b.slope").alias("reference_fit_linear_background"),
-    )
+    points = len(curve)
+    grid = grid_rows(q_min, q_max, points)
+    windows = peak_windows(q_min, q_max, half=half, min_order=min_order)
+    mask = fit_mask(grid, q_min, q_max, half=half, min_order=min_order)
+    slope = grid - float(grid.mean())
+    step = (q_max - q_min) / (points - 1)
+    models = []
+    for shift in sorted(float(s) for s in shifts):
+        moved = moved_curve(curve, step, shift)
+        known = np.isfinite(moved)
+        at = np.flatnonzero(mask & known)
+        design = np.column_stack([moved[at], np.ones(len(at)), slope[at]])
+        solve = _projection(design) if len(at) >= min_points else None
+        if solve is None:
+            continue
+        # Trapezoid weights of every window over the points that the moved reference covers.
+        weights = np.zeros((points, 2 * len(windows)))
+        for k, (_, _, beta, control) in enumerate(windows):
+            for j, c in ((k, beta), (len(windows) + k, control)):
+                near = np.flatnonzero((grid >= c - half) & (grid <= c + half))
+                weights[near, j] = trapezoid_weights(grid[near])
+        weights[~known] = 0.0
+        used = np.flatnonzero(weights.any(axis=1))
+        models.append((shift, at, design, solve, used, moved[used], weights[used]))
+    kinds = ", ".join(f"{n} double" for n in FIT) + ", areas array<double>"
+
+    @F.arrow_udf(kinds)
+    def measure(q: pa.Array, y: pa.Array) -> pa.Array:
+        n = len(q)
+        out, areas, there = np.zeros((n, len(FIT))), np.zeros((n, 2 * len(windows))), np.zeros(n, bool)
+        for rows, values in R.on_grid(q, y, grid, scaled=True):
+            best, chosen, coefficients = np.full(len(rows), np.inf), np.full(len(rows), -1), np.zeros((len(rows), 3))
+            for m, (_, at, design, solve, *_) in enumerate(models):
+                have = values[:, at]
+                x = have @ solve.T
+                mse = np.square(have - x @ design.T).mean(axis=1)
+                better = mse < best
+                best[better], chosen[better], coefficients[better] = mse[better], m, x[better]
+            there[rows] = chosen >= 0
+            for m, (shift, _, _, _, used, moved, weights) in enumerate(models):
+                own = np.flatnonzero(chosen == m)
+                if not len(own):
+                    continue
+                a, b, c = coefficients[own].T[:, :, None]
+                left = np.clip(values[own][:, used] - (a * moved + b + c * slope[used]), 0.0, None)
+                areas[rows[own]] = left @ weights
+                out[rows[own]] = np.column_stack([best[own], np.full(len(own), shift), coefficients[own]])
+        return _filled({**{name: out[:, k] for k, name in enumerate(FIT)}, "areas": areas}, there)
+
+    return measure, windows
 
 
 def left_shoulder_metric(
@@ -320,57 +372,37 @@ def left_shoulder_metric(
     shifts: Sequence[float] = (0.0,), half: float = BETA_HALF, min_order: int = MIN_ORDER,
     with_details: bool = True, fits_only: bool = False,
 ) -> DataFrame:
-    """Net positive residual left of the alpha peaks: beta windows minus right control windows."""
-    spark = df.sparkSession
-    grid = grid_rows(q_min, q_max, points)
-    windows = peak_windows(q_min, q_max, half=half, min_order=min_order)
-    mask = fit_mask(grid, q_min, q_max, half=half, min_order=min_order)
-    centre = float(grid.mean())
-    axis = spark.createDataFrame(
-        [(i, float(q - centre), bool(m)) for i, (q, m) in enumerate(zip(grid, mask))], "i int, cq double, in_fit boolean"
-    )
-    curve = reference_curve(reference, q_min, q_max, points)
-    moved = shifted_reference(curve, q_min, q_max, points, shifts).join(axis, "i")
-    ys = on_grid(df, q_min, q_max, points)
-    fit = reference_fit(ys, moved.where("in_fit").select("shift", "i", "ref", "cq"))
+    """Net positive residual left of the alpha peaks: beta windows minus right control windows.
+
+    One pass over ``df``, nothing is shuffled. The reference curve is computed first; it has a number for each grid point.
+    A profile without finite point, or a reference that fits nowhere, leaves null results.
+    """
+    curve = curve_values(reference_curve(reference, q_min, q_max, points), points)
+    measure, windows = fit_to_reference(curve, q_min=q_min, q_max=q_max, shifts=shifts, half=half, min_order=min_order)
+    keys = [] if fits_only else ["session_uid", "data_batch", "started_on", "file_name"]
+    found = df.select("vec_id", *keys, measure("q_range", "radial_profile_data").alias("_m"))
     if fits_only:
-        return fit
-    areas = window_table(spark, grid, windows, half)
-    table = F.broadcast(
-        areas.join(moved.select("shift", "i", "ref", "cq"), "i")
-        .withColumnRenamed("shift", "reference_q_shift_nm_inv")
-    )
-    keys = ["session_uid", "data_batch", "started_on", "file_name"]
-    pts = (
-        ys.join(fit, "vec_id")
-        .select("vec_id", *fit.columns[2:], F.posexplode("yn").alias("i", "y"))
-        .join(table, ["i", "reference_q_shift_nm_inv"])
-    )
-    fitted = (
-        F.col("reference_fit_scale") * F.col("ref") + F.col("reference_fit_offset")
-        + F.col("reference_fit_linear_background") * F.col("cq")
-    )
-    area = F.col("w") * F.greatest(F.col("y") - fitted, F.lit(0.0))
-    per = pts.groupBy("vec_id", "ord").agg(
-        F.sum(F.when(F.col("wside") == "left", area).otherwise(0.0)).alias("left_area"),
-        F.sum(F.when(F.col("wside") == "right", area).otherwise(0.0)).alias("right_control_area"),
-    )
-    total = [F.sum("left_area").alias("kbeta_left_positive_area"), F.sum("right_control_area").alias("right_control_positive_area")]
+        return found.where("_m is not null").select("vec_id", *[f"_m.{n}" for n in FIT])
+    k = len(windows)
+    side = lambda first: P.total(F.slice("_m.areas", first + 1, k))
+    width = 2.0 * half * max(1, k)
+    found = found.withColumns({"kbeta_left_positive_area": side(0), "right_control_positive_area": side(k)})
     if with_details:
-        centre_of = lambda k, name: F.coalesce(*[F.when(F.col("ord") == w[0], F.lit(float(w[k]))) for w in windows], F.lit(None).cast("double")).alias(name)
-        centres = [centre_of(k, name) for k, name in enumerate(("alpha_q", "beta_q", "right_control_q"), 1)]
-        detail = F.struct("ord", *centres, "left_area", "right_control_area")
-        total.append(F.to_json(F.array_sort(F.collect_list(detail))).alias("peak_window_details"))
-    width = 2.0 * half * max(1, len(windows))
+        fixed = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("alpha_q"), F.lit(b).alias("beta_q"), F.lit(c).alias("right_control_q")) for o, a, b, c in windows])
+        detail = F.transform(fixed, lambda w, i: F.struct(
+            w["ord"].alias("ord"), *[w[n].alias(n) for n in ("alpha_q", "beta_q", "right_control_q")],
+            F.get("_m.areas", i).alias("left_area"), F.get("_m.areas", i + k).alias("right_control_area"),
+        ))
+        found = found.withColumn("peak_windows", F.when(F.col("_m").isNotNull(), detail)).withColumn("peak_window_details", F.to_json("peak_windows"))
     net = F.greatest(F.col("kbeta_left_positive_area") - F.col("right_control_positive_area"), F.lit(0.0))
-    out = per.groupBy("vec_id").agg(*total).withColumns(
+    given = F.col("_m").isNotNull()
+    return found.withColumns(
         {
-            "kbeta_left_net_area": net, "kbeta_left_mean_net_residual": net / width,
-            "n_kbeta_windows": F.lit(len(windows)),
-            "window_orders": F.lit(",".join(str(w[0]) for w in windows)),
+            "kbeta_left_net_area": F.when(given, net), "kbeta_left_mean_net_residual": F.when(given, net / width),
+            "n_kbeta_windows": F.when(given, F.lit(k)), "window_orders": F.when(given, F.lit(",".join(str(w[0]) for w in windows))),
+            **{n: F.col(f"_m.{n}") for n in FIT},
         }
-    )
-    return df.select("vec_id", *keys).join(out, "vec_id", "left").join(fit, "vec_id", "left")
+    ).drop("_m")
 
 
 def pass_fail(df: DataFrame, score: str = "kbeta_left_mean_net_residual", max_score: float = MAX_SCORE) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
+from ..functions import resampling as R
 from ..functions import scalars as X
 from .. import schemas as S
 
@@ -207,6 +208,6 @@ def peak_height(df: DataFrame, centre: float, window: float) -> DataFrame:
 
 def heat_map(df: DataFrame, lo: float, hi: float, points: int) -> DataFrame:
     """Profiles on one grid, divided by their maximum when positive; one (row, grid index, value) each."""
-    out = df.withColumn("_y", P.resample(lo, hi, points)("q_range", "radial_profile_data"))
+    out = df.withColumn("_y", R.resample(lo, hi, points)("q_range", "radial_profile_data"))
     top = F.array_max("_y")
     return out.withColumn("heat", P.divide_by("_y", F.when(top > 0, top).otherwise(F.lit(1.0)))).drop("_y")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
+from ..functions import resampling as R
 from ..functions import scalars as X
 from .. import schemas as S
 from ..operators import asymmetry, audits, calibration, cases, filters, folds, metrics, ordered, signal, tiers
@@ -425,7 +426,7 @@ def _(spark, sf):
 @query("c13_interpolation")
 def _(spark, sf):
     df = V.measurements(spark, sf).select(
-        "measurement_id", P.resample(1.0, 24.0, 47)("q_range", "radial_profile_data").alias("s")
+        "measurement_id", R.resample(1.0, 24.0, 47)("q_range", "radial_profile_data").alias("s")
     )
     return points(df, "measurement_id", "s")
 
@@ -989,12 +990,8 @@ def _(spark, sf):
 def _(spark, sf):
     grid = calibration.grid_rows(2.0, 23.0, 1800)
     mask = calibration.fit_mask(grid, 2.0, 23.0)
-    table = spark.createDataFrame([(i, bool(m)) for i, m in enumerate(mask)], "i int, in_fit boolean")
-    ys = calibration.on_grid(V.calibration_profiles(spark, sf), 2.0, 23.0, 1800)
-    pts = ys.select("vec_id", F.posexplode("yn").alias("i", "y")).join(F.broadcast(table), "i")
-    return pts.groupBy("vec_id").agg(
-        F.count_if("in_fit").alias("fit_points"), r6(F.avg(F.when(F.col("in_fit"), F.col("y"))), "fit_mean")
-    )
+    out = calibration.mask_mean(V.calibration_profiles(spark, sf), mask, 2.0, 23.0)
+    return out.where("fit_mean is not null").select("vec_id", "fit_points", r6("fit_mean"))
 
 
 @query("k4_fixed_shoulder")
@@ -1035,6 +1032,12 @@ def _(spark, sf):
     return _left_shoulder(spark, sf, True).select("vec_id", "peak_window_details")
 
 
+@query("k6_window_rows")
+def _(spark, sf):
+    each = _left_shoulder(spark, sf, True).select("vec_id", F.inline("peak_windows"))
+    return each.select("vec_id", "ord", *[r6(c) for c in ("alpha_q", "beta_q", "right_control_q", "left_area", "right_control_area")])
+
+
 @query("k7_pass_fail")
 def _(spark, sf):
     return calibration.pass_fail(_left_shoulder(spark, sf)).select(

@@ -776,6 +776,10 @@ cal("k6_left_shoulder", f"""select vec_id, session_uid, data_batch, {r6("la", "k
  {r6("net", "kbeta_left_net_area")}, {r6("score", "kbeta_left_mean_net_residual")}, {r6("sa", "reference_fit_scale")}, {r6("sb", "reference_fit_offset")},
  {r6("sl", "reference_fit_linear_background")}, (select count(*)::int from win) n_kbeta_windows,
  (select string_agg(ord::varchar, ',' order by ord) from win) window_orders from ks join ff using (vec_id) join cal using (vec_id)""", *STUDY)
+cal("k6_window_rows", f"""select vec_id, ord, {r6("alpha", "alpha_q")}, {r6("beta", "beta_q")}, {r6("control", "right_control_q")},
+ {r6("sum(x) filter (side=1)", "left_area")}, {r6("sum(x) filter (side=2)", "right_control_area")} from (
+ select vec_id, ord, side, (r+lag(r) over w)/2*(q-lag(q) over w) x from rs window w as (partition by vec_id, ord, side order by i))
+ join win using (ord) group by vec_id, ord, alpha, beta, control""", *STUDY)
 cal("k7_pass_fail", f"""select vec_id, {r6("score", "agbh_monochromaticity_score")}, score<=75e-4 agbh_monochromaticity_pass,
  case when score<=75e-4 then 'accepted' else 'rejected' end agbh_monochromaticity_status from ks""", *STUDY)
 cal("k8_selection_record", """select 'calibration_selection_v0_1' schema_version, 75e-4 max_score, 886e-3 beta_ratio, count(*) rows_total,
