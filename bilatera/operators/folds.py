@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..sources.storage import cut_lineage
 from . import metrics, ordered
+from . import replicates as R
 
 
 def assign_folds(cases: DataFrame, *, folds: int = 5, repeats: int = 20, seed: int = 42) -> DataFrame:
@@ -51,27 +52,21 @@ def leakage(members: DataFrame) -> DataFrame:
     return pick("train").intersect(pick("test"))
 
 
-def _draw(seed: int, b: Column, slot: Column, n: Column) -> Column:
-    text = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), slot.cast("string")))
-    return F.conv(F.substring(text, 1, 12), 16, 10).cast("long") % n
-
-
 def bootstrap_weights(patients: DataFrame, *, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """(b, patientId, w): how often each patient was drawn in each replicate, w >= 1.
 
     A replicate draws as many patients as there are, with replacement. Every patient row supplies one draw
     slot per replicate, so draws are generated in parallel and never counted on the driver.
     """
-    ids = patients.select("patientId").distinct().withColumn("_h", F.md5("patientId"))
-    indexed = ordered.dense_index(ids, ["_h", "patientId"], F.substring("_h", 1, 2), (), "ix").drop("_h")
-    total = indexed.agg(F.count(F.lit(1)).alias("_n"))
+    known = R.indexed(patients)
+    total = known.agg(F.count(F.lit(1)).alias("_n"))
     # ``total`` is exactly one row.
-    slots = indexed.select("ix").join(F.broadcast(total)).withColumn(
+    slots = known.select("ix").join(F.broadcast(total)).withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
-    drawn = slots.select("b", _draw(seed, F.col("b"), F.col("ix"), F.col("_n")).alias("ix"))
+    drawn = slots.select("b", R.draw(seed, F.col("b"), F.col("ix"), F.col("_n")).alias("ix"))
     counts = drawn.groupBy("b", "ix").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(indexed, "ix").select("b", "patientId", "w")
+    return counts.join(known, "ix").select("b", "patientId", "w")
 
 
 def bootstrap_cases(cases: DataFrame, weights: DataFrame) -> DataFrame:
@@ -84,36 +79,34 @@ BOOT_METRICS = (
 )
 
 
-def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 42) -> DataFrame:
+CELLS = ("tp", "tn", "fp", "fn", "square", "loss")
+
+
+def packed_cases(cases: DataFrame, *, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Cases with the draws of their patient in every replicate, one row each; see ``replicates``."""
+    counts = R.packed_counts(cases, replicates=replicates, seed=seed)
+    rows = cases.select("patientId", F.col("label").alias("y"), F.col("p_cancer").alias("p"), "threshold_target")
+    return cut_lineage(rows.join(cut_lineage(counts), "patientId"))
+
+
+def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 42, block: int = R.BLOCK) -> DataFrame:
     """Closed-form metrics of every two-class replicate; needs patientId, label, p_cancer, threshold_target.
 
-    Confusion cells and losses add up over cases, so they are reduced to one row per patient before the
-    draws are joined. Only the rank metrics need the scores of each replicate, and these are grouped per
-    distinct score.
+    Confusion cells and losses are products of case values with counts, rank metrics come from score blocks.
     """
-    weights = cut_lineage(bootstrap_weights(cases, replicates=replicates, seed=seed))
+    rows = packed_cases(cases, replicates=replicates, seed=seed)
     eps = 2.220446049250313e-16
-    q = X.clip("p_cancer", eps, 1.0 - eps)
-    pos, pred = F.col("label") == 1, F.col("p_cancer") >= F.col("threshold_target")
-    cell = lambda c: F.sum(c.cast("long"))
+    q = X.clip("p", eps, 1.0 - eps)
+    pos, pred = F.col("y") == 1, F.col("p") >= F.col("threshold_target")
     loss = -F.when(pos, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))
-    per_patient = cases.groupBy("patientId").agg(
-        cell(pos & pred).alias("tp"), cell(~pos & ~pred).alias("tn"), cell(~pos & pred).alias("fp"),
-        cell(pos & ~pred).alias("fn"),
-        F.sum(F.pow(F.col("p_cancer") - F.col("label"), F.lit(2.0))).alias("square"),
-        F.sum(loss).alias("loss"),
-    )
-    w = F.col("w")
-    cells = weights.join(per_patient, "patientId").groupBy("b").agg(
-        *[F.sum(w * F.col(c)).alias(c) for c in ("tp", "tn", "fp", "fn")],
-        F.sum(w * F.col("square")).alias("square"), F.sum(w * F.col("loss")).alias("loss"),
+    valued = rows.select(
+        (pos & pred).cast("double").alias("tp"), (~pos & ~pred).cast("double").alias("tn"), (~pos & pred).cast("double").alias("fp"),
+        (pos & ~pred).cast("double").alias("fn"), F.pow(F.col("p") - F.col("y"), F.lit(2.0)).alias("square"), loss.alias("loss"), "counts",
     )
+    cells = R.weighted_sums(valued, list(CELLS), replicates).withColumns({c: F.round(c).cast("long") for c in CELLS[:4]})
     n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     cells = metrics.rates(cells).withColumns({"brier_score": F.col("square") / n, "log_loss": F.col("loss") / n})
-    curve = metrics.score_curve(
-        bootstrap_cases(cases, weights), ["b"], y="label", p="p_cancer", weight="w"
-    )
-    ranks = metrics.rank_metrics(curve, ["b"])
+    ranks = R.rank_metrics(rows, replicates, block)
     two = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
     return cells.where(two).join(ranks, "b").select("b", *BOOT_METRICS)
 
@@ -131,8 +124,7 @@ def bootstrap_intervals(replicates: DataFrame, *, low: float = 0.025, high: floa
 
 def bootstrap_calibration(cases: DataFrame, *, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Interval of calibration intercept and slope over the replicates."""
-    weighted = bootstrap_cases(cases, bootstrap_weights(cases, replicates=replicates, seed=seed))
-    fitted = metrics.calibration(weighted, ["b"], y="label", p="p_cancer", weight=F.col("w"))
+    fitted = R.calibration(packed_cases(cases, replicates=replicates, seed=seed), replicates)
     return fitted.agg(
         *[
             F.percentile(c, q).alias(f"{c}_{n}")

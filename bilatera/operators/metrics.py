@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from . import ordered
+from . import newton, ordered
 
 INF = float("inf")
 
@@ -116,85 +116,39 @@ def loss_metrics(
     )
 
 
-@dataclass
-class _Fit:
-    """State of one key's fit: the point, the last accepted point with its loss, and how it stands."""
-
-    a: float = 0.0
-    b: float = 1.0
-    status: str = "moves"
-    back: tuple[float, float, float] | None = None
-
-    def advance(self, s: Sequence[float], c: float) -> None:
-        """One Newton update from loss, gradient (g0, g1) and curvature (h00, h01, h11) at the point.
-
-        A step that raised the loss is halved. Without curvature there is no finite optimum.
-        """
-        loss, g0, g1, h00, h01, h11 = s
-        loss, g1, h11 = loss + self.b**2 / (2 * c), g1 + self.b / c, h11 + 1.0 / c
-        if self.back and loss > self.back[2] + 1e-12 * (1 + abs(self.back[2])):
-            self.a, self.b = (self.a + self.back[0]) / 2, (self.b + self.back[1]) / 2
-            return
-        det = h00 * h11 - h01**2
-        if det <= 1e-14 * h00 * h11:
-            self.status = "flat"
-            return
-        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        if g0 * da + g1 * db <= 1e-14 * (1 + abs(loss)):
-            self.status = "settled"
-        self.back = (self.a, self.b, loss)
-        self.a, self.b = self.a - da, self.b - db
-
-
 def calibration(
     df: DataFrame, by: Sequence[str] = (), *, y: str = "y", p: str = "p", weight: Column | None = None,
     c: float = 1e6, iterations: int = 60,
 ) -> DataFrame:
     """Calibration intercept and slope per key: logistic of y on the clipped logit, slope penalty 1/c.
 
-    Keys are splits or replicates. All advance together: a pass is one aggregate of six sums per key,
-    and only these sums reach the driver. Keys of one class, and keys whose curvature vanishes before the
-    optimum (perfectly separated scores), give null. A key that does not settle fails the job.
+    Keys are splits, models or the like: their list is kept on the driver with two numbers each. All advance together over rows
+    that are packed into blocks once and kept for all passes; a pass is six sums per key. Keys of one class, and
+    keys whose curvature vanishes before the optimum (perfectly separated scores), give null. A key that does not settle fails the job.
     """
     by = list(by)
     w = weight if weight is not None else F.lit(1.0)
-    base = df.select(*by, X.logit(p).alias("_x"), F.col(y).alias("_y"), w.cast("double").alias("_w"))
-    if not by:
-        by, base = ["_all"], base.withColumn("_all", F.lit(1))
-    # Rows with equal logit and label act as one weighted row; this shrinks tied scores once.
-    base = base.groupBy(*by, "_x", "_y").agg(F.sum("_w").alias("_w"))
-    names = ("calibration_intercept", "calibration_slope")
-    keys = [f"`{k}` {base.schema[k].dataType.simpleString()}" for k in by]
-    schema = ", ".join([*keys, *[f"{n} double" for n in names]])
-    spark = df.sparkSession
-    base = base.persist()
+    base = df.select(*by, X.logit(p).alias("_x"), F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"))
+    seen = base.groupBy(*by).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi")).collect()
+    spark, names = df.sparkSession, ("calibration_intercept", "calibration_slope")
+    if by:
+        listed = spark.createDataFrame(
+            [(*[r[k] for k in by], i) for i, r in enumerate(seen)],
+            ", ".join([*[f"`_{i}` {base.schema[k].dataType.simpleString()}" for i, k in enumerate(by)], "_k int"]),
+        )
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(by)])
+        base = base.join(F.broadcast(listed), same)  # a row for each key
+    else:
+        base = base.withColumn("_k", F.lit(0))
+    packed = newton.pack_rows(base.select(*[F.col(f"_{n}").alias(n) for n in ("k", "x", "y", "w")])).persist()
     try:
-        counts = base.groupBy(*by).agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()
-        state = {tuple(r[k] for k in by): _Fit(status="moves" if r["lo"] != r["hi"] else "flat") for r in counts}
-        for _ in range(iterations):
-            live = [(*k, v.a, v.b) for k, v in state.items() if v.status == "moves"]
-            if not live:
-                break
-            # One row per split or replicate.
-            joined = base.join(F.broadcast(spark.createDataFrame(live, schema).toDF(*by, "_a", "_b")), by)
-            z = F.col("_a") + F.col("_b") * F.col("_x")
-            # log(1 + exp(z)) without overflow
-            loss = F.col("_w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z)
-            sums = joined.withColumn("_m", X.expit(z)).withColumns(
-                {"_l": loss, "_r": F.col("_w") * (F.col("_m") - F.col("_y")), "_v": F.col("_w") * F.col("_m") * (1 - F.col("_m"))}
-            ).groupBy(*by).agg(
-                F.sum("_l").alias("loss"), F.sum("_r").alias("g0"), F.sum(F.col("_r") * F.col("_x")).alias("g1"),
-                F.sum("_v").alias("h00"), F.sum(F.col("_v") * F.col("_x")).alias("h01"),
-                F.sum(F.col("_v") * F.col("_x") * F.col("_x")).alias("h11"),
-            ).collect()
-            for r in sums:
-                state[tuple(r[k] for k in by)].advance([r[n] for n in ("loss", "g0", "g1", "h00", "h01", "h11")], c)
+        one_class = np.array([r["_lo"] is None or r["_lo"] == r["_hi"] for r in seen], bool)
+        fit = newton.solve(packed, len(seen), newton.row_sums(len(seen)), one_class, c=c, iterations=iterations)
     finally:
-        base.unpersist()
-    if open_ := [k for k, v in state.items() if v.status == "moves"]:
-        raise ValueError(f"calibration does not settle within {iterations} passes for {len(open_)} keys, first {open_[0]}")
-    rows = [(*k, *((v.a, v.b) if v.status == "settled" else (None, None))) for k, v in state.items()]
-    return spark.createDataFrame(rows, schema).drop("_all")
+        packed.unpersist()
+    found = [(float(a), float(b)) if ok else (None, None) for a, b, ok in zip(fit.a, fit.b, fit.status == newton.SETTLED)]
+    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by], *[f"{n} double" for n in names]])
+    return spark.createDataFrame([(*[r[k] for k in by], *v) for r, v in zip(seen, found)], schema)
 
 
 def all_metrics(
