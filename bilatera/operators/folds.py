@@ -17,16 +17,14 @@ def assign_folds(cases: DataFrame, *, folds: int = 5, repeats: int = 20, seed: i
     """(repeat, patientId, label, fold): stratified by the patient's maximum label.
 
     Per repeat, patients are ordered by (label, md5 of seed, repeat and patient) and dealt out modulo the
-    fold count, so class counts differ by at most one. The order is built from hash-prefix buckets, not
-    from one sort per repeat.
+    fold count, so class counts differ by at most one. The order comes from one range shuffle, not from one sort per repeat.
     """
     patients = cases.groupBy("patientId").agg(F.max("label").alias("label"))
     deck = patients.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     deck = deck.withColumn(
         "_h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("repeat").cast("string"), "patientId"))
     )
-    bucket = F.concat(F.col("label").cast("string"), F.substring("_h", 1, 2))
-    ranked = ordered.dense_index(deck, ["_h", "patientId"], bucket, ["repeat"], "_ix")
+    ranked = ordered.dense_index(deck, ["label", "_h", "patientId"], ["repeat"], "_ix")
     return ranked.select("repeat", "patientId", "label", (F.col("_ix") % folds).cast("int").alias("fold"))
 
 

@@ -17,12 +17,12 @@ INF = float("inf")
 
 def score_curve(
     df: DataFrame, by: Sequence[str] = (), *, y: str = "y", p: str = "p", weight: str | None = None,
-    buckets: int = ordered.BUCKETS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per (by, distinct score), descending: pos, neg, running tp and fp, totals."""
     w = F.col(weight) if weight else F.lit(1)
     curve = ordered.running_totals(
-        df, p, {"pos": w * F.col(y), "neg": w * (1 - F.col(y))}, by, descending=True, buckets=buckets
+        df, p, {"pos": w * F.col(y), "neg": w * (1 - F.col(y))}, by, descending=True, partitions=partitions
     )
     return curve.withColumnsRenamed(
         {"pos_cum": "tp", "neg_cum": "fp", "pos_all": "positives", "neg_all": "negatives"}

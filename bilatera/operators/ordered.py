@@ -1,94 +1,126 @@
 """Global and keyed order statistics that never sort one group in one task.
 
-A cumulative sum over a whole table is usually a window with one partition. Here rows are first
-reduced to one per distinct value, the values are cut into equal-weight buckets, each bucket is
-summed on its own, and the few bucket offsets are added back. Ties and hot values vanish in the
-first step, hot keys are spread by the buckets.
+A cumulative sum over a whole table is usually a window with one partition. Here rows are first reduced to one per distinct value.
+A range shuffle puts these in order over as many partitions as the data need; every partition sums its own in one stream, and the
+partitions' totals, a row for each partition and key, give the offsets. A key may fill many partitions or a partition hold many
+keys. Ties and hot values vanish in the first step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..sources.storage import cut_lineage
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Whether each row's key differs from the row before; the first row's answer is of no meaning."""
+    out = np.zeros(len(columns[0]) if columns else 0, bool)
+    for c in columns:
+        codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def _stream(by: Sequence[str], names: Sequence[str]):
+    """Running sums of sorted batches, restarted with every key: ``_cum`` and ``_next`` of each sum, the partition, and its last row of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        carry, held = {n: 0 for n in names}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            rows = table.to_batches()[0]
+            # The first row was held back: its sum is in the carry already.
+            done = 0 if held is None else 1
+            new = _changes([rows.column(k) for k in by]) if by else np.zeros(rows.num_rows, bool)
+            cells, cums = {}, {}
+            starts = np.flatnonzero(new)
+            for n in names:
+                v = rows.column(n).to_numpy(zero_copy_only=False)
+                before = np.concatenate([np.zeros(1, v.dtype), np.cumsum(v[:-1])])
+                base = np.zeros(len(v), v.dtype)
+                base[:] = (v[0] - carry[n]) if done else -carry[n]
+                for lo, hi in zip(starts, np.append(starts[1:], len(v))):
+                    base[lo:hi] = before[lo]
+                cums[n] = before + v - base
+                follow = np.append(v[1:], v[-1:])
+                cells[n] = follow, np.append(new[1:], True)
+                carry[n] = cums[n][-1]
+            held = rows.slice(rows.num_rows - 1)
+            if rows.num_rows > 1:
+                yield _out(rows.slice(0, rows.num_rows - 1), {n: c[:-1] for n, c in cums.items()}, {n: (f[:-1], m[:-1]) for n, (f, m) in cells.items()}, part)
+            last = {n: c[-1:] for n, c in cums.items()}
+        if held is not None:
+            yield _out(held, last, {n: (c, np.ones(1, bool)) for n, c in last.items()}, part)
+
+    def _out(rows, cums, follow, part):
+        columns = {f: rows.column(f) for f in rows.schema.names}
+        for n in names:
+            columns[f"{n}_cum"] = pa.array(cums[n])
+            columns[f"{n}_next"] = pa.array(follow[n][0], mask=follow[n][1])
+        columns["_last"] = pa.array(follow[names[0]][1])
+        columns["_part"] = pa.array(np.full(rows.num_rows, part, np.int32))
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def running_totals(
-    df: DataFrame,
-    value: str,
-    sums: Mapping[str, Column],
-    by: Sequence[str] = (),
-    *,
-    descending: bool = False,
-    buckets: int = BUCKETS,
+    df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (), *, descending: bool = False, partitions: int | None = None,
 ) -> DataFrame:
     """One row per (by, distinct value) with, for every sum ``s``:
 
     ``s`` the own amount, ``s_cum`` the inclusive running total, ``s_all`` the key's total,
     ``s_next`` the own amount of the next value in order (null at the end).
+
+    Partitions follow the session's setting where ``partitions`` is not given. The ordered rows are written to the shared folder, so
+    offsets and rows come from the same partitions whatever is computed again.
     """
-    by = list(by)
-    names = list(sums)
+    by, names = list(by), list(sums)
     grouped = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    if buckets == 1:
-        return _keyed_totals(grouped, value, names, by, descending)
-    steps = [i / buckets for i in range(1, buckets)]
-    if by:
-        cuts = grouped.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
-        at = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c <= F.col(value)).cast("int"))
-        grouped = grouped.join(cuts, by).withColumn("_at", at).drop("_cuts")
-    else:
-        # Cut points only place the work: one row of at most buckets - 1 numbers, made within the same plan.
-        cuts = grouped.agg(F.percentile_approx(F.col(value).cast("double"), steps, 1000).alias("_cuts"))
-        at = F.aggregate(F.coalesce("_cuts", F.array().cast("array<double>")), F.lit(0), lambda acc, c: acc + (c <= F.col(value)).cast("int"))
-        grouped = grouped.join(F.broadcast(cuts)).withColumn("_at", F.coalesce(at, F.lit(-1))).drop("_cuts")
-    grouped = grouped.withColumn("_bucket", -F.col("_at") if descending else F.col("_at")).drop("_at")
-    first = F.struct(*names)
-    ends = grouped.groupBy(*by, "_bucket").agg(
+    order = [*[F.asc(k) for k in by], F.desc(value) if descending else F.asc(value)]
+    dealt = grouped.repartitionByRange(partitions, *order) if partitions else grouped.repartitionByRange(*order)
+    kinds = {f.name: f.dataType.simpleString() for f in grouped.schema.fields}
+    schema = ", ".join([f"`{k}` {t}" for k, t in kinds.items()] + [f"`{n}_cum` {kinds[n]}, `{n}_next` {kinds[n]}" for n in names])
+    placed = cut_lineage(dealt.sortWithinPartitions(*order).mapInArrow(_stream(by, names), schema + ", _last boolean, _part int"))
+    own = F.struct(*names)
+    ends = placed.groupBy(*by, "_part").agg(
         *[F.sum(n).alias(f"_{n}") for n in names],
-        (F.max_by(first, value) if descending else F.min_by(first, value)).alias("_first"),
+        (F.max_by(own, value) if descending else F.min_by(own, value)).alias("_first"),
     )
-    over = Window.partitionBy(*by).orderBy("_bucket")
+    # A row for each partition that holds some of a key.
+    over = Window.partitionBy(*by).orderBy("_part")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select(
-        *by, "_bucket",
+        *by, "_part",
         *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in names],
         *[F.sum(f"_{n}").over(Window.partitionBy(*by)).alias(f"{n}_all") for n in names],
         F.lead("_first").over(over).alias("_follow"),
     )
-    local = Window.partitionBy(*by, "_bucket").orderBy(F.desc(value) if descending else F.asc(value))
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = grouped.join(offsets, by + ["_bucket"])
-    return joined.select(
+    return placed.join(offsets, [*by, "_part"]).select(
         *by, value, *names,
-        *[(F.sum(n).over(upto) + F.col(f"_{n}_before")).alias(f"{n}_cum") for n in names],
+        *[(F.col(f"{n}_cum") + F.col(f"_{n}_before")).alias(f"{n}_cum") for n in names],
         *[F.col(f"{n}_all") for n in names],
-        *[F.coalesce(F.lead(n).over(local), F.col(f"_follow.{n}")).alias(f"{n}_next") for n in names],
-    )
-
-
-def _keyed_totals(grouped: DataFrame, value: str, names: list[str], by: list[str], descending: bool) -> DataFrame:
-    """The same columns from plain keyed windows, for keys known to hold few distinct values."""
-    order = Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value))
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*by)
-    return grouped.select(
-        *by, value, *names,
-        *[F.sum(n).over(upto).alias(f"{n}_cum") for n in names],
-        *[F.sum(n).over(whole).alias(f"{n}_all") for n in names],
-        *[F.lead(n).over(order).alias(f"{n}_next") for n in names],
+        *[F.when(F.col("_last"), F.col(f"_follow.{n}")).otherwise(F.col(f"{n}_next")).alias(f"{n}_next") for n in names],
     )
 
 
 def quantiles(
-    df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), *, buckets: int = BUCKETS
+    df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = (), *, partitions: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, null and NaN left out; the groups may be of any size."""
     by = list(by)
     curve = running_totals(
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), value, {"n": F.lit(1)}, by, buckets=buckets
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), value, {"n": F.lit(1)}, by, partitions=partitions
     )
     picks = []
     for name, p in points.items():
@@ -100,25 +132,22 @@ def quantiles(
     return curve.groupBy(*by).agg(*picks)
 
 
-def dense_index(
-    df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = (), name: str = "ix"
-) -> DataFrame:
-    """0-based position of each row in the order (bucket, *order) within ``by``.
+def dense_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "ix") -> DataFrame:
+    """0-based position of each row in ``order`` within ``by``; rows equal in both are interchangeable.
 
-    ``bucket`` must be non-decreasing along the wanted order, for example a prefix of a hash text.
-    Positions inside a bucket are counted in parallel, bucket starts come from a small table.
+    Rows are numbered within the partitions of a range shuffle, whose counts give the offsets. They are written to the shared folder with
+    their numbers, so both come from the same partitions.
     """
     by = list(by)
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    local = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (
-        tagged.join(starts, by + ["_bucket"])
-        .withColumn(name, F.row_number().over(local) - 1 + F.col("_start"))
-        .drop("_bucket", "_start")
-    )
+    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    keys["_read"] = F.monotonically_increasing_id()  # deals out rows that are equal otherwise
+    dealt = df.withColumns(keys).repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys).drop(*keys)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(dealt.withColumns({"_part": F.spark_partition_id(), "_at": at}))
+    counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return placed.join(starts, [*by, "_part"]).withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
 
 
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

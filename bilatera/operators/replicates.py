@@ -43,7 +43,7 @@ def decode(rows: pa.Array, replicates: int) -> np.ndarray:
 def indexed(patients: DataFrame) -> DataFrame:
     """(patientId, ix): patients in order of their md5."""
     ids = patients.select("patientId").distinct().withColumn("_h", F.md5("patientId"))
-    return ordered.dense_index(ids, ["_h", "patientId"], F.substring("_h", 1, 2), (), "ix").drop("_h")
+    return ordered.dense_index(ids, ["_h", "patientId"]).drop("_h")
 
 
 def draw(seed: int, b: Column, slot: Column, n: Column) -> Column:

@@ -27,8 +27,8 @@ def expected_thresholds(y, s, target):
     return c[j], (c[ok[np.argmin(f[ok])]] if len(ok) else c[j]), bool(len(ok))
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_thresholds_and_auc_over_random_sets(spark, buckets):
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_thresholds_and_auc_over_random_sets(spark, partitions):
     rng = np.random.default_rng(7)
     sets = {}
     for k in range(30):
@@ -38,7 +38,7 @@ def test_thresholds_and_auc_over_random_sets(spark, buckets):
         sets[k] = (y, s)
     rows = [(k, int(a), float(b)) for k, (y, s) in sets.items() for a, b in zip(y, s)]
     df = spark.createDataFrame(rows, "k int, y int, p double")
-    curve = metrics.score_curve(df, ["k"], buckets=buckets)
+    curve = metrics.score_curve(df, ["k"], partitions=partitions)
     got = {r["k"]: r for r in metrics.thresholds(metrics.roc_points(curve, ["k"]), ["k"]).collect()}
     auc = {r["k"]: r for r in metrics.rank_metrics(curve, ["k"]).collect()}
     for k, (y, s) in sets.items():
@@ -55,11 +55,11 @@ def test_unreachable_target_falls_back(spark):
     assert not r["target_reached"] and r["threshold_target"] == r["threshold_youden"]
 
 
-def test_running_totals_across_buckets(spark):
+def test_running_totals_across_partitions(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 500, 3000)
     df = spark.createDataFrame([(int(x),) for x in v], "v int")
-    got = {r["v"]: r for r in ordered.running_totals(df, "v", {"n": F.lit(1)}, buckets=16).collect()}
+    got = {r["v"]: r for r in ordered.running_totals(df, "v", {"n": F.lit(1)}, partitions=16).collect()}
     values = sorted(set(v.tolist()))
     for i, x in enumerate(values):
         assert got[x]["n_cum"] == int((v <= x).sum()) and got[x]["n_all"] == len(v)

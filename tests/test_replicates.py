@@ -83,3 +83,16 @@ def test_newton_state_halves_a_bad_step():
     worse[1, 0] = 9.0
     s.advance(worse, 1e6)
     assert s.a[1] == pytest.approx(a[1] / 2) and s.a[0] != pytest.approx(a[0] / 2)
+
+
+def test_positions_with_equal_and_hot_keys(spark):
+    """Positions are complete within every key, one key holds most rows, and equal rows share a stretch."""
+    from bilatera.operators import ordered
+
+    rows = [("hot", i % 50) for i in range(2000)] + [("b", 3), ("c", 1), ("c", 0)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = ordered.dense_index(df, ["v"], ["k"]).collect()
+    for k in ("hot", "b", "c"):
+        mine = sorted((r["ix"], r["v"]) for r in got if r["k"] == k)
+        assert [i for i, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for x, v in rows if x == k)
+    assert ordered.dense_index(df.limit(0), ["v"], ["k"]).count() == 0
