@@ -88,11 +88,15 @@ def packed_cases(cases: DataFrame, *, replicates: int = 2000, seed: int = 42) ->
 
 
 def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 42, block: int = R.BLOCK) -> DataFrame:
-    """Closed-form metrics of every two-class replicate; needs patientId, label, p_cancer, threshold_target.
+    """Closed-form metrics of every two-class replicate; needs patientId, label, p_cancer, threshold_target."""
+    return replicate_metrics(packed_cases(cases, replicates=replicates, seed=seed), replicates, block)
+
+
+def replicate_metrics(rows: DataFrame, replicates: int, block: int = R.BLOCK) -> DataFrame:
+    """Metrics of every two-class replicate of ``packed_cases``.
 
     Confusion cells and losses are products of case values with counts, rank metrics come from score blocks.
     """
-    rows = packed_cases(cases, replicates=replicates, seed=seed)
     eps = 2.220446049250313e-16
     q = X.clip("p", eps, 1.0 - eps)
     pos, pred = F.col("y") == 1, F.col("p") >= F.col("threshold_target")
@@ -109,6 +113,36 @@ def bootstrap_metrics(cases: DataFrame, *, replicates: int = 2000, seed: int = 4
     return cells.where(two).join(ranks, "b").select("b", *BOOT_METRICS)
 
 
+CALIBRATION = ("calibration_intercept", "calibration_slope")
+
+
+def pooled_summary(oof: DataFrame, *, replicates: int = 2000, seed: int = 42, with_calibration: bool = True) -> DataFrame:
+    """(metric, pooled, ci_low, ci_high, replicates, patients, cases) of held-out predictions pooled over repeats.
+
+    A case counts once, with its mean score and mean threshold over all splits that held it out. Values of the pooled table and of all
+    replicates come from the same packed cases: replicate 0 draws every patient once and is the table itself.
+    """
+    pooled = cut_lineage(metrics.pool_cases(oof))
+    counts = R.packed_counts(pooled, replicates=replicates, seed=seed, with_whole=True)
+    named = pooled.select("patientId", F.col("label").alias("y"), F.col("p_cancer").alias("p"), "threshold_target")
+    rows = cut_lineage(named.join(cut_lineage(counts), "patientId"))
+    values = replicate_metrics(rows, replicates + 1)
+    names = list(BOOT_METRICS)
+    if with_calibration:
+        values = values.join(R.calibration(rows, replicates + 1), "b", "left")
+        names += CALIBRATION
+    long = values.select("b", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])))
+    long = long.where(X.finite("value"))
+    drawn = F.when(F.col("b") > 0, F.col("value"))
+    # As many values of a metric as there are replicates.
+    out = long.groupBy("metric").agg(
+        F.max(F.when(F.col("b") == 0, F.col("value"))).alias("pooled"), F.percentile(drawn, 0.025).alias("ci_low"),
+        F.percentile(drawn, 0.975).alias("ci_high"), F.count(drawn).alias("replicates"),
+    )
+    size = pooled.agg(F.count_distinct("patientId").alias("patients"), F.count(F.lit(1)).alias("cases"))
+    return out.join(F.broadcast(size))  # one row
+
+
 def bootstrap_intervals(replicates: DataFrame, *, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(metric, ci_low, ci_high) over the replicates; as many values as replicates, so bounded."""
     rows = replicates.select(

@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,34 +144,77 @@ def design_matrix(features: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumns(design_columns(F.col)).drop(*stats.columns)
 
 
-class GatedLogistic(Estimator):
+class _GatedParams(Params):
+    """Parameters of the final stage: inverse penalty, label and output column."""
+
+    c = Param(Params._dummy(), "c", "inverse strength of the L2 penalty", TypeConverters.toFloat)
+    labelCol = Param(Params._dummy(), "labelCol", "0/1 label column", TypeConverters.toString)
+    probabilityCol = Param(Params._dummy(), "probabilityCol", "column that the fitted stage adds", TypeConverters.toString)
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._setDefault(c=FINAL_C, labelCol="label", probabilityCol="p_cancer")
+
+
+class GatedLogistic(Estimator, _GatedParams, DefaultParamsReadable, DefaultParamsWritable):
     """Final stage estimator: profile evidence, age, and gated paired features."""
 
-    def __init__(self, c: float = FINAL_C):
+    @keyword_only
+    def __init__(self, *, c: float | None = None, labelCol: str | None = None, probabilityCol: str | None = None) -> None:
         super().__init__()
-        self.c = c
+        self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> GatedLogisticModel:
         stats = gated_statistics(dataset).first().asDict()
         names = list(design_columns(lambda k: F.lit(stats[k])))
         x = dataset.withColumns(design_columns(lambda k: F.lit(stats[k])))
         x = x.select(
-            array_to_vector(F.array(*names)).alias("features"), F.col("label").cast("double").alias("label")
+            array_to_vector(F.array(*names)).alias("features"), F.col(self.getOrDefault("labelCol")).cast("double").alias("label")
         ).persist()
         try:
-            coef, intercept = _fit_balanced(x, "features", "label", self.c)
+            coef, intercept = _fit_balanced(x, "features", "label", self.getOrDefault("c"))
         finally:
             x.unpersist()
-        return GatedLogisticModel(stats, tuple(float(v) for v in coef), intercept)
+        return self._copyValues(GatedLogisticModel(stats, tuple(float(v) for v in coef), intercept))
+
+
+class _ModelWriter(MLWriter):
+    """Params as metadata, fitted numbers as the parameter table."""
+
+    def __init__(self, instance: GatedLogisticModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        parameter_table(self.sparkSession, self.instance).coalesce(1).write.parquet(f"{path}/parameters")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> GatedLogisticModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        if not metadata["class"].endswith("GatedLogisticModel"):
+            raise ValueError(f"{path} holds a {metadata['class']}")
+        found = _final_of(_vectors(self.sparkSession.read.parquet(f"{path}/parameters")))
+        found._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(found, metadata)
+        return found
 
 
-class GatedLogisticModel(Model):
-    """Fitted final stage; adds ``p_cancer``. The gate itself is never a predictor."""
+class GatedLogisticModel(Model, _GatedParams, MLWritable, MLReadable):
+    """Fitted final stage; adds ``probabilityCol``. The gate itself is never a predictor."""
 
     def __init__(self, stats: dict, coef: tuple[float, ...], intercept: float):
         super().__init__()
         self.stats, self.coef, self.intercept = stats, coef, intercept
 
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
     def probability(self) -> Column:
         z = F.lit(self.intercept)
         for w, x in zip(self.coef, design_columns(lambda k: F.lit(self.stats[k])).values()):
@@ -174,7 +222,7 @@ class GatedLogisticModel(Model):
         return X.expit(z)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn("p_cancer", self.probability())
+        return dataset.withColumn(self.getOrDefault("probabilityCol"), self.probability())
 
     def parameters(self) -> list[tuple[str, int, float]]:
         rows = [(f"lr2.{k}", 0, float(v)) for k, v in sorted(self.stats.items())]
@@ -188,15 +236,27 @@ def parameter_table(spark: SparkSession, *models) -> DataFrame:
     return spark.createDataFrame(rows, "param string, ix int, value double")
 
 
-def load_models(params: DataFrame) -> tuple[ProfileModel, GatedLogisticModel]:
-    """Rebuild both stages from a parameter table (a few hundred rows)."""
+def _vectors(params: DataFrame) -> dict[str, tuple[float, ...]]:
     found: dict[str, dict[int, float]] = {}
     for r in params.collect():
         found.setdefault(r["param"], {})[r["ix"]] = r["value"]
-    vec = lambda k: tuple(found[k][i] for i in sorted(found[k]))
-    first = ProfileModel(vec("lr1.mean"), vec("lr1.scale"), vec("lr1.coef"), found["lr1.intercept"][0])
+    return {k: tuple(v[i] for i in sorted(v)) for k, v in found.items()}
+
+
+def _final_of(found: dict[str, tuple[float, ...]]) -> GatedLogisticModel:
     stats = {k[4:]: v[0] for k, v in found.items() if k.startswith("lr2.") and k not in ("lr2.coef", "lr2.intercept")}
-    return first, GatedLogisticModel(stats, vec("lr2.coef"), found["lr2.intercept"][0])
+    return GatedLogisticModel(stats, found["lr2.coef"], found["lr2.intercept"][0])
+
+
+def load_profile(params: DataFrame) -> ProfileModel:
+    """First stage from its parameter table."""
+    found = _vectors(params)
+    return ProfileModel(found["lr1.mean"], found["lr1.scale"], found["lr1.coef"], found["lr1.intercept"][0])
+
+
+def load_models(params: DataFrame) -> tuple[ProfileModel, GatedLogisticModel]:
+    """Rebuild both stages from a parameter table (a few hundred rows)."""
+    return load_profile(params), _final_of(_vectors(params))
 
 
 # --- many fits at once -------------------------------------------------------------------------
@@ -469,6 +529,8 @@ class Fitted:
     policy: object
     split_metrics: DataFrame | None = None
     predictions: DataFrame | None = None
+    #: Pooled held-out metrics with bootstrap intervals, a row for each metric.
+    pooled: DataFrame | None = None
 
 
 def case_features(rows: DataFrame, contract=None, *, shared_axis: bool = False) -> DataFrame:
@@ -484,26 +546,27 @@ def case_features(rows: DataFrame, contract=None, *, shared_axis: bool = False)
 
 def train(rows: DataFrame, *, evaluate: bool = False, grid_points: int, fold_count: int = 5, repeats: int = 20,
           seed: int = 42, target: float = 0.95, profile_c: float = PROFILE_C, final_c: float = FINAL_C,
-          shared_axis: bool = False) -> Fitted:
-    """Features, optional patient-safe evaluation, final fit, threshold and tier policy."""
+          shared_axis: bool = False, bootstrap: int = 2000) -> Fitted:
+    """Features, optional patient-safe evaluation with pooled values and intervals, final fit, threshold and tier policy."""
     from . import tiers
 
     rows = signal.require_profiles(cut_lineage(rows))
     admitted = filters.require_two_classes(filters.stage1_rows(rows))
     base = cut_lineage(case_features(rows, shared_axis=shared_axis))
-    split_metrics = predictions = None
+    split_metrics = predictions = pooled = None
     if evaluate:
         assigned = folds.assign_folds(base, folds=fold_count, repeats=repeats, seed=seed)
         split_metrics, predictions = cross_validate(
             admitted, base, assigned, grid_points=grid_points, fold_count=fold_count, repeats=repeats,
             profile_c=profile_c, final_c=final_c, target=target,
         )
+        pooled = folds.pooled_summary(predictions, replicates=bootstrap, seed=seed)
     first = fit_profile_model(admitted, c=profile_c)
     scores = cases_op.case_scores(base, first.score(admitted))
     features = cut_lineage(cases_op.reliability(base.join(scores, "target_case_id")))
-    final = GatedLogistic(final_c).fit(features)
+    final = GatedLogistic(c=final_c).fit(features)
     scored = cut_lineage(final.transform(features))
     points = metrics.roc_points(metrics.score_curve(scored, y="label", p="p_cancer"), p="p_cancer")
     limits = metrics.thresholds(points, target=target).first().asDict()
     policy = tiers.fit_policy(predictions, limits["threshold_target"])
-    return Fitted(first, final, limits, features, scored, policy, split_metrics, predictions)
+    return Fitted(first, final, limits, features, scored, policy, split_metrics, predictions, pooled)

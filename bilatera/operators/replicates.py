@@ -51,16 +51,20 @@ def draw(seed: int, b: Column, slot: Column, n: Column) -> Column:
     return F.conv(F.substring(text, 1, 12), 16, 10).cast("long") % n
 
 
-def packed_counts(patients: DataFrame, *, replicates: int, seed: int) -> DataFrame:
+def packed_counts(patients: DataFrame, *, replicates: int, seed: int, with_whole: bool = False) -> DataFrame:
     """(patientId, counts): draws of every patient by replicate; patients that no replicate draws have no row.
 
     A replicate draws as many patients as there are, with replacement; every patient row supplies one draw slot per
-    replicate. A row holds the replicates that drew it: ``replicates`` numbers in the mean, whatever the number of patients.
+    replicate. A row holds the replicates that drew it: ``replicates`` numbers in the mean, whatever the number of patients. With
+    ``with_whole`` a further replicate stands before them that draws everyone once.
     """
     known = cut_lineage(indexed(patients))
     total = known.agg(F.count(F.lit(1)).alias("_n"))  # one row
     slots = known.select("ix").join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = slots.select(draw(seed, F.col("b"), F.col("ix"), F.col("_n")).alias("ix"), "b")
+    if with_whole:
+        drawn = drawn.withColumn("b", F.col("b") + 1).unionByName(known.select("ix", F.lit(0).alias("b")))
+    width = replicates + with_whole
     lists = drawn.groupBy("ix").agg(F.collect_list("b").alias("bs")).join(known, "ix")
     kind = patients.schema["patientId"].dataType.simpleString()
 
@@ -68,7 +72,7 @@ def packed_counts(patients: DataFrame, *, replicates: int, seed: int) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                counts = np.stack([np.bincount(v.values.to_numpy(), minlength=replicates) for v in part.column("bs")])
+                counts = np.stack([np.bincount(v.values.to_numpy(), minlength=width) for v in part.column("bs")])
                 yield pa.RecordBatch.from_arrays([part.column("patientId"), pa.array(encode(counts), pa.binary())], names=["patientId", "counts"])
 
     return lists.select("patientId", "bs").mapInArrow(pack, f"patientId {kind}, counts binary")

@@ -6,32 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import profiles as P
 from .. import schemas as S
-from ..operators import filters, folds, metrics, model, scoring
+from ..operators import cases, filters, folds, metrics, model, scoring
 from ..sources import storage
-from . import routes
+from . import frozen, routes
 from . import views as V
 from .queries import query, r6
 
-_FITS: dict[tuple[str, str], model.Fitted] = {}
-
-
-def fitted(spark: SparkSession, sf: str) -> model.Fitted:
-    """Train-all fit of the view cohort, fitted once per application and scale."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITS:
-        _FITS[key] = model.train(V.gated(spark, sf), grid_points=V.VIEW_GRID, shared_axis=True)
-    return _FITS[key]
-
-
-IDENTITY = {
-    "id": "two_stage_gated_v1", "name": "two_stage_gated", "version": "1", "sha256": "0" * 64,
-    "external_version": "0.6", "internal_version": "0.9",
-}
-
-
 def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Technical quality control only, all rows of the asked patients."""
     policy = routes.prediction_policy(
@@ -47,18 +31,38 @@ def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     return routes.run_steps(rows, routes.build_steps(policy))
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Nested fields as columns of their own, joined by two underscores; lists as text."""
+    out = []
+
+    def walk(kind, column, name):
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(f.dataType, column[f.name], f"{name}__{f.name}" if name else f.name)
+        else:
+            out.append((F.concat_ws(",", column) if isinstance(kind, T.ArrayType) else column).alias(name))
+
+    for f in df.schema.fields:
+        walk(f.dataType, F.col(f.name), f.name)
+    return df.select(*out)
+
+
 def scored_sides(spark: SparkSession, sf: str):
-    fit = fitted(spark, sf)
+    """The saved model and everything a report of the view's requests needs."""
+    a = frozen.saved_model(spark, sf)
     rows = storage.cut_lineage(prediction_rows(spark, sf))
     asked = scoring.request_sides(V.requests(spark, sf), rows)
     sides = storage.cut_lineage(scoring.both_sides(asked))
-    features = scoring.feature_rows(rows, sides, fit.profile, shared_axis=True)
-    out = scoring.score_sides(features, fit.final, policy=fit.policy, reference=fit.scored.select("label", F.col("p_cancer")))
-    return fit, rows, asked, sides, out
+    features = scoring.feature_rows(rows, sides, a.profile, shared_axis=True)
+    return a, rows, asked, sides, scoring.score_sides(features, a.final, policy=a.policy, reference=a.reference)
 
 
-def record(fit: model.Fitted) -> dict:
-    return metrics.fit_record(fit.scored, fit.thresholds["threshold_target"]).first().asDict()
+def training_features(spark: SparkSession, sf: str, first: model.ProfileModel) -> DataFrame:
+    """Case table of the view cohort with the evidence of a first stage."""
+    rows = storage.cut_lineage(V.gated(spark, sf))
+    base = model.case_features(rows, shared_axis=True)
+    scores = cases.case_scores(base, first.score(filters.stage1_rows(rows)))
+    return storage.cut_lineage(cases.reliability(base.join(scores, "target_case_id")))
 
 
 @query("m1_profile_fit")
@@ -69,18 +73,21 @@ def _(spark, sf):
 
 @query("m2_profile_scores")
 def _(spark, sf):
-    return fitted(spark, sf).profile.score(V.gated(spark, sf)).select("measurement_id", r6("p", digits=4))
+    return frozen.saved_model(spark, sf).profile.score(V.gated(spark, sf)).select("measurement_id", r6("p"))
 
 
 @query("m3_gated_fit")
 def _(spark, sf):
-    return model.parameter_table(spark, fitted(spark, sf).final).select("param", "ix", r6("value", digits=4))
+    features = training_features(spark, sf, frozen.profile_model())
+    return model.parameter_table(spark, model.GatedLogistic(c=model.FINAL_C).fit(features)).select("param", "ix", r6("value", digits=4))
 
 
 @query("m10_fit_record")
 def _(spark, sf):
-    fit = fitted(spark, sf)
-    return metrics.fit_record(fit.scored, fit.thresholds["threshold_target"])
+    a = frozen.saved_model(spark, sf)
+    scored = a.final.transform(training_features(spark, sf, a.profile))
+    out = metrics.fit_record(scored, a.policy.threshold)
+    return out.select(*[r6(f.name) if f.dataType.simpleString() == "double" else f.name for f in out.schema.fields])
 
 
 def _evaluation(spark, sf):
@@ -106,54 +113,62 @@ def _(spark, sf):
 def _(spark, sf):
     rows = storage.cut_lineage(prediction_rows(spark, sf))
     sides = scoring.both_sides(scoring.request_sides(V.requests(spark, sf), rows)).where("role = 'target'")
-    return scoring.feature_rows(rows, sides, fitted(spark, sf).profile, shared_axis=True)
+    out = scoring.feature_rows(rows, sides, frozen.profile_model(), shared_axis=True)
+    return out.select(
+        "patientId", "target_case_id", "target_side", "contralateral_side", r6("profile_p_cancer_logit_average"), r6("profile_p_cancer_probability_mean"),
+        "profile_p_cancer_n_measurements", r6("age"), "age_available", "specimens", "measurements", "symmetry_available", "symmetry_reason",
+        "target_measurements", "contralateral_measurements", *[r6(c) for c in S.CORE4], "result_reliability", "result_reliability_reason",
+        "operator_id", "session_uid", "started_at",
+    )
 
 
 @query("m19_two_sided_scores")
 def _(spark, sf):
     *_, out = scored_sides(spark, sf)
     return out.select(
-        "patientId", "role", "target_side", "symmetry_available", r6("p_cancer", digits=4), "target_class_risk_level", "tier",
+        "patientId", "role", "target_side", "symmetry_available", r6("p_cancer"), "target_class_risk_level", "biopsy_required", "tier",
         "result_reliability", r6("percentile_all"), r6("percentile_reference_class"), r6("percentile_target_class"),
     )
 
 
 @query("m20_profile_evidence")
 def _(spark, sf):
-    fit, rows, _, sides, _ = scored_sides(spark, sf)
-    return scoring.report_evidence(scoring.side_evidence(rows, sides, fit.profile), IDENTITY)
+    a, rows, _, sides, _ = scored_sides(spark, sf)
+    return scoring.report_evidence(scoring.side_evidence(rows, sides, a.profile), a.report_identity())
+
+
+CREATED = "2026-01-01T00:00:00+01:00"
 
 
 @query("m21_external_report")
 def _(spark, sf):
-    fit, _, asked, _, out = scored_sides(spark, sf)
-    return scoring.external_report(out, asked, record=record(fit), identity=IDENTITY, created_at=F.lit("2026-01-01T00:00:00+01:00"))
+    a, _, asked, _, out = scored_sides(spark, sf)
+    return flat(scoring.external_report(out, asked, record=a.record, identity=a.report_identity(), created_at=F.lit(CREATED)))
 
 
 def _internal(spark, sf):
-    fit, _, asked, _, out = scored_sides(spark, sf)
-    return scoring.internal_report(out, asked, record=record(fit), identity=IDENTITY, created_at=F.lit("2026-01-01T00:00:00+01:00"))
+    a, _, asked, _, out = scored_sides(spark, sf)
+    return scoring.internal_report(out, asked, record=a.record, identity=a.report_identity(), created_at=F.lit(CREATED))
 
 
 @query("m22_internal_report")
 def _(spark, sf):
-    return _internal(spark, sf)
+    return flat(_internal(spark, sf)).drop("model__artifact_sha256")
 
 
 @query("a8_report_sink")
 def _(spark, sf):
     df = _internal(spark, sf)
     path = storage.write_json(df, storage.new_path(spark, "reports"))
-    return spark.read.schema(df.schema).json(path)
+    return flat(spark.read.schema(df.schema).json(path)).drop("model__artifact_sha256")
 
 
 @query("m23_routed_scores")
 def _(spark, sf):
-    fit = fitted(spark, sf)
-    plain = model.GatedLogistic(model.FINAL_C).fit(fit.features.withColumn("symmetry_available", F.lit(0)))
-    limit = fit.thresholds["threshold_target"]
-    out = scoring.routed_score(fit.features, fit.final, plain, {"paired": limit, "fallback_no_symmetry": limit})
-    return out.select("target_case_id", "model_route", r6("p_cancer", digits=4), r6("threshold", digits=4))
+    a = frozen.saved_model(spark, sf)
+    plain = frozen.final_model(frozen.PLAIN_COEF, frozen.PLAIN_INTERCEPT)
+    out = scoring.routed_score(training_features(spark, sf, a.profile), a.final, plain, {"paired": a.policy.threshold, "fallback_no_symmetry": 0.5})
+    return out.select("target_case_id", "model_route", r6("p_cancer"), r6("threshold"))
 
 
 @query("m26_train_all")
@@ -168,6 +183,12 @@ def _(spark, sf):
     )
 
 
+@query("m26_pooled_summary")
+def _(spark, sf):
+    out = folds.pooled_summary(V.oof(spark, sf), replicates=200, seed=42, with_calibration=False)
+    return out.select("metric", *[r6(c) for c in ("pooled", "ci_low", "ci_high")], "replicates", "patients", "cases")
+
+
 @query("u1_step_chain")
 def _(spark, sf):
     policy = routes.training_policy(
