@@ -7,13 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import resampling as R
 from ..functions import scalars as X
-from . import ordered
+from ..sources import storage
+from . import filters, ordered
 
 # Fixed values of the study.
 D_SPACING_NM = 5.838
@@ -444,21 +445,65 @@ def selection_lists(df: DataFrame, ok: str = "pass") -> DataFrame:
     return df.select(F.inline(values)).where("value is not null").distinct()
 
 
+def list_checksum(values: DataFrame) -> Column:
+    """Checksum of a column ``value`` as a set of texts, whatever the order of rows: the sum of 60 bits of every text's md5."""
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
+LISTS = ("accepted_dates", "accepted_session_uids", "rejected_dates", "rejected_session_uids")
+
+
 def selection_record(df: DataFrame, *, parameters: dict[str, float], ok: str = "pass") -> DataFrame:
-    """One nested record: counts and parameters. The lists themselves stay in ``selection_lists``."""
+    """One nested record: counts, parameters, and for every list its number of values and checksum.
+
+    The filters name the list that holds their values; the lists themselves are the rows of ``selection_lists``.
+    """
     n = df.agg(
         F.count(F.lit(1)).alias("rows_total"), F.count_if(ok).alias("rows_accepted"),
         F.count_if(~F.col(ok)).alias("rows_rejected"),
     )
-    return n.select(
-        F.lit("calibration_selection_v0_1").alias("schema_version"),
+    sums = selection_lists(df, ok).groupBy("list").agg(F.count(F.lit(1)).alias("n"), list_checksum(df).alias("checksum"))
+    each = [F.max(F.when(F.col("list") == name, F.struct("n", "checksum"))).alias(name) for name in LISTS]
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit("0").alias("checksum"))
+    lists = sums.agg(*each).select(F.struct(*[F.coalesce(name, none).alias(name) for name in LISTS]).alias("lists"))  # one row
+    return n.join(F.broadcast(lists)).select(
+        F.lit(SELECTION_VERSION).alias("schema_version"),
         F.struct(*[F.lit(v).alias(k) for k, v in parameters.items()]).alias("parameters"),
-        F.struct("rows_total", "rows_accepted", "rows_rejected").alias("selection"),
-        F.struct(F.lit("started_at").alias("column"), F.lit("date in").alias("op")).alias("h5_date_filter"),
-        F.struct(F.lit("linked_agbh_session_uid").alias("column"), F.lit("in").alias("op")).alias("h5_id_filter"),
+        F.struct("rows_total", "rows_accepted", "rows_rejected").alias("selection"), "lists",
+        F.struct(F.lit("started_at").alias("column"), F.lit("date in").alias("op"), F.lit("accepted_dates").alias("list")).alias("h5_date_filter"),
+        F.struct(F.lit("linked_agbh_session_uid").alias("column"), F.lit("in").alias("op"), F.lit("accepted_session_uids").alias("list")).alias("h5_id_filter"),
     )
 
 
+SELECTION_VERSION = "calibration_selection_v0_1"
+
+
+def write_selection(df: DataFrame, path: str, *, parameters: dict[str, float], ok: str = "pass") -> str:
+    """The record as JSON beside the lists it names, a folder for each list."""
+    selection_lists(df, ok).write.mode("errorifexists").partitionBy("list").parquet(f"{path}/lists")
+    return storage.write_json(selection_record(df, parameters=parameters, ok=ok), f"{path}/record")
+
+
+def read_selection(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """Record and lists of a selection; a list whose count or checksum differs from the record is refused."""
+    record = spark.read.json(f"{path}/record").first().asDict(True)
+    if record["schema_version"] != SELECTION_VERSION:
+        raise ValueError(f"selection schema {record['schema_version']} is not {SELECTION_VERSION}")
+    rows = spark.read.schema("value string, list string").parquet(f"{path}/lists")
+    found = {r["list"]: (r["n"], r["checksum"]) for r in rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), list_checksum(rows).alias("checksum")).collect()}
+    for name in LISTS:
+        told = record["lists"][name]
+        if found.get(name, (0, "0")) != (told["n"], told["checksum"]):
+            raise ValueError(f"list {name} does not match its record")
+    return record, {name: rows.where(F.col("list") == name).select("value") for name in LISTS}
+
+
+def exclude_rejected(rows: DataFrame, path: str, **columns: str) -> DataFrame:
+    """Drop rows whose linked session was rejected; rows without a link fall back to the rejected days. The lists stay tables."""
+    _, lists = read_selection(rows.sparkSession, path)
+    return filters.exclude_sessions(rows, lists["rejected_session_uids"], lists["rejected_dates"], **columns)
+
+
 def reference_band(df: DataFrame, good: Column, value: str) -> DataFrame:
     """Min, median and max of a metric over good calibrations, next to every row."""
     ok = df.where(good)

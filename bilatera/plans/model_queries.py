@@ -14,7 +14,7 @@ from ..operators import cases, filters, folds, metrics, model, scoring
 from ..sources import storage
 from . import frozen, routes
 from . import views as V
-from .queries import query, r6
+from .queries import PONI, query, r6
 
 def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Technical quality control only, all rows of the asked patients."""
@@ -202,6 +202,22 @@ def _(spark, sf):
     )
 
 
+@query("u1_pixel_route")
+def _(spark, sf):
+    """From geometry text and pixels to gated profiles, all steps of the prediction route with their inputs."""
+    rows = V.measurements(spark, sf).withColumn("ponifile", F.expr(PONI.replace("15+measurement_id%10", "10+measurement_id%10"))).drop("poni_q_max_nm_inv", "q_range", "radial_profile_data")
+    pixels = V.pixels(spark, sf).select("measurement_id", "q", F.col("bright").alias("counts"), "radius")
+    policy = routes.prediction_policy(
+        has_geometry=True, has_pixels=True, band=(2.0, 23.0), gate=0.5, min_snr_db=20.0,
+        columns=("measurement_id", "patientId", "poni_q_max_nm_inv", "thickness_factor", "snr_db", "radial_profile_value_at_q", "q_range", "radial_profile_data"),
+    )
+    out = routes.run_steps(rows, routes.build_steps(policy, pixels=pixels))
+    return out.select(
+        "measurement_id", "patientId", r6("poni_q_max_nm_inv"), r6("thickness_factor"), r6("snr_db"), r6("radial_profile_value_at_q"),
+        F.size("q_range").alias("points"), r6(P.total(F.col("radial_profile_data")), "profile_sum"),
+    )
+
+
 @query("u2_prediction_route")
 def _(spark, sf):
     return prediction_rows(spark, sf).select(

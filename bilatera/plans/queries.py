@@ -85,7 +85,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = V.gated(spark, sf).select("measurement_id", "patientId", "product_status_group", "radial_profile_data")
     path = storage.write_artifact(
-        rows, storage.new_path(spark, "artifact"), config_text=json.dumps({"gate": V.VIEW_GATE}), input_sha256="0" * 64
+        rows, storage.new_path(spark, "artifact"), config_text=json.dumps({"gate": V.VIEW_GATE}),
+        input_sha256=storage.input_sha256(spark, f"{sf}/embeddings.parquet"),
     )
     return storage.read_artifact(spark, path).select(
         "measurement_id", "patientId", "product_status_group", r6(P.total(F.col("radial_profile_data")), "profile_sum")
@@ -97,6 +98,16 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", storage.text_checksum(F.col("text")).alias("sha256"))
 
 
+@query("a7_file_digests")
+def _(spark, sf):
+    """Digests of files that Spark wrote from the customer table, one file for each nation."""
+    sums = V.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("s"))
+    path = storage.new_path(spark, "text")
+    sums.select("c_nationkey", F.concat_ws(",", "c_nationkey", "n", "s").alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    files = storage.file_checksums(spark, f"{path}/c_nationkey=*")
+    return files.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "length", "sha256")
+
+
 @query("a10_exclusion_lists")
 def _(spark, sf):
     lists = reference.exclusion_lists(spark, V.EXCLUDED_IDS, V.EXCLUDED_DAYS)
@@ -1047,7 +1058,7 @@ def _(spark, sf):
 
 @query("k8_selection_record")
 def _(spark, sf):
-    scored = calibration.pass_fail(_left_shoulder(spark, sf))
+    scored = calibration.pass_fail(_left_shoulder(spark, sf)).withColumnRenamed("started_on", "started_at")
     record = calibration.selection_record(
         scored, ok="agbh_monochromaticity_pass",
         parameters={"max_score": calibration.MAX_SCORE, "q_min": 2.0, "q_max": 23.0, "beta_ratio": calibration.BETA_RATIO},
@@ -1056,6 +1067,15 @@ def _(spark, sf):
     return back.select("schema_version", "parameters.max_score", "parameters.beta_ratio", "selection.*", F.col("h5_date_filter.op").alias("date_op"))
 
 
+@query("k8_selection_round_trip")
+def _(spark, sf):
+    path = calibration.write_selection(_scored_manifest(spark, sf), storage.new_path(spark, "selection"), parameters={"max_score": calibration.MAX_SCORE})
+    rows = V.calibration_sets(spark, sf).selectExpr(
+        "cast(file_name as string) file_name", "case when session_uid like '%7' then null else 's'||cast(substr(session_uid, 2) as bigint) div 2 end linked_agbh_session_uid",
+        "try_to_timestamp(started_at) started_on")
+    return calibration.exclude_rejected(rows, path.removesuffix("/record")).select("file_name", "linked_agbh_session_uid")
+
+
 @query("k9_calibrant_integration")
 def _(spark, sf):
     out = signal.profiles_from_bins(_bins(spark, sf, mask=None))

@@ -19,12 +19,18 @@ from ..sources import reference
 
 @dataclass(frozen=True)
 class Step:
-    """A named DataFrame -> DataFrame function with parameters and a switch."""
+    """A named function with parameters and a switch.
+
+    ``table`` says what it works on: the measurement rows, the pixel table, or both, which gives rows. The step that
+    starts the pixel table brings it as ``source``.
+    """
 
     name: str
     fn: Callable[..., DataFrame]
     params: dict[str, Any] = field(default_factory=dict)
     enabled: bool = True
+    table: str = "rows"
+    source: DataFrame | None = None
 
 
 def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -32,8 +38,15 @@ def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     names = [s.name for s in steps]
     if len(set(names)) != len(names):
         raise ValueError("step names must be unique")
+    pixels = None
     for step in steps:
-        if step.enabled:
+        if not step.enabled:
+            continue
+        if step.table == "pixels":
+            pixels = (pixels if step.source is None else step.source).transform(step.fn, **step.params)
+        elif step.table == "both":
+            df = step.fn(df, pixels, **step.params)
+        else:
             df = df.transform(step.fn, **step.params)
     return df
 
@@ -90,6 +103,18 @@ def _gate(df: DataFrame, threshold: float) -> DataFrame:
     return signal.profile_gate(df, threshold=threshold).where("radial_profile_value_pass")
 
 
+def _geometry(df: DataFrame) -> DataFrame:
+    """Typed geometry from its text; the detector's reach in q is what later filters look at."""
+    return signal.geometry(df).withColumn("poni_q_max_nm_inv", F.col("poni_q_max"))
+
+
+def _integrate(df: DataFrame, pixels: DataFrame, points: int) -> DataFrame:
+    """Profiles of the surviving rows from their unmasked pixels, corrected for thickness; frames of dropped rows are never binned."""
+    px = pixels.join(df.select("measurement_id").distinct(), "measurement_id", "left_semi")
+    profiles = signal.profiles_from_bins(signal.azimuthal_bins(px, points=points), points=points)
+    return signal.thickness_correct(df.drop("q_range", "radial_profile_data").join(profiles, "measurement_id"))
+
+
 def _snr(df: DataFrame) -> DataFrame:
     return df.withColumn("snr_db", signal.snr_db("radial_profile_data", "sigma"))
 
@@ -103,18 +128,9 @@ def _q_window(df: DataFrame, lo: float, hi: float) -> DataFrame:
 def build_steps(p: Policy, *, pixels: DataFrame | None = None, points: int = S.GRID_POINTS) -> list[Step]:
     """All 21 steps in contract order; a step without its input data is switched off.
 
-    With a pixel table, integration joins its per-measurement profiles on to the surviving rows, so frames
-    of dropped measurements are never binned.
+    With a pixel table, faulty pixels are marked there and integration replaces the profiles of the rows.
     """
 
-    def integrate(df: DataFrame) -> DataFrame:
-        px = pixels.join(df.select("measurement_id").distinct(), "measurement_id", "left_semi")
-        bins = signal.azimuthal_bins(signal.faulty_pixels(px), points=points)
-        profiles = df.drop("q_range", "radial_profile_data").join(
-            signal.profiles_from_bins(bins, points=points), "measurement_id"
-        )
-        return signal.thickness_correct(profiles)
-
     rule = lambda *r: {"rules": list(r)}
     px = pixels is not None
     sessions = [
@@ -132,7 +148,7 @@ def build_steps(p: Policy, *, pixels: DataFrame | None = None, points: int = S.G
         return out
 
     return [
-        Step("poni_geometry", signal.geometry, enabled=p.has_geometry),
+        Step("poni_geometry", _geometry, enabled=p.has_geometry),
         Step("select_h5_sessions", select_sessions),
         Step("h5_to_df", _where, rule(Predicate("sample_thickness_mm", "notna"), Predicate("position", "in", values=S.POSITIONS))),
         Step("product_columns", filters.label_columns, {"normal_as_benign": p.normal_as_benign}),
@@ -144,9 +160,9 @@ def build_steps(p: Policy, *, pixels: DataFrame | None = None, points: int = S.G
         Step("specimen_status_filter", _where, rule(Predicate("specimen_status", "in", values=p.status_keep)), bool(p.status_keep)),
         Step("product_status_filter", _where, rule(Predicate("product_status_group", "in", values=p.group_keep)), bool(p.group_keep)),
         Step("paired_patient_filter", filters.keep_label_pairs, {"allowed": p.pair_keep}, bool(p.pair_keep)),
-        Step("faulty_pixels", lambda df: df, enabled=px),
+        Step("faulty_pixels", signal.faulty_pixels, enabled=px, table="pixels", source=pixels),
         Step("interpolation_q_range", _q_window, {"lo": S.Q_RANGE[0], "hi": S.Q_RANGE[1]}, not px),
-        Step("azimuthal_integration", integrate, enabled=px),
+        Step("azimuthal_integration", _integrate, {"points": points}, px, "both"),
         Step("snr", _snr, enabled=px or p.has_sigma),
         Step("snr_filter", signal.snr_filter, {"min_db": p.min_snr_db}, px or p.has_sigma),
         Step("specimen_validity", filters.specimen_validity, {"min_measurements": p.min_measurements, "min_specimens": p.min_specimens}),

@@ -96,6 +96,13 @@ def file_checksums(spark: SparkSession, path: str, block: int = 1 << 20) -> Data
     return files.repartition(F.col("path")).mapInPandas(digest, "path string, length long, sha256 string")
 
 
+def input_sha256(spark: SparkSession, path: str) -> str:
+    """Digest of an input of one or many files: over the files' digests and lengths in order, so names and folders do not count."""
+    files = file_checksums(spark, path)
+    one = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "length", "sha256"))), "\n"), 256).alias("d"))
+    return one.first()["d"]
+
+
 def write_artifact(df: DataFrame, path: str, *, config_text: str, input_sha256: str) -> str:
     """Preprocessed rows plus a one-row lineage table."""
     spark = df.sparkSession

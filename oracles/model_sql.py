@@ -6,7 +6,7 @@ recursive queries, not by the methods of the library.
 
 from __future__ import annotations
 
-from .sql import BASE, CORE4, CURVE, FULL, LOGIT, OOF, PAIRS, SV, SV_OOF, r6
+from .sql import BASE, CORE4, CURVE, FULL, LOGIT, OOF, PAIRS, SETS, SV, SV_OOF, r6
 
 ORACLES: dict[str, str] = {}
 
@@ -265,3 +265,30 @@ ix as (select pid, row_number() over (order by md5(pid), pid)-1 ix from (select
 dr as (select b::int b, ('0x'||substr(md5('42:'||b::varchar||':'||ix::varchar),1,12))::bigint % (select count(*) from ix) ix from ix, range(0,200) t(b)),
 sv as (select b k, y, p, t from dr join ix using (ix) join bc using (pid) union all select -1, y, p, t from bc),
 """, CURVE)
+
+# --- files, selections, pixels -----------------------------------------------------------------------
+
+put("a7_file_digests", "select c_nationkey::int nation, octet_length(encode(v)) length, sha256(v) sha256 from t",
+    "t as (select c_nationkey, c_nationkey||','||count(*)||','||sum(c_custkey)||chr(10) v from customer group by 1)")
+put("k8_selection_round_trip", """select file_name, linked_agbh_session_uid from r
+ where case when linked_agbh_session_uid is null then d is null or d not in (select started_at::date from sc where not ok and started_at is not null)
+ else linked_agbh_session_uid not in (select session_uid from sc where not ok) end""", SETS.rstrip() + ",", """
+r as (select file_name, case when event_id%10=7 then null else 's'||(event_id//2)::varchar end linked_agbh_session_uid, started_at::date d from sets)""")
+put("u1_pixel_route", f"""select measurement_id, "patientId", {r6("qm", "poni_q_max_nm_inv")}, {r6("tf", "thickness_factor")}, {r6("db", "snr_db")},
+ {r6("v", "radial_profile_value_at_q")}, points, {r6("s", "profile_sum")} from (
+ select measurement_id, any_value("patientId") "patientId", any_value(qm) qm, any_value(tf) tf, any_value(db) db, arg_min(y/md, abs(q-14)) v, count(*)::int points, sum(y/md) s
+ from (select *, median(y) over (partition by measurement_id) md from pr) group by 1) where v>5e-1""", BASE, """
+geo as (
+ select *, calibrant_thickness_mm/sample_thickness_mm tf, 4*pi()/(56e-12*1e9)*sin(atan(sqrt(pow(greatest(0.01::double,512*55e-6-0.01::double),2)+pow(greatest(0.02::double,768*55e-6-0.02::double),2))/((10+measurement_id%10)::double/1e2))/2) qm
+ from lab where "position" in ('P1','P2','P3') and sample_thickness_mm>0 and calibrant_thickness_mm between 2 and 40
+),
+pxl as (
+ select l_orderkey measurement_id, floor((2e0+21e0*(l_partkey%997)::double/997e0-2e0)/21e0*100)::int bin, l_extendedprice/1e2 counts,
+  (l_partkey%997)::double/997e0/2e0 radius from lineitem
+),
+bn as (select measurement_id, bin, avg(counts) y, sqrt(sum(counts))/count(*) sg from pxl where not (counts>=500 and radius>4e-2) group by 1,2),
+pr as (
+ select geo.measurement_id, "patientId", qm, tf, 2e0+(bin+5e-1)*21e-2 q, y*tf y, 20*log10(avg(y) over w/avg(sg) over w) db
+ from geo join bn using (measurement_id) where qm>=23 window w as (partition by geo.measurement_id) qualify db>=20
+),
+""")
