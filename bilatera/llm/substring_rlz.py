@@ -1,11 +1,11 @@
-"""Substring dedup over words by relative Lempel-Ziv parsing against all earlier documents.
+"""Substring dedup over words against all earlier documents, with factors of the reference.
 
 The reference is the whole corpus, indexed by the marks of its windows (see ``windows``) and sharded by mark:
 an entry is a stretch of windows with the smallest doc_id that holds it. Every document looks its stretches up
 in every shard that has one of its marks. A stretch that an earlier document holds as a whole is a phrase;
 where only parts of it may be known, its windows are compared with the other entries of the mark, so phrases
-are exact at their edges too. Documents are then factored greedily: a factor grows as long as phrases continue
-at the same place of the same reference document, and each boundary is covered by the windows that cross it.
+are exact at their edges too. These window joins decide which words go. ``factors`` describes them afterwards: phrases that go on at
+the same place of the same reference document are one factor. It is no longest-match parse and changes no word.
 
 Only a smaller doc_id counts as a reference. Documents without doc_id are no reference and lose nothing, nor do
 rows of one doc_id to each other. Null text has no words. Extra columns of the input are ignored.
@@ -60,7 +60,8 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
         marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     )
     known = W.BitFilter(shared)
-    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi"))
+    # Rows equal in id and text are one key: they are no source for each other.
+    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi").distinct())
     index = marks.groupBy("h", "x").agg(F.min(F.struct("doc_id", "s")).alias("ref"))
     groups = index.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("ref.doc_id").alias("lowest")).where("d > 1")
     found = marks.join(index, ["h", "x"])
@@ -88,7 +89,7 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
-    parts = cut_lineage(W.packed(text).join(listed, list(W.KEY)).mapInArrow(
+    parts = cut_lineage(W.packed(text).join(listed, list(W.KEY)).dropDuplicates(list(W.KEY)).mapInArrow(
         cut, "h long, d long, asks boolean, doc_id long, ka long, kb long, s int, m int, part binary"
     ))
     few, many = W.hot_or_not(parts, F.col("d"))

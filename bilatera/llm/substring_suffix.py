@@ -68,9 +68,10 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
     again = cut_lineage(marks.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where("c > 1").select("h"))
     known = W.BitFilter(again)
     marks = text.select("text", *W.KEY).mapInArrow(lambda batches: mark(batches, known), schema)
-    marks = cut_lineage(marks.join(again, "h", "left_semi"))
+    # Rows equal in id and text are one key that counts several times.
+    marks = cut_lineage(marks.join(again, "h", "left_semi").groupBy("h", "x", *W.KEY, "s", "m", "twice").agg(F.count(F.lit(1)).alias("rows")))
     whole = marks.groupBy("h", "x").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*W.KEY, "s", "m")).alias("one"), F.max("twice").alias("twice")
+        F.sum("rows").alias("n"), F.min(F.struct(*W.KEY, "s", "m")).alias("one"), F.max("twice").alias("twice")
     )
     groups = whole.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.max("twice").alias("t")).where("d > 1 or t")
     settled = marks.join(whole.where("n > 1").select("h", "x"), ["h", "x"], "left_semi").select(*W.KEY, "s", "m")
@@ -92,7 +93,7 @@ def spans(docs: DataFrame, width: int = 200, gram: int | None = None) -> DataFra
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
-    parts = W.packed(text.select("text", *W.KEY)).join(listed, list(W.KEY)).mapInArrow(
+    parts = W.packed(text.select("text", *W.KEY)).join(listed, list(W.KEY)).dropDuplicates(list(W.KEY)).mapInArrow(
         cut, "h long, d long, asks boolean, ka long, kb long, s int, m int, part binary"
     )
     parts = cut_lineage(parts)
