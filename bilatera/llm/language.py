@@ -27,6 +27,8 @@ from . import windows as W
 BITS = 13
 GRAMS = (2, 3, 4)
 CLUSTERS = 4
+#: Texts that are counted together; each takes a dense row of counts.
+ROWS = 256
 #: Training documents of a language that its centroids are clustered from.
 SAMPLE = 1000
 #: Share of sample texts that lie farther from their centroid than the rejection distance.
@@ -45,6 +47,7 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     gap = (data < 128) & ((data < 97) | (data > 122))
     keep = ~gap
     keep[1:] |= ~gap[:-1] | (row[1:] != row[:-1])
+    keep[:1] = True  # every text begins with a gap, the first one too
     data, row = np.where(gap, 0x20, data).astype(np.uint8)[keep], row[keep]
     total = np.zeros(len(raw) << BITS, np.int64)
     values = N.byte_values(data)
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, *, clusters: int = CLUSTERS, sample: int = SAMPLE, reje
 
     def frequencies(batches):
         df, n = np.zeros(1 << BITS, np.int64), 0
-        for b in N.slices(batches, "text"):
+        for b in N.slices(batches, "text", rows=ROWS):
             counts = term_counts(b.column("text").to_pylist())
             df += (counts > 0).sum(axis=0)
             n += len(counts)
@@ -118,7 +121,7 @@ def fit(docs: DataFrame, *, clusters: int = CLUSTERS, sample: int = SAMPLE, reje
     picked = train.where(F.pmod(F.col("ka"), F.lit(1_000_000)) < share).select("lang", "text")
 
     def sparse(batches):
-        for b in N.slices(batches, "text"):
+        for b in N.slices(batches, "text", rows=ROWS):
             counts = term_counts(b.column("text").to_pylist())
             rows = [np.flatnonzero(c).astype(np.int32) for c in counts]
             yield pa.RecordBatch.from_arrays(
@@ -153,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     )
 
     def nearest(batches):
-        for b in N.slices(batches, "text"):
+        for b in N.slices(batches, "text", rows=ROWS):
             letters = b.column("_letters").to_numpy(zero_copy_only=False)
             names, score, off = ["und"] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             if model is not None:

@@ -85,14 +85,14 @@ def flat(array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of text, or one row where a row is longer."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of text (and ``rows`` rows), or one row where a row is longer."""
     for batch in batches:
         _, offsets = flat(batch.column(column))
         at, n = 0, batch.num_rows
         while at < n:
             end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            end = min(max(end, at + 1), n)
+            end = min(max(end, at + 1), n, at + (rows or n))
             yield batch.slice(at, end - at)
             at = end
 
