@@ -33,15 +33,17 @@ BITS = 15
 SHAPES = 64
 #: A feature counts when its share in a domain is so many standard errors off its overall share.
 SIGNIFICANT, LIFT = 5.0, 2.0
+#: Labelled documents that must hold a feature, whatever their number.
+OFTEN = 20
 #: Labelled documents that the weights are fitted on, passes over them, and the penalty on squared weights.
 SAMPLE, PASSES, PENALTY = 8000, 300, 1.0
 STEPS, TOLERANCE, PULL = 200, 1e-4, 1e-3
 
 
 def domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) from the labelled table: junk before toxic before clean."""
+    """(doc_id, domain) from the labelled table: toxic before junk before clean."""
     worst = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    domain = F.when(F.col("q") == 0, "junk").when(F.col("t") == 1, "toxic").when(F.col("q") == 1, "clean")
+    domain = F.when(F.col("t") == 1, "toxic").when(F.col("q") == 0, "junk").when(F.col("q") == 1, "clean")
     return worst.select("doc_id", domain.alias("domain")).where("domain is not null")
 
 
@@ -76,7 +78,7 @@ class Classifier:
         share = (counts + 0.5) / (sizes[:, None] + 1)
         total = (counts.sum(axis=0) + 0.5) / (sizes.sum() + 1)
         error = np.sqrt(total * (1 - total) / np.maximum(sizes[:, None], 1))
-        often = counts.sum(axis=0) >= max(5.0, 0.002 * sizes.sum())
+        often = counts.sum(axis=0) >= OFTEN
         self.use = ((share > LIFT * total) & (share - total > SIGNIFICANT * error)).any(axis=0) & often
         self.base = np.log((sizes + 1) / (sizes.sum() + len(sizes)))
         self.weight = np.zeros(counts.shape)
@@ -214,7 +216,8 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
     have = np.array([float(row[f"s{i}"] or 0) for i in range(k)])
     weight = np.array([float(targets.get(n, 0)) for n in model.names])
     share = weight / max(weight.sum(), 1e-12)
-    want = share * float(row["all"] or 0)
+    # Targets of domains that do not exist say nothing: everything keeps rate 1.
+    want = share * float(row["all"] or 0) if weight.sum() > 0 else have.copy()
     fixed = model.names.index(wanted) if wanted in model.names else None
     bounded = np.array([fixed is not None and n != wanted and n in targets for n in model.names])
     scale, errors = np.maximum(have, 1e-9 * max(have.sum(), 1.0)), []
@@ -260,7 +263,10 @@ def fit_rates(table: DataFrame, model: Classifier, targets: Mapping[str, float],
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> tuple[DataFrame, dict]:
-    """Rates of all documents."""
+    """Rates of all documents. Where no domain with a target exists, as without labels, every rate is 1.
+
+    Targets that the posteriors do not allow end where the totals stand still; the job fails if they still move after ``STEPS`` steps.
+    """
     model = train(docs, labels)
     return fit_rates(cut_lineage(posteriors(docs, model)), model, targets)
 
