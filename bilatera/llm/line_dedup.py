@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of tokens, shingles of ``width`` words; a shorter line is one token. With width 1 they are its words, which
-finds lines that differ by a word anywhere; the pipeline compares lines so. Tokens are ordered by rarity: counts of
+A line is its set of tokens, by default its words, which finds lines that differ by a word anywhere. With a larger ``width`` tokens are
+shingles of so many words, and a shorter line is one token. Tokens are ordered by rarity: counts of
 all tokens go into a table of a fixed number of cells, and tokens are ordered by their cell's logarithm, then by hash. Two
 lines of Jaccard similarity ``threshold`` or more share a token within their first n - ceil(threshold n) + 1 (the prefix), and
 at the first token they share, lengths and positions leave enough tokens to share. Only lines with a prefix token that
@@ -28,7 +28,7 @@ from . import candidates as C
 from . import numeric as N
 from . import windows as W
 
-THRESHOLD, WIDTH = 0.8, 5
+THRESHOLD, WIDTH = 0.8, 1
 CELL_BITS, CHUNKS = 20, 64
 PLACE = ("no_id", "doc_id", "ka", "kb", "line")
 BREAK = 0x0A

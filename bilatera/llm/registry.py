@@ -130,7 +130,7 @@ def _(spark, sf):
 with l as (
     select doc_id, i - 1 line, list_filter(string_split_regex(lines[i], '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '') w
     from (select doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents), unnest(range(1, len(lines) + 1)) t(i)),
-s as (select doc_id, line, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) w
+s as (select doc_id, line, list_sort(list_distinct(w)) w
       from l where len(w) > 0),
 c as (select w, len(w) n, min((doc_id, line)) f, row_number() over () id from s group by w),
 o as (select t, count(*) oc from (select unnest(w) t from c) group by t),

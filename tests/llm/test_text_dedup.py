@@ -115,13 +115,13 @@ def test_bayes_bound_never_prunes_what_it_should_not():
     assert jaccard.least_matches(30, 0.8, 1e-9) > 0
 
 
-def brute_lines():
+def brute_lines(width):
     lines, order = [], lambda i: (i is None, i or 0)
     for n, (i, t) in enumerate(TEXTS):
         for k, line in enumerate(t.split("\n")):
             words = line.encode().split()
             if words:
-                lines.append((order(i), n, k, frozenset(tuple(words[p : p + 5]) for p in range(max(len(words) - 4, 1)))))
+                lines.append((order(i), n, k, frozenset(tuple(words[p : p + width]) for p in range(max(len(words) - width + 1, 1)))))
     gone = defaultdict(set)
     for a in lines:
         for b in lines:
@@ -134,14 +134,15 @@ def brute_lines():
 SPECIAL = (None, 407)
 
 
-def test_lines(spark):
-    want = brute_lines()
-    got = line_dedup.report(frame(spark)).collect()
+@pytest.mark.parametrize("width", [1, 5])
+def test_lines(spark, width):
+    want = brute_lines(width)
+    got = line_dedup.report(frame(spark), width=width).collect()
     assert len(got) == len(TEXTS)
     assert multiset((r.doc_id, r.n_lines, tuple(r.removed)) for r in got if r.doc_id not in SPECIAL) == multiset(
         (i, len(t.split("\n")), tuple(sorted(g))) for (i, t), g in zip(TEXTS, want) if i not in SPECIAL
     )
-    out = line_dedup.clean(frame(spark))
+    out = line_dedup.clean(frame(spark), width=width)
     assert out.columns == frame(spark).columns
     cleaned = {r.doc_id: r.text for r in out.where("doc_id is not null and doc_id <> 407").collect()}
     for (i, t), g in zip(TEXTS, want):
