@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
@@ -272,17 +273,56 @@ class Family:
     intercept: np.ndarray
 
 
-Design = Callable[[pd.DataFrame], Callable[[int], tuple[np.ndarray, np.ndarray]]]
+#: Arrays of a block, and for a split its design rows with a mask of the cells that count.
+Block = dict[str, np.ndarray]
+Design = Callable[[Block], Callable[[int], tuple[np.ndarray, np.ndarray]]]
+
+
+def pack_blocks(df: DataFrame) -> DataFrame:
+    """One row of binary arrays for each Arrow batch: numbers as they are, arrays of equal length as matrices, all in doubles.
+
+    Passes that read the same rows again and again neither decode nor copy them.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cells = []
+            for c in b.columns:
+                values = c.flatten() if pa.types.is_list(c.type) else c
+                cells.append(values.cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), *[pa.array([v], pa.binary()) for v in cells]], names=["_n", *names])
+
+    return df.mapInArrow(run, "_n long, " + ", ".join(f"{n} binary" for n in names))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The arrays of packed rows; a column with one number a row is a vector."""
+    for b in batches:
+        names = [n for n in b.schema.names if n != "_n"]
+        for i, n in enumerate(b.column("_n").to_pylist()):
+            found = {}
+            for name in names:
+                v = np.frombuffer(b.column(name)[i].as_py(), np.float64)
+                found[name] = v if len(v) == n else v.reshape(n, -1)
+            yield found
 
 
 def _sum_by_split(df: DataFrame, fn, width: int, splits: int) -> np.ndarray:
-    """Sum of the per-task vectors ``fn`` yields for every split.
+    """Sum over tasks of the matrix (split numbers, rows of sums) that ``fn`` makes of a task's blocks.
 
-    Each task emits one vector per split whatever its row count; Spark adds them up with a partial
+    A task gives one vector for each split whatever its row count; Spark adds them up with a partial
     vector aggregate. The driver receives splits x width numbers.
     """
-    parts = df.mapInPandas(fn, "split int, v array<double>")
-    table = parts.groupBy("split").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = fn(blocks(batches))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), width).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(at, np.int32)), lists], names=["split", "v"])
+
+    table = df.mapInArrow(run, "split int, v array<double>").groupBy("split").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select(
         "split", vector_to_array("s").alias("s")
     ).toArrow()
     out = np.zeros((splits, width))
@@ -298,31 +338,37 @@ def fit_family(
 ) -> Family:
     """Balanced L2 logistic fits for all splits together.
 
-    Every pass is one distributed job over the rows: tasks form gradient and curvature of each split from
-    their own batches, Spark sums them, the driver solves one small system per split. A row belongs to the
+    Rows are packed into blocks once and kept; every pass is one distributed job over the blocks: tasks form gradient and
+    curvature of each split from matrix products, Spark sums them, the driver solves one small system per split. A row belongs to the
     training part of split (r, k) unless its fold in repeat r is k; rows are never copied per split. A split
-    that does not settle fails the job.
+    that does not settle fails the job. ``df`` has label, folds and what the design reads.
     """
+    packed = pack_blocks(df).persist()
+    try:
+        return _fit_packed(packed, design, p, repeats=repeats, fold_count=fold_count, c=c, iterations=iterations, tol=tol)
+    finally:
+        packed.unpersist()
+
+
+def _fit_packed(df: DataFrame, design: Design, p: int, *, repeats: int, fold_count: int, c: float, iterations: int, tol: float) -> Family:
     splits = repeats * fold_count
     own_repeat = np.repeat(np.arange(repeats), fold_count)
     own_fold = np.tile(np.arange(fold_count), repeats)
 
-    def training_mask(pdf: pd.DataFrame) -> np.ndarray:
-        f = np.stack(pdf["folds"].to_numpy())
+    def training_mask(block: Block) -> np.ndarray:
+        f = block["folds"].reshape(len(block["label"]), -1)
         return f[:, own_repeat] != own_fold
 
-    def moments(batches):
+    def moments(found):
         acc = np.zeros((splits, 2 + 2 * p))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mask, y, at = training_mask(pdf), pdf["label"].to_numpy(float), design(pdf)
+        for block in found:
+            mask, y, at = training_mask(block), block["label"], design(block)
             for s in range(splits):
                 m = mask[:, s]
                 x, v = at(s)
                 xv = np.where(v, x, 0.0)[m]
                 acc[s] += np.concatenate([[m.sum(), y[m].sum()], v[m].sum(0), xv.sum(0)])
-        yield pd.DataFrame({"split": np.arange(splits), "v": list(acc)})
+        return range(splits), acc
 
     total = _sum_by_split(df, moments, 2 + 2 * p, splits)
     n, pos = total[:, 0], total[:, 1]
@@ -331,18 +377,16 @@ def fit_family(
     count = np.maximum(total[:, 2:2 + p], 1.0)
     mean = total[:, 2 + p:2 + 2 * p] / count
 
-    def squares(batches):
+    def squares(found):
         # Around the known mean, so nothing cancels.
         acc = np.zeros((splits, p))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mask = training_mask(pdf)
-            at = design(pdf)
+        for block in found:
+            mask = training_mask(block)
+            at = design(block)
             for s in range(splits):
                 x, v = at(s)
                 acc[s] += (np.where(v, x - mean[s], 0.0)[mask[:, s]] ** 2).sum(0)
-        yield pd.DataFrame({"split": np.arange(splits), "v": list(acc)})
+        return range(splits), acc
 
     var = _sum_by_split(df, squares, p, splits) / count
     scale = np.where(var <= 1e-14 * (1.0 + mean**2), 1.0, np.sqrt(var))
@@ -357,12 +401,10 @@ def fit_family(
     for _ in range(iterations):
         now, active = beta.copy(), np.flatnonzero(live)
 
-        def curvature(batches, now=now, active=active):
+        def curvature(found, now=now, active=active):
             acc = np.zeros((len(active), width))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                mask, y, at = training_mask(pdf), pdf["label"].to_numpy(int), design(pdf)
+            for block in found:
+                mask, y, at = training_mask(block), block["label"].astype(int), design(block)
                 for i, s in enumerate(active):
                     x, v = at(s)
                     z = np.where(v, (x - mean[s]) / scale[s], 0.0)
@@ -372,7 +414,7 @@ def fit_family(
                     g = z.T @ (w * (mu - y))
                     h = (z * (w * mu * (1.0 - mu))[:, None]).T @ z
                     acc[i] += np.concatenate([g, h[upper]])
-            yield pd.DataFrame({"split": active, "v": list(acc)})
+            return active, acc
 
         sums = _sum_by_split(df, curvature, width, splits)
         for s in active:
@@ -390,16 +432,15 @@ def fit_family(
     return Family(mean, scale, beta[:, 1:], beta[:, 0])
 
 
-def _profile_design(pdf: pd.DataFrame):
-    x = np.stack(pdf["x"].to_numpy()).astype(float)
+def _profile_design(block: Block):
+    x = block["x"].reshape(len(block["label"]), -1)
     v = np.ones(x.shape, dtype=bool)
     return lambda s: (x, v)
 
 
-def _final_design(pdf: pd.DataFrame):
-    evidence = np.stack(pdf["evidence"].to_numpy()).astype(float)
-    rest = np.stack(pdf["rest"].to_numpy()).astype(float)
-    gate = pdf["symmetry_available"].to_numpy(int) == 1
+def _final_design(block: Block):
+    evidence, rest = (block[k].reshape(len(block["label"]), -1) for k in ("evidence", "rest"))
+    gate = block["symmetry_available"] == 1
     v = np.ones((len(rest), 7), dtype=bool)
     v[:, 3:] = gate[:, None]
     return lambda s: (np.hstack([evidence[:, s:s + 1], rest]), v)
@@ -429,7 +470,7 @@ def cross_validate(
             X.binary_label("product_status_group").alias("label"),
         ).join(fold_of, "patientId")
     )
-    first = fit_family(base, _profile_design, grid_points, repeats=repeats, fold_count=fold_count, c=profile_c)
+    first = fit_family(base.select("x", "label", "folds"), _profile_design, grid_points, repeats=repeats, fold_count=fold_count, c=profile_c)
     w = first.coef / first.scale
     b = first.intercept - (w * first.mean).sum(1)
 
@@ -453,14 +494,17 @@ def cross_validate(
             "target_case_id", "patientId", "target_side_norm", "label", "symmetry_available", rest.alias("rest")
         ).join(evidence, ["patientId", "target_side_norm"]).join(fold_of, "patientId")
     )
-    final = fit_family(table, _final_design, 7, repeats=repeats, fold_count=fold_count, c=final_c)
+    final = fit_family(table.select("evidence", "rest", "symmetry_available", "label", "folds"), _final_design, 7, repeats=repeats, fold_count=fold_count, c=final_c)
     wf = final.coef / final.scale
 
     def score(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            at = _final_design(pdf)
+            at = _final_design({
+                "label": pdf["label"].to_numpy(), "symmetry_available": pdf["symmetry_available"].to_numpy(),
+                **{c: np.stack(pdf[c].to_numpy()).astype(float) for c in ("evidence", "rest")},
+            })
             f = np.stack(pdf["folds"].to_numpy())
             for s in range(splits):
                 x, v = at(s)
