@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -44,6 +46,42 @@ def split_rows(df: DataFrame, members: DataFrame, role: str) -> DataFrame:
     return df.join(members.where(F.col("role") == role).select("split_id", "patientId"), "patientId")
 
 
+def split_sums(df: DataFrame, assigned: DataFrame, sums: dict[str, Column], *, folds: int = 5, role: str = "test") -> DataFrame:
+    """(split_id, sums) over the rows of one role in every split, without a row for each split.
+
+    Rows are first added up by patient. A patient's folds are one array, and a task adds a patient's sums to the split that holds it out
+    in every repeat; sums of the training part are those of all patients less these. Tasks give splits x sums numbers.
+    """
+    names = list(sums)
+    per = df.groupBy("patientId").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    listed = F.array_sort(F.collect_list(F.struct("repeat", "fold")))
+    held = assigned.groupBy("patientId").agg(F.transform(listed, lambda s: s["fold"]).alias("_folds"))
+    kinds = {n: per.schema[n].dataType.simpleString() for n in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = [b.column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in names]
+            fold = b.column("_folds").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            repeats = fold.shape[1]
+            acc = acc or [np.zeros((repeats, folds), v.dtype) for v in values]
+            for total, v in zip(acc, values):
+                if role == "test":
+                    np.add.at(total, (np.broadcast_to(np.arange(repeats), fold.shape), fold), v[:, None])
+                else:
+                    total += v.sum()
+                    np.subtract.at(total, (np.broadcast_to(np.arange(repeats), fold.shape), fold), v[:, None])
+        if acc:
+            cells = [np.arange(acc[0].size, dtype=np.int32), *[a.ravel() for a in acc]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["split_id", *names])
+
+    rows = per.join(held, "patientId").select("_folds", *names)
+    out = rows.mapInArrow(run, "split_id int, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return out.groupBy("split_id").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def leakage(members: DataFrame) -> DataFrame:
     """(split_id, patientId) pairs present in both roles; must be empty."""
     pick = lambda r: members.where(F.col("role") == r).select("split_id", "patientId")

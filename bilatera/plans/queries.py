@@ -690,8 +690,9 @@ def _(spark, sf):
 def _(spark, sf):
     long = lambda d, a: d.select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"{m}{a}").alias("value")) for m in ("roc_auc", "pr_auc", "brier_score", "log_loss")])))
-    summary = long(metrics.summarise_splits(_fold_metrics(spark, sf)), "_mean")
-    per = _fold_metrics(spark, sf).select(F.inline(F.array(*[
+    rows = storage.cut_lineage(_fold_metrics(spark, sf))  # a row for each split
+    summary = long(metrics.summarise_splits(rows), "_mean")
+    per = rows.select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("roc_auc", "brier_score")])))
     band = per.groupBy("metric").agg(F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"))
     return folds.summary_with_intervals(summary, band).select("metric", r6("value"), r6("ci_low"), r6("ci_high"))
@@ -707,10 +708,9 @@ def _members(spark, sf, repeats=REPEATS):
 
 @query("f3_fold_membership")
 def _(spark, sf):
-    test = folds.split_rows(V.gated(spark, sf).select("patientId", "measurement_id"), _members(spark, sf), "test")
-    return test.groupBy("split_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("measurement_id").alias("id_sum")
-    )
+    rows = storage.cut_lineage(V.gated(spark, sf).select("patientId", "measurement_id", "side", "biopsy", "product_status_group"))
+    assigned = folds.assign_folds(cases.target_cases(rows), folds=FOLDS, repeats=REPEATS, seed=SEED)
+    return folds.split_sums(rows, assigned, {"rows": F.lit(1), "id_sum": F.col("measurement_id")}, folds=FOLDS)
 
 
 @query("f4_manifest_enrichment")
@@ -811,11 +811,8 @@ def _(spark, sf):
 
 @query("g7_union_splits")
 def _(spark, sf):
-    o = V.oof(spark, sf)
-    parts = [o.where(F.col("split_id") == k).drop("y_pred_target") for k in range(5)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    # Splits of one table are one filter; a union of frames would read the table for each of them.
+    out = V.oof(spark, sf).where(F.col("split_id").isin(*range(5)))
     return out.groupBy("split_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p_cancer"), "mean_p"))
 
 

@@ -96,3 +96,16 @@ def test_positions_with_equal_and_hot_keys(spark):
         mine = sorted((r["ix"], r["v"]) for r in got if r["k"] == k)
         assert [i for i, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for x, v in rows if x == k)
     assert ordered.dense_index(df.limit(0), ["v"], ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("role", ["test", "train"])
+def test_split_sums_equal_copied_rows(spark, role):
+    from pyspark.sql import functions as F
+
+    c = cases(spark)
+    assigned = folds.assign_folds(c, folds=4, repeats=3, seed=2)
+    got = {r["split_id"]: r for r in folds.split_sums(c, assigned, {"n": F.lit(1), "s": F.col("p_cancer")}, folds=4, role=role).collect()}
+    rows = folds.split_rows(c, folds.split_members(assigned, folds=4), role)
+    want = {r["split_id"]: r for r in rows.groupBy("split_id").agg(F.count("*").alias("n"), F.sum("p_cancer").alias("s")).collect()}
+    assert got.keys() == want.keys() == set(range(12))
+    assert all(got[k]["n"] == want[k]["n"] and got[k]["s"] == pytest.approx(want[k]["s"]) for k in got)
