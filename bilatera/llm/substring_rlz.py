@@ -60,11 +60,11 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
         marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     )
     known = W.BitFilter(shared)
-    # Rows equal in id and text are one key: they are no source for each other.
-    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi").distinct())
+    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi"))
     index = marks.groupBy("h", "x").agg(F.min(F.struct("doc_id", "s")).alias("ref"))
     groups = index.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("ref.doc_id").alias("lowest")).where("d > 1")
-    found = marks.join(index, ["h", "x"])
+    # Rows equal in id and text are one key: they are no source for each other.
+    found = marks.join(index.hint("merge"), ["h", "x"]).dropDuplicates(["h", "x", *W.KEY, "s"])
     copies = found.where("doc_id > ref.doc_id").select(
         *W.KEY, "s", "m", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.s").alias("ref_s")
     )
