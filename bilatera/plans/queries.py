@@ -1112,12 +1112,6 @@ def _(spark, sf):
 
 
 @query("j2_mismatch_rows")
-def _(spark, sf):
-    out = audits.mismatches(V.meta_left(spark, sf), V.meta_right(spark, sf), **J)
-    number = lambda c: X.to_number(c).alias(c)
-    return out.where("field = 'age'").select("external_id", "field", number("left_value"), number("right_value"))
-
-
 @query("j2_mismatch_fields")
 def _(spark, sf):
     """Mismatches of all fields, values as text; numbers with six decimals, compared before that."""

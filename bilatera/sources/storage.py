@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -31,7 +32,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    run = spark.conf.get(RUN, None)
+    folder = f"{shared_folder(spark).rstrip('/')}/{run}" if run else shared_folder(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Session setting that names the folder of the current run.
+RUN = "bilatera.run"
+
+
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Everything that is written to the shared folder inside the block lies in a folder of its own, which goes at its end.
+
+    Results must be used or written elsewhere before the block ends. Blocks may be nested; each removes its own folder.
+    """
+    before, run = spark.conf.get(RUN, None), f"run-{uuid.uuid4().hex[:12]}"
+    spark.conf.set(RUN, run)
+    try:
+        yield run
+    finally:
+        if before:
+            spark.conf.set(RUN, before)
+        else:
+            spark.conf.unset(RUN)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{run}")
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -810,9 +810,8 @@ base("j2_reconciliation", """select sum(coalesce(ln,0))::bigint left_rows, sum(c
  count(*) filter (ln>1) left_duplicate_keys, count(*) filter (rn>1) right_duplicate_keys, count(*) filter (ln is not null and rn is not null) matched_keys,
  count(*) filter (rn is null) left_only_keys, count(*) filter (ln is null) right_only_keys, sum(w)::bigint mismatch_rows,
  count(*) filter (w>0) mismatched_keys from jj""", META)
-base("j2_mismatch_rows", """select external_id, 'age' field, lv.a left_value, rv.a right_value from jj
- where ln is not null and rn is not null and lv.a is distinct from rv.a""", META)
-base("j2_mismatch_fields", """select external_id, field, left_value, right_value from (
+for name in ("j2_mismatch_rows", "j2_mismatch_fields"):
+    base(name, """select external_id, field, left_value, right_value from (
  select external_id, 'age' field, lv.a::decimal(18,6)::varchar left_value, rv.a::decimal(18,6)::varchar right_value, lv.a is distinct from rv.a differs, ln, rn from jj
  union all select external_id, 'thickness', lv.t::decimal(18,6)::varchar, rv.t::decimal(18,6)::varchar, lv.t is distinct from rv.t, ln, rn from jj
  union all select external_id, 'status', lv.s, rv.s, lv.s is distinct from rv.s, ln, rn from jj

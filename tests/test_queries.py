@@ -11,7 +11,7 @@ KEYS = (
     "case_table", "a3_calibration_manifest", "b1_predicates", "b12_pair_filter", "b27_container_check", "c4_azimuthal_integration",
     "c12_smoothing", "c18_peak_height", "c19_side_profiles", "d12_availability_gate", "d13_legacy_contract", "e5_reliability",
     "e8_batch_scores", "f3_fold_membership", "g4_score_percentiles", "m4_roc_points", "m16_tier_policy", "k5_reference_fit",
-    "k6_left_shoulder", "j2_reconciliation", "u1_step_chain",
+    "k6_left_shoulder", "j2_reconciliation", "u1_step_chain", "m10_fit_record", "m22_internal_report", "u1_pixel_route",
 )
 
 

@@ -70,3 +70,15 @@ def test_pixel_steps_mark_the_pixel_table(spark):
 
 def test_pixel_route_keeps_rows(spark):
     assert entry.queries()["u1_pixel_route"](spark, SF).count() > 10
+
+
+def test_run_scope_removes_its_folder(spark):
+    import os
+
+    with storage.run_scope(spark):
+        path = storage.new_path(spark, "x")
+        inner = storage.cut_lineage(spark.range(5))
+        assert inner.count() == 5 and "run-" in path
+        folder = os.path.dirname(path.removeprefix("file:"))
+        assert os.listdir(folder)
+    assert not os.path.exists(folder) and "run-" not in storage.new_path(spark, "x")
