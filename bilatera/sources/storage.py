@@ -37,6 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Session setting: free the shuffle files of finished plans at every lineage cut.
+TIDY = "bilatera.tidy"
 #: Session setting that names the folder of the current run.
 RUN = "bilatera.run"
 
@@ -62,10 +64,16 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: survives lost executors and shortens the plan."""
+    """Write once to the shared folder and read back: survives lost executors and shortens the plan.
+
+    Shuffle files of the written plan stay until the driver collects its garbage. Where the session sets ``TIDY``, it does so now, which
+    long jobs over large tables want.
+    """
     spark = df.sparkSession
     path = new_path(spark, "stage")
     df.write.parquet(path)
+    if spark.conf.get(TIDY, "false") == "true":
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
