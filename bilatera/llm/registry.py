@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import TIDY
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts are bounded in bytes, so a Python worker never holds many long documents."""
+    """Arrow batches of whole texts are bounded in bytes, so a Python worker never holds many long documents; finished shuffles go early."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set(TIDY, "true")
 
 
 def query(name: str, sql: str | None = None):
