@@ -257,7 +257,7 @@ def _(spark, sf):
 
 META_ROWS = (
     "measurement_id", "patientId", "side",
-    "case when measurement_id%4=3 then '  ' else 'op'||cast(cast(substr(patientId,2) as bigint)%3 as string) end operator_id",
+    "case when measurement_id%4=3 then '  ' else 'op'||cast(measurement_id div 6%3 as string) end operator_id",
     "case when measurement_id%9=0 then 'hw2' else 'hw1' end hardware_version",
     "cast(null as string) eoscan_version",
 )
