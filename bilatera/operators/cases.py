@@ -38,12 +38,14 @@ def case_id(patient: Column, side: Column) -> Column:
     return F.concat_ws("::", patient, side)
 
 
-def target_cases(df: DataFrame) -> DataFrame:
-    """One case per biopsied (patient, side). Two labels on one side fail the job."""
+def target_cases(df: DataFrame, *, ambiguous: str = "fail") -> DataFrame:
+    """One case per biopsied (patient, side). Two labels on one side fail the job, or with ``largest`` count as positive."""
+    if ambiguous not in ("fail", "largest"):
+        raise ValueError(f"ambiguous must be 'fail' or 'largest', not {ambiguous!r}")
     message = F.concat(F.lit("ambiguous labels for "), case_id(F.col("patientId"), F.col("side_norm")))
-    label = F.when(F.col("label_min") == F.col("label_max"), F.col("label_max")).otherwise(
-        F.raise_error(message).cast("int")
-    )
+    label = F.col("label_max")
+    if ambiguous == "fail":
+        label = F.when(F.col("label_min") == label, label).otherwise(F.raise_error(message).cast("int"))
     return (
         paired_sides(df)
         .where("label_max is not null")

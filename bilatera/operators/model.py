@@ -577,12 +577,12 @@ class Fitted:
     pooled: DataFrame | None = None
 
 
-def case_features(rows: DataFrame, contract=None, *, shared_axis: bool = False) -> DataFrame:
+def case_features(rows: DataFrame, contract=None, *, shared_axis: bool = False, ambiguous: str = "fail") -> DataFrame:
     """Split-independent case table: patient roll-up, gate and paired features."""
     from . import asymmetry
 
     contract = contract or asymmetry.CURRENT
-    cases = cases_op.target_cases(rows)
+    cases = cases_op.target_cases(rows, ambiguous=ambiguous)
     sides = asymmetry.side_profiles(rows, contract, shared_axis=shared_axis)
     pairs = asymmetry.pair_features(cases, sides, contract)
     return cases.join(cases_op.patient_rollup(rows), "patientId").join(pairs, "target_case_id")
@@ -590,13 +590,13 @@ def case_features(rows: DataFrame, contract=None, *, shared_axis: bool = False)
 
 def train(rows: DataFrame, *, evaluate: bool = False, grid_points: int, fold_count: int = 5, repeats: int = 20,
           seed: int = 42, target: float = 0.95, profile_c: float = PROFILE_C, final_c: float = FINAL_C,
-          shared_axis: bool = False, bootstrap: int = 2000) -> Fitted:
+          shared_axis: bool = False, bootstrap: int = 2000, ambiguous: str = "fail") -> Fitted:
     """Features, optional patient-safe evaluation with pooled values and intervals, final fit, threshold and tier policy."""
     from . import tiers
 
     rows = signal.require_profiles(cut_lineage(rows))
     admitted = filters.require_two_classes(filters.stage1_rows(rows))
-    base = cut_lineage(case_features(rows, shared_axis=shared_axis))
+    base = cut_lineage(case_features(rows, shared_axis=shared_axis, ambiguous=ambiguous))
     split_metrics = predictions = pooled = None
     if evaluate:
         assigned = folds.assign_folds(base, folds=fold_count, repeats=repeats, seed=seed)

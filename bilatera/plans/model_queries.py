@@ -60,7 +60,7 @@ def scored_sides(spark: SparkSession, sf: str):
 def training_features(spark: SparkSession, sf: str, first: model.ProfileModel) -> DataFrame:
     """Case table of the view cohort with the evidence of a first stage."""
     rows = storage.cut_lineage(V.gated(spark, sf))
-    base = model.case_features(rows, shared_axis=True)
+    base = model.case_features(rows, shared_axis=True, ambiguous=V.AMBIGUOUS)
     scores = cases.case_scores(base, first.score(filters.stage1_rows(rows)))
     return storage.cut_lineage(cases.reliability(base.join(scores, "target_case_id")))
 
@@ -92,7 +92,7 @@ def _(spark, sf):
 
 def _evaluation(spark, sf):
     g = storage.cut_lineage(V.gated(spark, sf))
-    base = storage.cut_lineage(model.case_features(g, shared_axis=True))
+    base = storage.cut_lineage(model.case_features(g, shared_axis=True, ambiguous=V.AMBIGUOUS))
     assigned = folds.assign_folds(base, folds=5, repeats=20, seed=42)
     return model.cross_validate(filters.stage1_rows(g), base, assigned, grid_points=V.VIEW_GRID)
 
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("m26_train_all")
 def _(spark, sf):
-    fit = model.train(V.gated(spark, sf), evaluate=True, grid_points=V.VIEW_GRID, shared_axis=True)
+    fit = model.train(V.gated(spark, sf), evaluate=True, grid_points=V.VIEW_GRID, shared_axis=True, ambiguous=V.AMBIGUOUS)
     summary = metrics.summarise_splits(fit.split_metrics)
     held = metrics.held_out_extract(summary)
     p = fit.policy

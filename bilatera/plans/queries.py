@@ -499,7 +499,7 @@ def _pairs(spark, sf, contract=asymmetry.CURRENT):
     """All profiles of the view share one q axis, as after fixed-range integration."""
     g = V.gated(spark, sf)
     sides = asymmetry.side_profiles(g, contract, shared_axis=True)
-    return asymmetry.pair_features(cases.target_cases(g), sides, contract)
+    return asymmetry.pair_features(V.target_cases(g), sides, contract)
 
 
 def _pair_query(name: str, *columns: str):
@@ -541,7 +541,7 @@ def _(spark, sf):
 
 @query("e1_target_cases")
 def _(spark, sf):
-    return cases.target_cases(V.gated(spark, sf))
+    return V.target_cases(V.gated(spark, sf))
 
 
 def _row_scores(spark, sf, rows=None):
@@ -560,7 +560,7 @@ def _(spark, sf):
 
 def _case_scores(spark, sf):
     g = V.gated(spark, sf)
-    return cases.case_scores(cases.target_cases(g), _row_scores(spark, sf, filters.stage1_rows(g)))
+    return cases.case_scores(V.target_cases(g), _row_scores(spark, sf, filters.stage1_rows(g)))
 
 
 @query("e3_case_scores")
@@ -578,7 +578,7 @@ def _(spark, sf):
 
 def _features(spark, sf):
     g = storage.cut_lineage(V.gated(spark, sf))
-    t = cases.target_cases(g)
+    t = V.target_cases(g)
     pairs = asymmetry.pair_features(t, asymmetry.side_profiles(g, shared_axis=True))
     scores = cases.case_scores(t, _row_scores(spark, sf, filters.stage1_rows(g)))
     # Used by several queries more than once; one small row per case.
@@ -601,7 +601,7 @@ def _(spark, sf):
 @query("e7_dataset_summary")
 def _(spark, sf):
     g = V.gated(spark, sf)
-    return cases.dataset_summary(g, cases.target_cases(g))
+    return cases.dataset_summary(g, V.target_cases(g))
 
 
 def _scored_manifest(spark, sf):
@@ -702,14 +702,14 @@ FOLDS, REPEATS, SEED = 5, 20, 42
 
 
 def _members(spark, sf, repeats=REPEATS):
-    assigned = folds.assign_folds(cases.target_cases(V.gated(spark, sf)), folds=FOLDS, repeats=repeats, seed=SEED)
+    assigned = folds.assign_folds(V.target_cases(V.gated(spark, sf)), folds=FOLDS, repeats=repeats, seed=SEED)
     return folds.split_members(assigned, folds=FOLDS)
 
 
 @query("f3_fold_membership")
 def _(spark, sf):
     rows = storage.cut_lineage(V.gated(spark, sf).select("patientId", "measurement_id", "side", "biopsy", "product_status_group"))
-    assigned = folds.assign_folds(cases.target_cases(rows), folds=FOLDS, repeats=REPEATS, seed=SEED)
+    assigned = folds.assign_folds(V.target_cases(rows), folds=FOLDS, repeats=REPEATS, seed=SEED)
     return folds.split_sums(rows, assigned, {"rows": F.lit(1), "id_sum": F.col("measurement_id")}, folds=FOLDS)
 
 
@@ -750,7 +750,7 @@ def _(spark, sf):
 
 def _boot_cases(spark, sf):
     g = V.gated(spark, sf)
-    t = cases.target_cases(g)
+    t = V.target_cases(g)
     s = cases.case_scores(t, _row_scores(spark, sf, filters.stage1_rows(g)))
     return storage.cut_lineage(t.join(s, "target_case_id").select(
         "target_case_id", "patientId", "label", F.col("profile_p_cancer_logit_average").alias("p_cancer"),
@@ -901,7 +901,7 @@ def _(spark, sf):
 
 @query("m11_folds")
 def _(spark, sf):
-    return folds.assign_folds(cases.target_cases(V.gated(spark, sf)), folds=FOLDS, repeats=REPEATS, seed=SEED)
+    return folds.assign_folds(V.target_cases(V.gated(spark, sf)), folds=FOLDS, repeats=REPEATS, seed=SEED)
 
 
 @query("m13_predictions")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import filters, signal
+from ..operators import cases, filters, signal
 from ..operators.filters import Predicate
 
 # Limits used on the views: the product gate of 2.0 leaves no row, the product band holds one point.
@@ -16,6 +16,8 @@ VIEW_GATE = 0.8
 VIEW_GRID = 64
 EXCLUDED_IDS = ("cal_1", "cal_5", "cal_9")
 EXCLUDED_DAYS = ("2025-02-14", "2025-03-04")
+# Patient ids have four digits, so patients from 10,000 on share the ids of earlier ones, and a side can hold two labels.
+AMBIGUOUS = "largest"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,6 +76,11 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return signal.profile_gate(normalised(spark, sf), threshold=VIEW_GATE).where("radial_profile_value_pass")
 
 
+def target_cases(rows: DataFrame) -> DataFrame:
+    """Cases of rows of the views."""
+    return cases.target_cases(rows, ambiguous=AMBIGUOUS)
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(
         "o_orderkey case_id", "o_custkey patient", "cast(o_orderstatus='F' as int) y",
