@@ -9,6 +9,7 @@ of a task are added up before the shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from . import newton, ordered
 
 #: Distinct scores of a block, about; blocks are read in chunks of ``CHUNK`` rows.
 BLOCK, CHUNK = 1 << 16, 256
+#: Patients whose counts are added up in one array; draws that a task makes at once.
+PATIENTS, DRAWS = 1024, 1 << 21
 
 
 def encode(counts: np.ndarray) -> list[bytes]:
@@ -34,6 +37,10 @@ def encode(counts: np.ndarray) -> list[bytes]:
 def decode(rows: pa.Array, replicates: int) -> np.ndarray:
     """The counts as a matrix, one row for each binary value; the width of a value tells its numbers' size."""
     kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+    if len(rows) and pa.types.is_binary(rows.type):
+        at = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+        if (np.diff(at) == replicates).all():  # all of one byte
+            return np.frombuffer(rows.buffers()[2], np.uint8, len(rows) * replicates, at[0]).reshape(len(rows), replicates).astype(np.int64)
     out = np.empty((len(rows), replicates), np.int64)
     for i, b in enumerate(rows.to_pylist()):
         out[i] = np.frombuffer(b, kinds[len(b) // replicates])
@@ -55,27 +62,64 @@ def packed_counts(patients: DataFrame, *, replicates: int, seed: int, with_whole
     """(patientId, counts): draws of every patient by replicate; patients that no replicate draws have no row.
 
     A replicate draws as many patients as there are, with replacement; every patient row supplies one draw slot per
-    replicate. A row holds the replicates that drew it: ``replicates`` numbers in the mean, whatever the number of patients. With
+    replicate. Draws travel as lists of four-byte numbers, one list for ``PATIENTS`` patients and batch of slots. With
     ``with_whole`` a further replicate stands before them that draws everyone once.
     """
     known = cut_lineage(indexed(patients))
     total = known.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    slots = known.select("ix").join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.select(draw(seed, F.col("b"), F.col("ix"), F.col("_n")).alias("ix"), "b")
-    if with_whole:
-        drawn = drawn.withColumn("b", F.col("b") + 1).unionByName(known.select("ix", F.lit(0).alias("b")))
     width = replicates + with_whole
-    lists = drawn.groupBy("ix").agg(F.collect_list("b").alias("bs")).join(known, "ix")
-    kind = patients.schema["patientId"].dataType.simpleString()
+    # A row is ``replicates`` draws: tasks go by their number, not by the few bytes that they read.
+    tasks = int(patients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = [f"{seed}:{b}:".encode() for b in range(replicates)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, DRAWS // width)
+            for at in range(0, batch.num_rows, step):
+                ix, n = (batch.column(c).to_numpy()[at : at + step] for c in ("ix", "_n"))
+                slots = [str(i).encode() for i in ix.tolist()]
+                who, code = [], []
+                for b, prefix in enumerate(prefixes, start=int(with_whole)):
+                    drawn = _numbers([hashlib.md5(prefix + s).digest() for s in slots]) % n
+                    who.append(drawn // PATIENTS)
+                    code.append(drawn % PATIENTS * width + b)
+                if with_whole:
+                    who.append(ix // PATIENTS)
+                    code.append(ix % PATIENTS * width)
+                who, code = np.concatenate(who), np.concatenate(code).astype(np.uint32)
+                order = np.argsort(who, kind="stable")
+                who, code = who[order], code[order]
+                first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+                codes = [c.tobytes() for c in np.split(code, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array(codes, pa.binary())], names=["part", "codes"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
-                counts = np.stack([np.bincount(v.values.to_numpy(), minlength=width) for v in part.column("bs")])
-                yield pa.RecordBatch.from_arrays([part.column("patientId"), pa.array(encode(counts), pa.binary())], names=["patientId", "counts"])
-
-    return lists.select("patientId", "bs").mapInArrow(pack, f"patientId {kind}, counts binary")
+        part, counts = None, None
+
+        def rows() -> pa.RecordBatch:
+            table = counts.reshape(PATIENTS, width)
+            ix = np.flatnonzero(table.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(ix + part * PATIENTS), pa.array(encode(table[ix]), pa.binary())], names=["ix", "counts"])
+
+        for batch in batches:
+            for number, codes in zip(batch.column("part").to_pylist(), batch.column("codes").to_pylist()):
+                if number != part:
+                    if part is not None:
+                        yield rows()
+                    part, counts = number, np.zeros(PATIENTS * width, np.int64)
+                np.add.at(counts, np.frombuffer(codes, np.uint32), 1)
+        if part is not None:
+            yield rows()
+
+    drawn = known.select("ix").repartition(tasks).join(F.broadcast(total)).mapInArrow(deal, "part long, codes binary")
+    packed = drawn.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(pack, "ix long, counts binary")
+    return packed.join(known, "ix").select("patientId", "counts")
+
+
+def _numbers(digests: list[bytes]) -> np.ndarray:
+    """The first 48 bits of every digest, as ``draw`` takes them."""
+    head = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)[:, :6].astype(np.int64)
+    return head @ (1 << np.arange(40, -1, -8, dtype=np.int64))
 
 
 def _by_replicate(total: np.ndarray, names: list[str], **more: int) -> pa.RecordBatch:
