@@ -22,22 +22,24 @@ def geometry(df: DataFrame, text: str = "ponifile") -> DataFrame:
     Own definition: unrotated detector; the largest radius is the farthest corner from the beam centre,
     q = 4 pi / lambda * sin(atan(r / d) / 2), lambda in nm.
     """
+    keys = {
+        "distance_m": "Distance", "poni1_m": "Poni1", "poni2_m": "Poni2", "pixel1_m": "PixelSize1",
+        "pixel2_m": "PixelSize2", "wavelength_m": "Wavelength", "rows": "Rows", "cols": "Columns",
+    }
     m = F.str_to_map(F.col(text), F.lit("\n"), F.lit(":"))
-    num = lambda k: F.trim(F.element_at(m, k)).try_cast("double")
-    out = df.withColumns(
-        {
-            "distance_m": num("Distance"), "poni1_m": num("Poni1"), "poni2_m": num("Poni2"),
-            "pixel1_m": num("PixelSize1"), "pixel2_m": num("PixelSize2"), "wavelength_m": num("Wavelength"),
-            "rows": num("Rows"), "cols": num("Columns"),
-        }
-    )
-    far = lambda centre, size: F.greatest(F.col(centre), size - F.col(centre))
-    r = F.sqrt(
-        F.pow(far("poni1_m", F.col("rows") * F.col("pixel1_m")), 2.0)
-        + F.pow(far("poni2_m", F.col("cols") * F.col("pixel2_m")), 2.0)
-    )
-    q = q_of_radius(r, F.col("distance_m"), F.col("wavelength_m") * 1e9)
-    return out.withColumn("poni_q_max", q)
+    num = lambda m, k: F.trim(F.element_at(m, k)).try_cast("double")
+    far = lambda centre, size: F.greatest(centre, size - centre)
+
+    def reach(g: Column) -> Column:
+        r = F.sqrt(
+            F.pow(far(g["poni1_m"], g["rows"] * g["pixel1_m"]), 2.0)
+            + F.pow(far(g["poni2_m"], g["cols"] * g["pixel2_m"]), 2.0)
+        )
+        return q_of_radius(r, g["distance_m"], g["wavelength_m"] * 1e9)
+
+    # Bound once: a filter on the result would otherwise parse the text anew for every number in the formula.
+    numbers = P.let(m, lambda m: F.struct(*[num(m, k).alias(c) for c, k in keys.items()]))
+    return df.withColumns({**{c: num(m, k) for c, k in keys.items()}, "poni_q_max": P.let(numbers, reach)})
 
 
 def q_of_radius(radius: Column, distance: Column, wavelength_nm: Column) -> Column:

@@ -15,6 +15,7 @@ from ..operators import filters, signal
 from ..operators.filters import Predicate
 from .. import schemas as S
 from ..sources import reference
+from ..sources.storage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class Step:
 
 
 def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Fold the enabled steps into one lazy plan, in the given order."""
+    """Fold the enabled steps into one lazy plan, in the given order; integration of pixels writes the rows before it once."""
     names = [s.name for s in steps]
     if len(set(names)) != len(names):
         raise ValueError("step names must be unique")
@@ -109,7 +110,12 @@ def _geometry(df: DataFrame) -> DataFrame:
 
 
 def _integrate(df: DataFrame, pixels: DataFrame, points: int) -> DataFrame:
-    """Profiles of the surviving rows from their unmasked pixels, corrected for thickness; frames of dropped rows are never binned."""
+    """Profiles of the surviving rows from their unmasked pixels, corrected for thickness; frames of dropped rows are never binned.
+
+    The rows are written first. In one plan Spark would carry filters that follow from ``measurement_id``, such as those on the
+    geometry text, over to the pixels and evaluate them for every pixel.
+    """
+    df = cut_lineage(df)
     px = pixels.join(df.select("measurement_id").distinct(), "measurement_id", "left_semi")
     profiles = signal.profiles_from_bins(signal.azimuthal_bins(px, points=points), points=points)
     return signal.thickness_correct(df.drop("q_range", "radial_profile_data").join(profiles, "measurement_id"))
