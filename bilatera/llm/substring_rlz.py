@@ -60,15 +60,14 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
         marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     )
     known = W.BitFilter(shared)
-    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi"))
-    index = marks.groupBy("h", "x").agg(F.min(F.struct("doc_id", "s")).alias("ref"))
+    marks = cut_lineage(text.mapInArrow(lambda batches: mark(batches, known), schema).join(shared, "h", "left_semi"), spent=[shared])
+    index = cut_lineage(marks.groupBy("h", "x").agg(F.min(F.struct("doc_id", "s")).alias("ref")))
     groups = index.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("ref.doc_id").alias("lowest")).where("d > 1")
-    # Rows equal in id and text are one key: they are no source for each other.
+    # Rows equal in id and text are one key: they are no source for each other. What both later plans read is written, the marks go.
     found = marks.join(index.hint("merge"), ["h", "x"]).dropDuplicates(["h", "x", *W.KEY, "s"])
-    copies = found.where("doc_id > ref.doc_id").select(
-        *W.KEY, "s", "m", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.s").alias("ref_s")
-    )
-    open_ = found.where("doc_id = ref.doc_id").join(groups, "h").select(
+    found = cut_lineage(found.select("h", "doc_id", *W.KEY, "s", "m", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.s").alias("ref_s")), spent=[marks])
+    copies = found.where("doc_id > ref_doc").select(*W.KEY, *PHRASE)
+    open_ = found.where("doc_id = ref_doc").join(groups, "h").select(
         "h", "d", (F.col("doc_id") > F.col("lowest")).alias("asks"), *W.KEY, "s", "m"
     )
     listed = W.per_document(open_, ["h", "d", "asks", "s", "m"], "found")
@@ -91,7 +90,7 @@ def phrases(docs: DataFrame, width: int = 13, gram: int | None = None) -> DataFr
 
     parts = cut_lineage(W.packed(text).join(listed, list(W.KEY)).dropDuplicates(list(W.KEY)).mapInArrow(
         cut, "h long, d long, asks boolean, doc_id long, ka long, kb long, s int, m int, part binary"
-    ))
+    ), spent=[index])
     few, many = W.hot_or_not(parts, F.col("d"))
 
     def resolve(rows: pa.Table):

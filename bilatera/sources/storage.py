@@ -63,20 +63,32 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write once to the shared folder and read back: survives lost executors and shortens the plan.
 
     Shuffle files of the written plan stay until the driver collects its garbage. Where the session sets ``TIDY``, it does so now, which
-    long jobs over large tables want.
+    long jobs over large tables want. ``spent`` are tables of earlier cuts that nothing reads from now on; their files go after the write.
     """
     spark = df.sparkSession
     path = new_path(spark, "stage")
     df.write.parquet(path)
+    for old in spent:
+        _remove_cut(old)
     if spark.conf.get(TIDY, "false") == "true":
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_cut(table: DataFrame) -> None:
+    """Remove the folder of a table as ``cut_lineage`` returned it."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    if len(folders) != 1 or not next(iter(folders)).rsplit("/", 1)[1].startswith("stage-"):
+        raise ValueError("only a table returned by cut_lineage can be removed")
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(next(iter(folders)))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def scan_measurements(
     spark: SparkSession, path: str, rules: Iterable[Predicate] = (), *, require_thickness: bool = True
 ) -> DataFrame:
