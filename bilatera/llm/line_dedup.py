@@ -222,7 +222,8 @@ def _word_pairs(members: DataFrame, shared: DataFrame, known: W.BitFilter, thres
     # Counts are of lines, equal ones of different tasks included: blocks may be smaller than ``BLOCK``.
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     large = shared.where(F.col("c") > BLOCK).select("h", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    dealt = rows.join(large, "h", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn(
+    # At most a row for every ``BLOCK`` prefix tokens: sent to the tasks, it saves a shuffle of all lines' tokens.
+    dealt = rows.join(F.broadcast(large), "h", "left").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     keys = ["h", "lo", "hi"]
     dealt = dealt.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "d", "line", "n",
