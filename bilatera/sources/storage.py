@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -63,20 +64,27 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut_lineage(df: DataFrame, *, spent: Iterable[DataFrame] = ()) -> DataFrame:
+def cut_lineage(df: DataFrame, *, spent: Iterable[DataFrame] = (), compression: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: survives lost executors and shortens the plan.
 
     Shuffle files of the written plan stay until the driver collects its garbage. Where the session sets ``TIDY``, it does so now, which
     long jobs over large tables want. ``spent`` are tables of earlier cuts that nothing reads from now on; their files go after the write.
+    ``compression`` is that of the files, where it is not the session's.
     """
     spark = df.sparkSession
     path = new_path(spark, "stage")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     for old in spent:
         _remove_cut(old)
+    tidy(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Where the session sets ``TIDY``, free the shuffle files of plans that nobody holds, also those that only cycles in Python hold."""
     if spark.conf.get(TIDY, "false") == "true":
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove_cut(table: DataFrame) -> None:

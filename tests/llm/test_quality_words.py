@@ -58,3 +58,36 @@ def test_repeated_words_in_prose_go(spark):
     got = {x.doc_id: x.kept for x in judged}
     assert sum(got[i] for i in range(800, 1000) if i % 10 == 0) <= 2
     assert sum(got[i] for i in range(800, 1000) if i % 10) >= 0.93 * 180
+
+
+def test_back_off_scores_equal_the_model_of_all_ngrams(spark, monkeypatch):
+    from bilatera.llm import windows as W
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = ["", " ", "w1", "w1 w1", *[" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(60)]]
+    texts += [" ".join(f"new{i}x{k}" for k in range(90)) + " w3 w4 w5" for i in range(40)]
+    texts += [texts[9], "w7 w8 " * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text, trusted = W.keyed(docs), docs.where("doc_id < 44 and doc_id % 3 > 0")
+    counts = quality.cut_lineage(quality.count_grams(trusted, 3, quality.word_keys))
+    every = quality.count_grams(text, 3, quality.word_keys).select("key")
+    table = quality.probabilities(counts, every, 3, quality.WORD_BITS)
+    want = {(x.ka, x.kb): (pytest.approx(x.word_logp, rel=1e-11), x.words) for x in quality.word_scores(text, table, 3).collect()}
+    assert len(want) == len(texts) - 2
+    written = []
+
+    def cut(df, **more):
+        out = storage_cut(df, **more)
+        written.append(out.count())
+        return out
+
+    storage_cut = quality.cut_lineage
+    monkeypatch.setattr(quality, "cut_lineage", cut)
+    for rounds in (1, 4):
+        got = quality.back_off_scores(text, counts, rounds).collect()
+        assert {(x.ka, x.kb): (x.word_logp, x.words) for x in got} == want
+    # Nothing is written for n-grams that are in no trusted text.
+    assert max(written) <= max(counts.count(), 2 * len(texts)) < every.count() / 2
+    none = quality.back_off_scores(text, counts.limit(0), 2).collect()
+    assert all(x.word_logp == pytest.approx(-x.words * quality.WORD_BITS * 0.6931471805599453) for x in none)
