@@ -91,11 +91,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def count_grams(texts: DataFrame, order: int, make=gram_keys) -> DataFrame:
-    """(key, c) over all documents; tasks sum their own counts first, in pieces of bounded size."""
+    """(key, c) over all documents, ``packed`` or not; tasks sum their own counts first, in pieces of bounded size."""
+    column = "packed" if "packed" in texts.columns else "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for b in N.slices(batches, "text", 1 << 20):
+        for b in N.slices(W.unpacked(batches) if column == "packed" else batches, "text", 1 << 20):
             keys, _ = make([t.encode() for t in b.column("text").to_pylist()], order)
             parts.append(np.unique(keys, return_counts=True))
             size += len(parts[-1][0])
@@ -109,7 +110,7 @@ def count_grams(texts: DataFrame, order: int, make=gram_keys) -> DataFrame:
             keys, c = _merged(parts)
             yield W.table({"key": keys, "c": c})
 
-    return texts.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select(column).mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def suffix(key: Column, order: int, bits: int = 8) -> Column:
@@ -461,14 +462,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, keep: tuple
     seen = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(4)) != 0  # a quarter sets the quantiles only
     known = W.BitFilter(good.select(F.xxhash64("doc_id").alias("h")))
 
-    def labelled(batches):
-        for b in batches:
-            yield b.filter(pa.array(known(b.column("h").to_numpy().view(N.U))))
+    def labelled(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(known(b.column("h").to_numpy().view(N.U))))
 
     # Of the text only what is probably trusted is shuffled, and compressed.
     some = text.where(seen & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    some = W.packed(some.mapInArrow(labelled, "doc_id long, text string, h long").drop("h"))
-    trusted = some.join(good.hint("merge"), "doc_id", "left_semi").mapInArrow(W.unpacked, "doc_id long, text string")
+    trusted = W.packed(some, labelled).drop("h").join(good.hint("merge"), "doc_id", "left_semi")
     counts = cut_lineage(count_grams(trusted, order))
     wanted = cut_lineage(count_grams(text, order).select("key"))
     table = probabilities(counts, wanted, order)

@@ -84,13 +84,13 @@ def table(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-def packed(text: DataFrame) -> DataFrame:
-    """The same rows with the text compressed, for a shuffle of whole texts."""
+def packed(text: DataFrame, keep: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda b: b) -> DataFrame:
+    """The same rows, or those of each batch that ``keep`` returns, with the text compressed, for a shuffle of whole texts."""
     rest = [f for f in text.schema.fields if f.name != "text"]
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for b in N.slices(batches, "text"):
+        for b in map(keep, N.slices(batches, "text")):
             data, offsets = N.flat(b.column("text"))
             raw = data.tobytes()
             small = pa.array([press.compress(raw[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])], pa.binary())
